@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontam, packing, sharding, tokenfile
+from gleaner.llm import decontam, packing, seedextend, sharding, suffixdedup, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontam.query,
     "op2_sharding": sharding.query,
+    "op3_substring_dedup": seedextend.query,
     "op5_packing": packing.query,
     "op7_token_files": tokenfile.query,
+    "op8_suffix_dedup": suffixdedup.query,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": decontam.SQL,
+    "op3_substring_dedup": seedextend.SQL,
 }
