@@ -92,7 +92,7 @@ def token_places(text: Column | str, grammar: Grammar = DEFAULT) -> Column:
     empty = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<token:string,at:int>>").alias("out"))
 
     def step(acc: Column, t: Column) -> Column:
-        at = F.locate_from(t, text, acc["next"]) if hasattr(F, "locate_from") else F.call_function("locate", t, text, acc["next"])
+        at = F.call_function("locate", t, text, acc["next"])
         return F.struct((at + F.length(t)).alias("next"), F.concat(acc["out"], F.array(F.struct(t.alias("token"), at.alias("at")))).alias("out"))
 
     return F.filter(F.aggregate(every, empty, step)["out"], lambda x: F.lower(x["token"]) != grammar.published.lower())
