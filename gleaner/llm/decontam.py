@@ -250,12 +250,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    flat = every.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("spans").alias("many"), F.max("longest").alias("longest"))
-    # runs of several blocks may overlap: unite them
-    pairs = F.array_sort(F.flatten(F.transform("many", lambda s: F.when(F.size(s) > 0, F.transform(F.sequence(F.lit(0), F.size(s) / 2 - 1).cast("array<int>"), lambda i: F.struct(s[2 * i].alias("a"), s[2 * i + 1].alias("b")))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")))))
-    step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x)))
-    flat = flat.withColumn("runs", F.aggregate(pairs, F.array().cast("array<struct<a:bigint,b:bigint>>"), step))
-    return flat.select("doc_id", "n_words", F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"]).alias("n_hit"), "items", F.flatten(F.transform("runs", lambda x: F.array(x["a"], x["b"]))).alias("spans"), "longest")
+    lists = every.groupBy("doc_id", "n_words").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"), F.max("longest").alias("longest"))
+    return lists.mapInArrow(united, schema)
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of what several blocks found in a document: ids and hit runs united."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            runs: list[list[int]] = []
+            for a, b in sorted(p for s in r["spans"] for p in zip(s[::2], s[1::2], strict=True)):
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], b)
+                else:
+                    runs.append([a, b])
+            out.append((r["n_words"], sum(b - a for a, b in runs), sorted({i for x in r["items"] for i in x}), [x for p in runs for x in p], r["longest"]))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "items", "spans", "longest"])
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

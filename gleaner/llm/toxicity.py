@@ -104,7 +104,7 @@ class Matcher:
         for a, b in except_:
             for s in [s for s in best if a <= s < b]:
                 del best[s]
-        return sum(best.values()), float(len(best)), float(folded.count(" ") - 1)
+        return sum(best.values()), float(len(best)), float(folded.count(" ") - 1 if folded.strip() else 0)
 
 
 _matchers: dict[int, Matcher] = {}
