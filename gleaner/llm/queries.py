@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_decontamination": decontam.SQL,
+    "op2_sharding": sharding.SQL,
     "op3_substring_dedup": seedextend.SQL,
     "op6_near_dedup": chosenpath.SQL,
 }

@@ -57,8 +57,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, text, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS r,
-  coalesce(sum(coalesce(octet_length(encode(text)), 0) + 1) OVER (ORDER BY doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM documents),
-p AS (SELECT *, CAST(least(15, s * 16 // (SELECT sum(size) FROM d)) AS INTEGER) AS shard FROM d)
-SELECT doc_id, CAST(size AS BIGINT) AS size, 'bytes' AS law, shard, CAST(r - min(r) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(s AS BIGINT) AS start_byte FROM p
+WITH RECURSIVE t(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS r,
+  xor(coalesce(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda a, x: xor(a // 256, tab[xor(a % 256, x) + 1]), 4294967295), 4294967295), 4294967295) AS text_crc32 FROM documents, tab),
+s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM d),
+p AS (SELECT *, CAST(least(15, s * 16 // (SELECT sum(size) FROM d)) AS INTEGER) AS shard FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, CAST(r - min(r) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(s AS BIGINT) AS start_byte FROM p
 """
