@@ -87,7 +87,9 @@ class Chunk:
 def narrow(docs: DataFrame) -> DataFrame:
     """doc_id, tag (16 bits of the text's checksum: tells rows of equal doc_id apart), text; null texts are empty."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text.cast("binary")).bitwiseAND(65535).alias("tag"), text.alias("text"))
+    # a bare column stays the same in every copy of the plan, so that exchanges can be shared
+    key = F.col("doc_id") if docs.schema["doc_id"].dataType.typeName() == "long" else F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(key, F.crc32(text.cast("binary")).bitwiseAND(65535).alias("tag"), text.alias("text"))
 
 
 def place(pos: np.ndarray, tag: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -123,19 +125,28 @@ def window_hashes(unit: Unit):
 
 
 def placed(unit: Unit, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Chunks of rows (doc_id, tag, text, places) with the places' documents, positions and windows; places that
-    can't be the row's own are dropped."""
+    """Chunks of rows (doc_id, tag, text, places) with the places' documents, positions, windows and (if places are
+    pairs) second numbers; places that can't be the row's own are dropped."""
     for batch in batches:
         ids, tags, places = batch.column(0), batch.column(1).to_numpy(), batch.column(3)
-        flat, size = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, size = places.flatten(), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = flat.flatten() if pa.types.is_struct(flat.type) else [flat]
+        own_places, *seconds = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in parts)
         edge = np.concatenate(([0], np.cumsum(size)))
         for lo, hi, data, offsets in chunks(batch.column(2), STEP):
             c = Chunk(unit, data, offsets)
-            own = flat[edge[lo] : edge[hi]]
+            own = own_places[edge[lo] : edge[hi]]
             doc = np.repeat(np.arange(hi - lo), size[lo:hi])
             pos, n = own >> 24, own & 255
             fits = pos + n + unit.length - 1 <= c.count[doc]
-            yield c, ids.slice(lo, hi - lo), tags[lo:hi], doc[fits], pos[fits], n[fits]
+            yield c, ids.slice(lo, hi - lo), tags[lo:hi], doc[fits], pos[fits], n[fits], *(x[edge[lo] : edge[hi]][fits] for x in seconds)
+
+
+def splittable(many: DataFrame, few: DataFrame, key: str, *more: str) -> DataFrame:
+    """Joins rows to an aggregate of them. The key is altered, so that the aggregate's own partitioning doesn't serve the
+    join: both sides are exchanged for it, the small one again, and Spark can then split hot keys of the large one."""
+    turned = lambda df: df.withColumn(key, F.col(key).bitwiseXOR(1))
+    return turned(many).join(turned(few), [key, *more])
 
 
 Shared = Callable[[DataFrame, DataFrame], DataFrame]
@@ -147,9 +158,8 @@ def by_hashes(unit: Unit) -> Shared:
     def run(first: DataFrame, docs: DataFrame) -> DataFrame:
         places = first.groupBy(F.col("doc").alias("doc_id"), F.shiftright("p", 8).bitwiseAND(65535).alias("tag")).agg(F.collect_list("p").alias("places"))
         w = docs.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInArrow(window_hashes(unit), "h1 long, h2 long, doc long, p long")
-        w = settle(w, "windows")
         least = w.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-        return w.join(least, ["h1", "h2"]).where("doc > low").select("doc", "p")
+        return splittable(w, least, "h1", "h2").where("doc > low").select("doc", "p")
 
     return run
 
@@ -163,11 +173,11 @@ def repeated(docs: DataFrame, unit: Unit, shared: Shared) -> DataFrame:
     docs = docs.where("doc_id is not null")
     seen = docs.mapInArrow(winnow(unit), "a long, s long, doc long, p long")
     anchors = seen.groupBy("a").agg(F.min("s").alias("s0"), F.max("s").alias("s1"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    met = seen.join(anchors.select("a", "low", (F.col("s0") != F.col("s1")).alias("several")), "a").where("several or doc > low")
+    met = splittable(seen, anchors.select("a", "low", (F.col("s0") != F.col("s1")).alias("several")), "a").where("several or doc > low")
     met = settle(met.select("a", "s", "doc", "p", "several"), "segments")
     several = met.where("several")
     contents = several.groupBy("a", "s").agg(F.min("doc").alias("low"))
-    marked = several.join(contents, ["a", "s"])
+    marked = splittable(several, contents, "a", "s")
     first = marked.where("doc = low").select("a", "doc", "p")
     rows = met.where("not several").select("doc", "p").unionByName(marked.where("doc > low").select("doc", "p")).unionByName(shared(first, docs))
     return rows.groupBy(F.col("doc").alias("doc_id"), F.shiftright("p", 8).bitwiseAND(65535).alias("tag")).agg(F.collect_list("p").alias("places"))

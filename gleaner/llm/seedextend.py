@@ -73,9 +73,11 @@ def strip(unit: Unit):
 
 
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """Every document with its places; none is an empty list."""
-    joined = docs.join(places, ["doc_id", "tag"], "left")
-    return joined.select("doc_id", "tag", "text", F.coalesce("places", F.array().cast("array<bigint>")).alias("places"))
+    """Every document with its places; none is an empty list. Rows without an id go beside the join, so that the others
+    are read by the very plan that finds their places, and the exchange of their texts is shared with it."""
+    none = F.array().cast("array<bigint>")
+    joined = docs.where("doc_id is not null").join(places, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", F.coalesce("places", none).alias("places"))
+    return joined.unionByName(docs.where("doc_id is null").withColumn("places", none))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
