@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.arrays import SpanHash, ranges
-from gleaner.llm.repeats import Chunk, Shared, Unit, by_hashes, narrow, place, placed, repeated
+from gleaner.llm.arrays import BASE2, TABLE1, SpanHash, ranges
+from gleaner.llm.repeats import Chunk, Shared, Unit, narrow, place, placed, repeated, splittable
 from gleaner.llm.seedextend import covered, runs, with_places
 from gleaner.runtime import settle, table
 
 #: Bytes of the shortest repeat, and of an anchor.
-LENGTH, ANCHOR = 100, 16
+LENGTH, ANCHOR = 100, 24
 #: Bytes of segments sorted in one bucket, about, and contexts of an anchor beyond which its windows are grouped by hash.
 BUCKET, CONTEXTS = 2 << 20, 2000
 SEPARATOR = 0xFF  # in no UTF-8 text
@@ -128,16 +128,29 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return np.minimum(out, most)
 
 
-def context(unit: Unit):
-    """From (doc_id, tag, text, places) to (a, doc, p, bytes) of each place."""
+HASHED = -1  # the bucket of segments whose windows are compared by hashes
+
+
+def context(unit: Unit, hashed: bool):
+    """From (doc_id, tag, text, places with their buckets) to (bucket, doc, p, body) of each segment; or, hashed, to
+    (h1, h2, doc, p) of each window of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, ids, tags, doc, pos, n in placed(unit, batches):
-            start = c.first[doc] + pos
-            size = n + unit.length - 1
-            edge = np.concatenate(([0], np.cumsum(size)))
-            body = c.data[ranges(start, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids.to_numpy()[doc]), pa.array(place(pos, tags[doc], n)), pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(body)]).cast(pa.binary())], names=["doc", "p", "body"])
+        for c, ids, tags, doc, pos, n, bucket in placed(unit, batches):
+            take = (bucket == HASHED) == hashed
+            doc, pos, n, bucket, ids = doc[take], pos[take], n[take], bucket[take], ids.to_numpy()
+            if hashed:
+                row = np.repeat(np.arange(len(doc)), n)
+                at = ranges(pos, n)
+                start = c.first[doc[row]] + at
+                h1, h2 = SpanHash(c.values)(start, start + unit.length), SpanHash(c.second(), BASE2)(start, start + unit.length)
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[doc[row]]), pa.array(place(at, tags[doc[row]], np.ones(len(row), np.int64)))], names=["h1", "h2", "doc", "p"])
+            else:
+                size = n + unit.length - 1
+                edge = np.concatenate(([0], np.cumsum(size)))
+                body = c.data[ranges(c.first[doc] + pos, size)]
+                bodies = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(body)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[doc]), pa.array(place(pos, tags[doc], n)), bodies], names=["bucket", "doc", "p", "body"])
 
     return run
 
@@ -149,6 +162,15 @@ def compare(length: int):
         docs, p = bucket.column("doc").to_numpy(), bucket.column("p").to_numpy()
         n = p & 255
         bodies = bucket.column("body").to_pylist()
+        # segments none of whose windows has the hash of another are done with; the array is of the others
+        flat = np.frombuffer(b"".join(bodies), np.uint8)
+        begin = np.cumsum(n + length - 1) - (n + length - 1)
+        start, owner = ranges(begin, n), np.repeat(np.arange(len(bodies)), n)
+        _, which, count = np.unique(SpanHash(TABLE1[flat])(start, start + length), return_inverse=True, return_counts=True)
+        some = np.unique(owner[count[which] > 1])
+        if not len(some):
+            return bucket.select(["doc", "p"]).slice(0, 0)
+        docs, p, n, bodies = docs[some], p[some], n[some], [bodies[i] for i in some.tolist()]
         size = np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1
         text = np.frombuffer(bytes([SEPARATOR]).join(bodies) + bytes([SEPARATOR]), np.uint8)
         begin = np.cumsum(size) - size
@@ -156,13 +178,12 @@ def compare(length: int):
         window = np.arange(len(text)) - begin[owner] < n[owner]
         order = suffix_array(text, length)
         order = order[window[order]]
-        repeated_ = np.zeros(len(text), bool)
-        if len(order):
-            head = np.flatnonzero(common_prefixes(text, order, length) < length)
-            who = docs[owner[order]]
-            low = np.minimum.reduceat(who, head)
-            repeated_[order] = who > np.repeat(low, np.diff(np.append(head, len(order))))
-        a, b = runs(repeated_, np.append(begin, len(text)))
+        head = np.flatnonzero(common_prefixes(text, order, length) < length)
+        who = docs[owner[order]]
+        low = np.minimum.reduceat(who, head)
+        again = np.zeros(len(text), bool)
+        again[order] = who > np.repeat(low, np.diff(np.append(head, len(order))))
+        a, b = runs(again, np.append(begin, len(text)))
         of = owner[a]
         pos = (p[of] >> 24) + a - begin[of]
         return pa.table({"doc": pa.array(docs[of]), "p": pa.array(place(pos, p[of] >> 8 & 65535, b - a))})
@@ -174,16 +195,17 @@ def by_suffixes(unit: Unit, bucket: int = BUCKET, contexts: int = CONTEXTS) -> S
     def run(first: DataFrame, docs: DataFrame) -> DataFrame:
         first = settle(first, "contexts")
         many = first.groupBy("a").count().where(F.col("count") > contexts).select("a", F.lit(True).alias("many"))
-        marked = first.join(many, "a", "left")
         total = first.agg(F.sum(F.col("p").bitwiseAND(255) + unit.length)).first()[0] or 0
         buckets = max(1, -(-total // bucket))
-        few = marked.where("many is null")
-        places = few.groupBy(F.col("doc").alias("doc_id"), F.shiftright("p", 8).bitwiseAND(65535).alias("tag")).agg(F.collect_list("p").alias("places"))
-        bodies = docs.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInArrow(context(unit), "doc long, p long, body binary")
-        # a place names its anchor: both sides are narrow but for the few segments' bytes
-        bodies = bodies.join(few.select("a", "doc", "p"), ["doc", "p"]).select(F.pmod("a", F.lit(buckets)).alias("bucket"), "doc", "p", "body")
-        sorted_ = bodies.groupBy("bucket").applyInArrow(compare(unit.length), "doc long, p long")
-        return sorted_.unionByName(by_hashes(unit)(marked.where("many").select("a", "doc", "p"), docs))
+        marked = first.join(many, "a", "left").withColumn("bucket", F.when(F.col("many"), HASHED).otherwise(F.pmod("a", F.lit(buckets))).cast("long"))
+        places = marked.groupBy(F.col("doc").alias("doc_id"), F.shiftright("p", 8).bitwiseAND(65535).alias("tag")).agg(F.collect_list(F.struct("p", "bucket")).alias("places"))
+        # the texts are exchanged once: these uses and the last join share it
+        texts = docs.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places")
+        bodies = texts.mapInArrow(context(unit, False), "bucket long, doc long, p long, body binary")
+        by_array = bodies.groupBy("bucket").applyInArrow(compare(unit.length), "doc long, p long")
+        hashes = texts.mapInArrow(context(unit, True), "h1 long, h2 long, doc long, p long")
+        least = hashes.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+        return by_array.unionByName(splittable(hashes, least, "h1", "h2").where("doc > low").select("doc", "p"))
 
     return run
 
