@@ -1,6 +1,6 @@
 """Near-duplicate documents by a chosen-path set similarity join over 5-word shingles.
 
-Every document gets 64 minwise tokens of its shingle set; documents of equal sets go on as one. In each of 8
+Every document gets 32 minwise tokens and a sketch of its shingle set; documents of equal sets go on as one. In each of 8
 independent trees a document branches on two chosen coordinates: a child node holds the documents that agree on
 that minwise token. Small nodes are compared exhaustively; large ones branch again on two coordinates chosen by the node.
 Two documents with similarity 0.75 stay together down any depth of a tree with probability 8/9, and in one child at
@@ -8,7 +8,8 @@ least at the first level with 15/16, so all 8 trees lose a link with a probabili
 
 Only links between different components matter. So a first round checks each node's members against its smallest one;
 nodes that are then within one component (large groups of near copies, whatever their size) need nothing more, and
-the pairs of a dense group are never listed. Pairs pass sketches first and are then confirmed on full sets.
+the pairs of a dense group are never listed. In other nodes only members outside the largest component are compared
+with the rest, block by block. Pairs pass sketches first and are then confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -24,14 +25,17 @@ from gleaner.llm.arrays import BASE1, BASE2, SPACED, SpanHash, U, Words, chunks,
 from gleaner.runtime import prepare, settle, table
 
 SHINGLE, PERCENT = 5, 75
-COORDINATES, TREES, BRANCHES = 64, 8, 2
-#: Members of a node that is compared exhaustively; levels after which a node is, whatever its size.
-SMALL, DEPTH = 48, 12
-#: Of 64 minwise tokens two linked documents agree on at least so many, but for one link in 2e7.
-AGREE = 26
+#: Minwise tokens that documents branch on, and minwise functions of which a sketch has one byte each.
+COORDINATES, SKETCH, TREES, BRANCHES = 32, 256, 8, 2
+#: Members outside its largest component up to which a node is compared exhaustively; levels after which it is anyway.
+SMALL, DEPTH = 2048, 12
+#: Members of the largest component that are compared in one block.
+MEMBERS = 16_384
+#: Of 256 sketch bytes two linked documents agree on at least so many, but for one link in 1e7.
+AGREE = 150
 
-MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * BASE1) | U(1)
-SHIFTS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * BASE2)
+MULTIPLIERS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * BASE1) | U(1)
+SHIFTS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * BASE2)
 
 
 def sets_of(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -56,20 +60,32 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, flat, bounds in sets_of(batch.column(1)):
             size = np.diff(bounds)
             full = np.flatnonzero(size)
-            sig = np.zeros((hi - lo, COORDINATES), np.uint32)
+            sig, sketch = np.zeros((hi - lo, COORDINATES), np.uint32), np.zeros((hi - lo, SKETCH), np.uint8)
             d = np.zeros((2, hi - lo), np.uint64)
             if len(full):
                 start = bounds[:-1][full]
-                for j in range(COORDINATES):
-                    sig[full, j] = np.minimum.reduceat((flat * MULTIPLIERS[j] + SHIFTS[j]) >> U(32), start)
+                for j in range(SKETCH):
+                    least = np.minimum.reduceat((flat * MULTIPLIERS[j] + SHIFTS[j]) >> U(32), start)
+                    sketch[full, j] = least & U(255)
+                    if j < COORDINATES:
+                        sig[full, j] = least
                 d[0, full], d[1, full] = (np.add.reduceat(mix(flat + b), start) for b in (BASE1, BASE2))
-            sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * COORDINATES), hi - lo, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
+            both = np.concatenate((sig.view(np.uint8), sketch), axis=1)
+            sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * COORDINATES + SKETCH), hi - lo, [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), sigs], names=["doc_id", "n", "d1", "d2", "sig"])
 
 
+def signature_rows(sigs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(-1, 4 * COORDINATES + SKETCH)
+
+
 def tokens(sigs: pa.Array) -> np.ndarray:
     """Minwise tokens, a row for each document."""
-    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    return np.ascontiguousarray(signature_rows(sigs)[:, : 4 * COORDINATES]).view(np.uint32)
+
+
+def sketches(sigs: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(signature_rows(sigs)[:, 4 * COORDINATES :])
 
 
 def child(node: np.ndarray, coordinate: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -77,12 +93,13 @@ def child(node: np.ndarray, coordinate: np.ndarray, token: np.ndarray) -> np.nda
 
 
 def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (v, sig) to the nodes of the first level: TREES * BRANCHES rows (node, v)."""
+    """From (v, sig) to the nodes of the first level: TREES * BRANCHES rows (node, v, root), the coordinate being root."""
     for batch in batches:
         sig = tokens(batch.column(1))
         n, many = len(sig), TREES * BRANCHES
         nodes = np.stack([child(np.full(n, j // BRANCHES + 1, np.uint64), np.full(n, j), sig[:, j]) for j in range(many)], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(n), many)))], names=["node", "v"])
+        root = np.tile(np.arange(many, dtype=np.int32), n)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(n), many))), pa.array(root)], names=["node", "v", "root"])
 
 
 def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,22 +115,32 @@ def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.stack(out, axis=1).ravel().view(np.int64)), batch.column(1).take(pa.array(np.repeat(row, BRANCHES)))], names=["node", "v"])
 
 
-def compare(group: pa.Table) -> pa.Table:
-    """Pairs within each node of a bucket that differ in component, and agree in size and sketch."""
-    order = np.argsort(group.column("node").to_numpy(), kind="stable")
-    node, v, c, n = (group.column(x).to_numpy()[order] for x in ("node", "v", "c", "n"))
-    sig = tokens(group.column("sig").combine_chunks())[order]
-    edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        for i in range(a, b - 1):
-            j = np.arange(i + 1, b)
-            j = j[(c[j] != c[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= AGREE]
-            left.append(np.full(len(j), i))
-            right.append(j)
-    x, y = v[np.concatenate(left)], v[np.concatenate(right)]
-    return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+def comparing(once: bool):
+    """Pairs within each block of a bucket that differ in component, and agree in size and sketch. Members outside
+    the node's largest component are compared with all others; those inside it aren't with each other. once: a pair
+    is given in the first of its common root nodes only."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("block").to_numpy(), kind="stable")
+        block, v, c, n, rest, root = (group.column(x).to_numpy()[order] for x in ("block", "v", "c", "n", "rest", "root"))
+        sigs = group.column("sig").combine_chunks()
+        sig, sketch = tokens(sigs)[order], sketches(sigs)[order]
+        edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            own = np.argsort(rest[a:b], kind="stable") + a  # the largest component, then the rest
+            for k in range(int((~rest[a:b]).sum()), b - a):
+                i, j = own[k], own[:k]
+                j = j[(c[j] != c[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
+                if once and root[a]:
+                    j = j[~(sig[j, : root[a]] == sig[i, : root[a]]).any(axis=1)]
+                j = j[np.count_nonzero(sketch[j] == sketch[i], axis=1) >= AGREE]
+                left.append(np.full(len(j), i))
+                right.append(j)
+        x, y = v[np.concatenate(left)], v[np.concatenate(right)]
+        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+
+    return compare
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -167,9 +194,9 @@ def cluster(docs: DataFrame, percent: int = PERCENT, small: int = SMALL, depth:
     same = settle(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("v")), "same")
     # one row of signature for each representative, in whatever order rows of equal id and set come
     own = settle(some.join(same, ["n", "d1", "d2"]).where("doc_id = v").select("v", "n", "sig").dropDuplicates(["v", "n", "sig"]), "own")
-    members = settle(own.select("v", "sig").mapInArrow(roots, "node long, v long").distinct(), "nodes")
+    members = settle(own.select("v", "sig").mapInArrow(roots, "node long, v long, root int").distinct(), "nodes")
     nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("lead")).where("size > 1")
-    members = settle(members.join(nodes, "node").select("node", "v", "lead", "size"), "members")
+    members = settle(members.join(nodes, "node").select("node", "v", "root", "lead"), "members")
 
     pairs = members.where("v <> lead").select(F.col("lead").alias("x"), F.col("v").alias("y")).distinct()
     sketch = own.select(F.col("v").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sy"))
@@ -178,21 +205,27 @@ def cluster(docs: DataFrame, percent: int = PERCENT, small: int = SMALL, depth:
     edges = settle(confirm(pairs, slim, percent), "links")
     label = components(edges)
 
-    open_ = members.select("node", "v", "size")
+    open_ = members.select("node", "v", "root")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = []
     for level in range(depth + 1):
-        mixed = open_.select("node", "v", "size", F.col("v").alias("c")) if label is None else open_.join(label, "v", "left").select("node", "v", "size", F.coalesce("c", "v").alias("c"))
-        several = mixed.groupBy("node").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("node")
-        mixed = settle(mixed.join(several, "node").join(own, "v"), "mixed")
-        ready = mixed if level == depth else mixed.where(F.col("size") <= small)
-        found.append(settle(ready.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(16 * shards))).groupBy("bucket").applyInArrow(compare, "x long, y long").distinct(), "pairs"))
-        large = mixed.where(F.col("size") > small)
-        if level == depth or large.isEmpty():
+        mixed = open_.withColumn("c", F.col("v")) if label is None else open_.join(label, "v", "left").select("node", "v", "root", F.coalesce("c", "v").alias("c"))
+        parts = mixed.groupBy("node", "c").agg(F.count("*").alias("k"))
+        nodes = parts.groupBy("node").agg(F.sum("k").alias("size"), F.max("k").alias("most"), F.max_by("c", F.struct("k", "c")).alias("top")).where("size > most")
+        mixed = settle(mixed.join(nodes, "node"), "mixed").withColumn("rest", F.col("c") != F.col("top"))
+        ready = mixed if level == depth else mixed.where(F.col("size") - F.col("most") <= small)
+        # a node's largest component is dealt to blocks, and its other members go to each of them
+        cuts = F.ceil(F.col("size") / MEMBERS).cast("int")
+        at = F.when(F.col("rest"), F.sequence(F.lit(0), cuts - 1)).otherwise(F.array(F.pmod(F.xxhash64("v"), cuts).cast("int")))
+        ready = ready.select("node", "v", "c", "rest", "root", F.explode(at).alias("at")).select(F.xxhash64("node", "at").alias("block"), "v", "c", "rest", "root").join(own, "v")
+        large = mixed.where(F.col("size") - F.col("most") > small)
+        done = level == depth or large.isEmpty()
+        found.append(settle(ready.withColumn("bucket", F.pmod("block", F.lit(16 * shards))).groupBy("bucket").applyInArrow(comparing(level == 0 and done), "x long, y long").distinct(), "pairs"))
+        if done:
             break
-        grown = settle(large.select("node", "v", "sig").mapInArrow(branch, "node long, v long").distinct(), "nodes")
+        grown = settle(large.select("node", "v").join(own, "v").select("node", "v", "sig").mapInArrow(branch, "node long, v long").distinct(), "nodes")
         sizes = grown.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        open_ = settle(grown.join(sizes, "node").select("node", "v", "size"), "members")
+        open_ = settle(grown.join(sizes, "node").select("node", "v", F.lit(0).alias("root")), "members")
     more = found[0]
     for f in found[1:]:
         more = more.union(f)
@@ -210,7 +243,7 @@ def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (x, y) of (x, y, sx, sy) whose sketches agree."""
     for batch in batches:
         if batch.num_rows:
-            good = (tokens(batch.column(2)) == tokens(batch.column(3))).sum(axis=1) >= AGREE
+            good = np.count_nonzero(sketches(batch.column(2)) == sketches(batch.column(3)), axis=1) >= AGREE
             pick = batch.filter(pa.array(good))
             yield pa.RecordBatch.from_arrays([pick.column(0), pick.column(1)], names=["x", "y"])
 
