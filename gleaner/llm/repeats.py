@@ -62,8 +62,9 @@ class Chunk:
         if n < length:
             return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
         g = grams(self.values, k)
-        if self.unit.words:  # long words first: they are rare, so few passages share an anchor by chance
-            size = self.words.end[k - 1 :] - self.words.start[: n - k + 1]
+        if self.unit.words:  # long words first: they are rare, so few passages share an anchor by chance; gaps don't count
+            total = np.concatenate(([0], np.cumsum(self.words.end - self.words.start)))
+            size = total[k:] - total[:-k]
             order = ((63 - np.minimum(size, 63)).astype(np.uint64) << U(58)) | (mix(g ^ BASE2) >> U(6))
         else:
             order = mix(g ^ BASE2)

@@ -122,6 +122,23 @@ def test_substring_dedup(docs, rows, odd, empty):
     assert seedextend.dedup(empty).count() == 0
 
 
+def respaced(seed=11, n=30):
+    """Passages, and copies of them in which about every 13th gap is another one."""
+    r = random.Random(seed)
+    rows, gaps = [], ["  ", "\r\n", "\n    ", "\n\n", "\t", " " * 70]
+    for i in range(n):
+        words = ["".join(r.choices("abcdefghij", k=r.randrange(1, 9))) for _ in range(60)]
+        rows.append((i, " ".join(words)))
+        rows += [(1000 + 10 * i + k, "".join(w + (gap if r.random() < 1 / 13 else " ") for w in words)) for k, gap in enumerate(gaps)]
+    return rows
+
+
+def test_substring_dedup_by_words_only(spark):
+    rows = respaced()
+    out = seedextend.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert tuples(out, "doc_id", "n_words", "n_removed", F.sha2("kept", 256)) == sorted(seedextend.plain(rows))
+
+
 @pytest.mark.parametrize("contexts", [2000, 1])
 def test_suffix_dedup(docs, rows, contexts):
     out = suffixdedup.dedup(docs, contexts=contexts)
