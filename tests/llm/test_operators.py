@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -264,6 +266,55 @@ def test_near_dedup(spark, small):
     assert tuples(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(chosenpath.plain(rows))
 
 
+def descend(full, depth, most=48):
+    """The nodes (node, v, root) of each level for documents with such minwise values, by forced branching of those that
+    v's two documents, full[0] and full[1], share; at most so many of a pair and tree go on."""
+    c = chosenpath
+    sigs = [pa.array([(t.tobytes() + (f & 255).astype(np.uint8).tobytes()) for t, f in zip(x[:, : c.COORDINATES], x, strict=True)], pa.binary()) for x in full]
+    v = pa.array(np.arange(full.shape[1]))
+    new = [next(c.roots(iter([pa.RecordBatch.from_arrays([v, s], names=["v", "sig"])]))) for s in sigs]
+    for level in range(depth + 1):
+        yield new
+        if level < depth:
+            same = pc.equal(new[0].column(0), new[1].column(0))
+            node, at, root = (x.to_numpy() for x in new[0].filter(same).columns)
+            key = at * c.TREES + root // c.BRANCHES
+            order = np.argsort(key, kind="stable")
+            held = order[np.arange(len(key)) - np.searchsorted(key[order], key[order]) < most]
+            node, at, root = pa.array(node[held]), pa.array(at[held]), pa.array(root[held])
+            new = [next(c.branch(iter([pa.RecordBatch.from_arrays([node, at, root, s.take(at)], names=["node", "v", "root", "sig"])]))) for s in sigs]
+
+
+def minwise(n, seed):
+    return np.random.default_rng(seed).integers(0, 1 << 32, (n, chosenpath.SKETCH), dtype=np.uint64).astype(np.uint32)
+
+
+def test_trees_share_no_tokens():
+    """One other minwise value changes the nodes of one tree at most, however deep."""
+    c = chosenpath
+    full = np.repeat(minwise(1, 1), c.SKETCH, axis=0)
+    other = full.copy()
+    np.fill_diagonal(other, other.diagonal() ^ np.uint32(0x01010101))
+    trees = [set() for _ in range(c.SKETCH)]
+    for one, two in descend(np.stack((full, other)), 6):
+        moved = one.column(0).to_numpy() != two.column(0).to_numpy()
+        for at, root in zip(one.column(1).to_numpy()[moved], one.column(2).to_numpy()[moved], strict=True):
+            trees[at].add(root // c.BRANCHES)
+    assert max(map(len, trees)) == 1 and sum(map(len, trees)) > 200
+
+
+def test_forced_branching_keeps_links():
+    """Pairs with similarity 0.75 where every node branches on, down to the deepest level."""
+    n, c = 1000, chosenpath
+    one = minwise(n, 2)
+    two = np.where(np.random.default_rng(3).random(one.shape) < 0.75, one, minwise(n, 4))
+    *_, (left, right) = descend(np.stack((one, two)), c.DEPTH)
+    same = left.filter(pc.equal(left.column(0), right.column(0)))
+    lost = np.bincount(same.column(1).to_numpy() * c.TREES + same.column(2).to_numpy() // c.BRANCHES, minlength=n * c.TREES).reshape(n, c.TREES) == 0
+    assert lost.mean() ** c.TREES < 2e-7
+    assert (lost[:, ::2] & lost[:, 1::2]).mean() < 1.3 * lost.mean() ** 2  # trees lose independently
+
+
 def test_near_dedup_odd(odd, empty):
     got = chosenpath.cluster(odd).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (7, 7, True), (7, 7, True), (7, 7, True), (9, 7, False)]
