@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from gleaner.functions.text import shape_hash
 from gleaner.operators.discover import links
 from gleaner.runtime import prepare, settle
 
-#: Room for the order of a level's rows below its depth.
-LEVEL = 1 << 56
+#: Levels after which the tables of several levels become one, so that plans of a long crawl stay small.
+PACK = 16
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,8 @@ class TrapRules:
 
 @dataclass
 class Crawl:
-    """Tables of a finished crawl: frontier (url, depth, seq, provenance), discoveries, templates, skipped (reason, n)."""
+    """Tables of a crawl: frontier (url, depth, seq, provenance), discoveries, templates, skipped (reason, n), pending (as
+    frontier: what a limit of depth left unvisited; empty without one)."""
 
     frontier: DataFrame
     discoveries: DataFrame
@@ -52,9 +54,13 @@ class Crawl:
         return known.crossJoin(n(self.pending, "pending")).crossJoin(self.skipped.agg(why("off_host"), why("unusable"), why("trapped"))).crossJoin(n(self.discoveries, "discoveries"))  # each side is one row
 
 
-def ordered(df: DataFrame, depth: int, *order: str) -> DataFrame:
-    """seq by a distributed sort: rows in range order, above all of the level before."""
-    return df.orderBy(*order).withColumn("seq", F.lit(depth * LEVEL) + F.monotonically_increasing_id())
+def ordered(df: DataFrame, base: int, *order: str) -> DataFrame:
+    """seq by a distributed sort: rows in range order from base, which is above all of the level before."""
+    return df.orderBy(*order).withColumn("seq", F.lit(base).cast("long") + F.monotonically_increasing_id())
+
+
+def packed(parts: list[DataFrame]) -> list[DataFrame]:
+    return [settle(union(parts, ""), "levels")] if len(parts) >= PACK else parts
 
 
 def templates_of(visited: DataFrame, enqueued: DataFrame, rules: TrapRules) -> DataFrame:
@@ -68,8 +74,9 @@ def templates_of(visited: DataFrame, enqueued: DataFrame, rules: TrapRules) -> D
     return t.withColumn("saturated", trap | full).withColumn("reason", reason)
 
 
-def crawl(pages: DataFrame, seeds: list[str], host: str | None = None, rules: TrapRules | None = TrapRules(), depth: int = 100, resume: DataFrame | None = None) -> Crawl:
+def crawl(pages: DataFrame, seeds: list[str], host: str | None = None, rules: TrapRules | None = TrapRules(), depth: int | None = None, resume: DataFrame | None = None) -> Crawl:
     """Crawls `pages` (url, html) from the seeds. host: only URLs of it (with its port) are followed; None follows all.
+    depth: levels to visit; None goes on until a level brings nothing new. The level after the last one is pending.
     resume: URLs (url) that count as known and visited. A page stored more than once counts once."""
     spark: SparkSession = prepare(pages.sparkSession)
     stored = settle(pages.select(U.canonical_key(F.col("url"), F.lit(None).cast("string")).alias("url"), "html").where("url is not null").dropDuplicates(["url"]), "pages")
@@ -83,9 +90,11 @@ def crawl(pages: DataFrame, seeds: list[str], host: str | None = None, rules: Tr
     start = start.withColumn("reason", F.when(F.col("url").isNull(), "unusable").when(F.lit(host is not None) & ~U.same_host("url", F.lit(host or "")), "off_host"))
     level = start.withColumn("template", F.when(F.col("reason").isNull(), U.template_key("url")))
     known = resume.select("url").distinct() if resume is not None else spark.createDataFrame([], "url string")
-    queues, logs, visits, skips = [], [], [], []
-    for k in range(depth):
-        level = settle(ordered(level, k, "from_seq", "ord"), "level")
+    queues, logs, visits, skips, base, pending = [], [], [], [], 0, None
+    for k in count():
+        queues, logs, visits, skips = map(packed, (queues, logs, visits, skips))
+        level = settle(ordered(level, base, "from_seq", "ord"), "level")
+        base = 1 + (level.agg(F.max("seq").alias("seq")).first().seq or base)
         skips.append(level.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")))
         usable = level.where("reason is null")
         logs.append(usable.select("seq", F.col("url").alias("key"), "raw_url", F.col("page").alias("discovered_from"), "source", "detail"))
@@ -104,6 +113,9 @@ def crawl(pages: DataFrame, seeds: list[str], host: str | None = None, rules: Tr
         new = new.where("allowed").drop("allowed")
         if new.isEmpty():
             break
+        if k == depth:
+            pending = new.withColumn("depth", F.lit(k)).withColumn("visited", F.lit(False))
+            break
         page = settle(new.join(shapes.drop("template"), "url").select("url", "seq", "template", "shape"), "visit")
         queues.append(new.withColumn("depth", F.lit(k)).join(page.select("url", F.lit(True).alias("visited")), "url", "left").na.fill(False, ["visited"]))
         known = settle(known.union(new.select("url")), "known")
@@ -115,7 +127,7 @@ def crawl(pages: DataFrame, seeds: list[str], host: str | None = None, rules: Tr
     frontier = union(queues, "url string, seq long, raw_url string, discovered_from string, source string, detail string, template string, depth int, visited boolean", spark)
     skipped = union(skips, "reason string, n long", spark).groupBy("reason").agg(F.sum("n").alias("n"))
     templates = templates_of(union(visits, "template string, shape string, novelty long", spark), frontier, rules or TrapRules(sample=1 << 60, most=1 << 60))
-    return Crawl(frontier, union(logs, "seq long, key string, raw_url string, discovered_from string, source string, detail string", spark), templates, skipped, frontier.where("not visited and false"))
+    return Crawl(frontier, union(logs, "seq long, key string, raw_url string, discovered_from string, source string, detail string", spark), templates, skipped, frontier.where("false") if pending is None else pending)
 
 
 def union(parts: list[DataFrame], schema: str, spark: SparkSession | None = None) -> DataFrame:

@@ -1,9 +1,12 @@
 """Link discovery, the crawl's fixpoint, the trap guard, and their streaming twins."""
 
+from inspect import signature
+
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import discover
+from gleaner.plans import frontier
 from gleaner.plans.frontier import TrapRules, crawl, trap_states
 from gleaner.sources import planted
 from gleaner.streaming.streams import event_windows, token_stream, trap_stream
@@ -39,6 +42,17 @@ def test_fixpoint(spark):
     assert (s.known, s.visited, s.pending, s.off_host, s.unusable, s.discoveries, s.trapped) == (5, 4, 0, 1, 1, 7, 0)
 
 
+def test_no_level_is_dropped(spark, monkeypatch):
+    """A limit leaves its last level pending; without one a chain is followed to its end, whatever is packed on the way."""
+    pages = spark.createDataFrame([(f"http://h.test/p{'x' * i}", f'<a href="/p{"x" * (i + 1)}">n</a>') for i in range(6)], "url string, html string")
+    cut = crawl(pages, ["http://h.test/p"], rules=None, depth=3)
+    assert [r.url for r in cut.pending.collect()] == ["http://h.test/pxxx"] and cut.stats.first().pending == 1 and cut.frontier.count() == 3
+    monkeypatch.setattr(frontier, "PACK", 2)
+    whole = crawl(pages, ["http://h.test/p"], rules=None)
+    assert [(len(r.url) - 15, r.depth) for r in whole.frontier.orderBy("seq").collect()] == [(i, i) for i in range(7)] and whole.stats.first().pending == 0
+    assert signature(crawl).parameters["depth"].default is None
+
+
 def test_resume_and_no_seed(spark):
     pages = spark.createDataFrame(PAGES, "url string, html string")
     done = spark.createDataFrame([("http://h.test/b",)], "url string")
