@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,8 +26,15 @@ def session(app: str = "gleaner", cores: str = "*", partitions: int = 8) -> Spar
     )
 
 
+#: Rows of an Arrow batch: of whole documents, Spark's 10,000 take tens of megabytes in every worker.
+BATCH = 2000
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, whatever their own path holds."""
+    """Let Python workers import this package, whatever their own path holds; keep their batches small, unless the
+    session has a size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
@@ -34,12 +42,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; set here only where it is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; set here only where it is unset, and only if driver
+    and executors are one machine. A cluster without that setting is refused: its executors would each write to a disk
+    of their own."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     known = sc._jsc.sc().getCheckpointDir()
+    if at is None and known.isDefined():
+        at = known.get()
     if at is None:
-        at = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="gleaner-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="gleaner-")
     if not known.isDefined():
         sc.setCheckpointDir(at)
     return at
@@ -50,7 +64,18 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gleaner-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what settle() wrote, once nothing reads it any more. Tables that settle() didn't return are left alone."""
+    for df in tables:
+        at = df.__dict__.pop("settled_at", None)
+        if at is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
