@@ -1,17 +1,22 @@
 """Near-duplicate documents by a chosen-path set similarity join over 5-word shingles.
 
-Every document gets 16 minwise tokens and a sketch of its shingle set; documents of equal sets go on as one. In each of 8
-trees a document branches on two tokens: a child node holds the documents that agree on that minwise token. Small nodes
-are compared exhaustively; large ones branch again on two coordinates chosen by the node among 30 bytes of the sketch.
-The trees have no token or byte in common, so they lose a link independently. The levels of a tree share its bytes: nodes of
-one level have to choose differently, or all that a pair shares would die together. Of pairs with similarity 0.75 a tree
-loses 6 % at the first level and 12.6 % by the twelfth if every node branches on (measured on 8,000 simulated pairs); eight
-trees at that rate lose 6e-8.
-
-Only links between different components matter. So a first round checks each node's members against its smallest one;
-nodes that are then within one component (large groups of near copies, whatever their size) need nothing more, and
-the pairs of a dense group are never listed. In other nodes only members outside the largest component are compared
-with the rest, block by block. Pairs pass sketches first and are then confirmed on full sets.
+Documents of equal sets go on as one vertex. A vertex has 16 minwise tokens, the roots of 16 trees, and a sketch of 256
+bytes of which every tree has 15 to itself. A node of a tree holds the vertices that agree on all tokens of its path:
+
+1. A node of more than NODE members branches in Spark. It draws one member as its lead; those close to the lead stay
+   behind with it, and the others branch on one or two coordinates that the node draws (4/3 on average, 1 / 0.75: a pair
+   of similarity s has s / 0.75 common children a level, so what is below 0.75 dies out and links hold on).
+2. Smaller nodes go to a task, where they branch on until they hold some tens, which are compared exhaustively. A node
+   whose members are on average too alike for branching to part them is compared with a few of its members, and what
+   isn't connected with them with all the others.
+3. Comparing goes by sketches, with a margin, and gives no pairs: each task reports forests, a row for each vertex and
+   node at most. Their components (groups) hold every link that a tree has found, and some vertices too many.
+4. Every group meets with the full shingle sets of its vertices, which decide. A group that is too large for one task is
+   dealt to blocks, and every two blocks meet.
+
+So a group of copies costs rows in proportion to its members, and whatever links the sketches suggest are confirmed.
+A link is only lost if all 16 trees lose it. At similarity 0.75 a tree loses it with probability 0.25 at the root, and
+0.55 if four more levels follow; see README for measured recall.
 """
 
 from __future__ import annotations
@@ -20,29 +25,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.arrays import BASE1, BASE2, SPACED, SpanHash, U, Words, chunks, grams, mix
-from gleaner.runtime import prepare, settle, table
+from gleaner.llm.arrays import BASE1, BASE2, SPACED, SpanHash, U, Words, chunks, grams, mix, ranges
+from gleaner.runtime import discard, prepare, settle, table
 
 SHINGLE, PERCENT = 5, 75
-#: Minwise functions of which a sketch has one byte each; trees, and children of a document's node in one.
-SKETCH, TREES, BRANCHES = 256, 8, 2
-#: Minwise tokens, one for each first node of a tree, and the later sketch bytes that a tree has to itself for its other levels.
-COORDINATES = TREES * BRANCHES
-OWN = (SKETCH - COORDINATES) // TREES
-#: Members outside its largest component up to which a node is compared exhaustively; levels after which it is anyway.
-SMALL, DEPTH = 2048, 12
-#: Members of the largest component that are compared in one block.
-MEMBERS = 16_384
-#: Of 256 sketch bytes two linked documents agree on at least so many, but for one link in 1e7.
-AGREE = 150
+#: Trees, minwise functions of which a sketch has one byte each, and the sketch bytes that a tree has to itself.
+TREES, SKETCH = 16, 256
+OWN = (SKETCH - TREES) // TREES
+#: Members up to which a node goes to one task, and up to which it is compared exhaustively there.
+NODE, LEAF = 4096, 48
+#: Members of nodes, and shingles of groups, that a task takes at a time, about; shingles of a group in one block.
+BUCKET, ITEMS = 8192, 1 << 20
+#: Equal sketch bytes of 256 from which a pair is worth confirming (a pair of similarity 0.75 has fewer once in 1e7), from
+#: which it is so for the lead of a large node, and from which a member stays behind with the lead: whatever is linked
+#: with such a member has similarity 0.5 or so to the lead, and joins the lead's group by the second number.
+AGREE, LOOSE, CLOSE = 156, 116, 204
+#: Members that a node is held against, and the mean similarity from which it counts as dense.
+PIVOTS, DENSE = 4, 0.45
+#: Levels of a path that use a tree's own bytes; beyond them all bytes serve.
+DEEP = 12
 
 MULTIPLIERS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * BASE1) | U(1)
 SHIFTS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * BASE2)
 
 
+# Sets and signatures ---------------------------------------------------------------------------------------------
+
+
 def sets_of(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, distinct shingle hashes of the documents end to end, their bounds) of each chunk."""
     for lo, hi, data, offsets in chunks(texts):
@@ -59,201 +72,409 @@ def sets_of(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, int, np.nd
         yield lo, hi, np.concatenate(out), bounds
 
 
+def digests(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two 64-bit digests of each set; zeros for an empty one."""
+    full = np.flatnonzero(np.diff(bounds))
+    d = np.zeros((2, len(bounds) - 1), np.int64)
+    if len(full):
+        for k, b in enumerate((BASE1, BASE2)):
+            d[k, full] = np.add.reduceat(mix(flat + b), bounds[:-1][full]).view(np.int64)
+    return d
+
+
+def binary(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
+
+
+def matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """Back from binary(): a row of `width` values for each binary value."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, width), kind)
+    size = width * np.dtype(kind).itemsize
+    return np.frombuffer(column.buffers()[2], np.uint8)[column.offset * size :][: len(column) * size].view(kind).reshape(-1, width)
+
+
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, text) to (doc_id, n, d1, d2, sig): size, 128-bit digest and minwise tokens of the set."""
+    """From (key, doc_id, text) to (key, doc_id, n, d1, d2, tokens, sketch)."""
     for batch in batches:
-        for lo, hi, flat, bounds in sets_of(batch.column(1)):
+        for lo, hi, flat, bounds in sets_of(batch.column(2)):
             size = np.diff(bounds)
             full = np.flatnonzero(size)
-            sig, sketch = np.zeros((hi - lo, COORDINATES), np.uint32), np.zeros((hi - lo, SKETCH), np.uint8)
-            d = np.zeros((2, hi - lo), np.uint64)
+            sig, sketch = np.zeros((hi - lo, TREES), np.uint32), np.zeros((hi - lo, SKETCH), np.uint8)
             if len(full):
                 start = bounds[:-1][full]
                 for j in range(SKETCH):
                     least = np.minimum.reduceat((flat * MULTIPLIERS[j] + SHIFTS[j]) >> U(32), start)
                     sketch[full, j] = least & U(255)
-                    if j < COORDINATES:
+                    if j < TREES:
                         sig[full, j] = least
-                d[0, full], d[1, full] = (np.add.reduceat(mix(flat + b), start) for b in (BASE1, BASE2))
-            both = np.concatenate((sig.view(np.uint8), sketch), axis=1)
-            sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * COORDINATES + SKETCH), hi - lo, [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), sigs], names=["doc_id", "n", "d1", "d2", "sig"])
-
-
-def signature_rows(sigs: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(-1, 4 * COORDINATES + SKETCH)
+            d = digests(flat, bounds)
+            own = [batch.column(k).slice(lo, hi - lo) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int64()), pa.array(d[0]), pa.array(d[1]), binary(sig), binary(sketch)], names=["key", "doc_id", "n", "d1", "d2", "tokens", "sketch"])
 
 
-def tokens(sigs: pa.Array) -> np.ndarray:
-    """Minwise tokens, a row for each document."""
-    return np.ascontiguousarray(signature_rows(sigs)[:, : 4 * COORDINATES]).view(np.uint32)
-
-
-def sketches(sigs: pa.Array) -> np.ndarray:
-    return np.ascontiguousarray(signature_rows(sigs)[:, 4 * COORDINATES :])
+# Trees -----------------------------------------------------------------------------------------------------------
 
 
 def child(node: np.ndarray, coordinate: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(node ^ mix(token.astype(np.uint64) * BASE1 + coordinate.astype(np.uint64)))
 
 
+def draws(node: np.ndarray, tree: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first coordinate of each node, its second one, and whether it uses that too (one node in three)."""
+    deep = np.asarray(level) >= DEEP
+    first, many = np.where(deep, TREES, TREES + tree * OWN), np.where(deep, SKETCH - TREES, OWN).astype(np.uint64)
+    one = (mix(node) % many).astype(np.int64)
+    two = (one + 1 + (mix(node ^ BASE2) % (many - U(1))).astype(np.int64)) % many.astype(np.int64)
+    return first + one, first + two, mix(node ^ BASE1) % U(3) == 0
+
+
 def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (v, sig) to the nodes of the first level: TREES * BRANCHES rows (node, v, root), the coordinate being root."""
+    """From (r, tokens) to TREES rows (node, r, tree)."""
     for batch in batches:
-        sig = tokens(batch.column(1))
-        n, many = len(sig), TREES * BRANCHES
-        nodes = np.stack([child(np.full(n, j // BRANCHES + 1, np.uint64), np.full(n, j), sig[:, j]) for j in range(many)], axis=1)
-        root = np.tile(np.arange(many, dtype=np.int32), n)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(n), many))), pa.array(root)], names=["node", "v", "root"])
+        sig = matrix(batch.column(1), np.uint32, TREES)
+        n = len(sig)
+        nodes = np.stack([child(np.full(n, j + 1, np.uint64), np.full(n, j), sig[:, j]) for j in range(TREES)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(n), TREES))), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n))], names=["node", "r", "tree"])
 
 
-def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (node, v, root, sig) to the node's children: BRANCHES rows (node, v, root), on coordinates that the node
-    chooses among its tree's own."""
-    for batch in batches:
-        node, root, sketch = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy(), sketches(batch.column(3))
-        row, out = np.arange(len(sketch)), []
-        first = COORDINATES + root.astype(np.int64) // BRANCHES * OWN
-        one = (mix(node) % U(OWN)).astype(np.int64)
-        step = 1 + (mix(node ^ BASE2) % U(OWN - 1)).astype(np.int64)
-        for b in range(BRANCHES):
-            j = first + (one + b * step) % OWN
-            out.append(child(node, j, sketch[row, j]))
-        again = pa.array(np.repeat(row, BRANCHES))
-        yield pa.RecordBatch.from_arrays([pa.array(np.stack(out, axis=1).ravel().view(np.int64)), batch.column(1).take(again), batch.column(2).take(again)], names=["node", "v", "root"])
-
-
-def comparing(once: bool):
-    """Pairs within each block of a bucket that differ in component, and agree in size and sketch. Members outside
-    the node's largest component are compared with all others; those inside it aren't with each other. once: a pair
-    is given in the first of its common root nodes only."""
-
-    def compare(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("block").to_numpy(), kind="stable")
-        block, v, c, n, rest, root = (group.column(x).to_numpy()[order] for x in ("block", "v", "c", "n", "rest", "root"))
-        sigs = group.column("sig").combine_chunks()
-        sig, sketch = tokens(sigs)[order], sketches(sigs)[order]
-        edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            own = np.argsort(rest[a:b], kind="stable") + a  # the largest component, then the rest
-            for k in range(int((~rest[a:b]).sum()), b - a):
-                i, j = own[k], own[:k]
-                j = j[(c[j] != c[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
-                if once and root[a]:
-                    j = j[~(sig[j, : root[a]] == sig[i, : root[a]]).any(axis=1)]
-                j = j[np.count_nonzero(sketch[j] == sketch[i], axis=1) >= AGREE]
-                left.append(np.full(len(j), i))
-                right.append(j)
-        x, y = v[np.concatenate(left)], v[np.concatenate(right)]
-        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
-
-    return compare
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the distinct pairs (x, y) whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, flat, bounds in sets_of(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))], names=["v", "items"])
+def branch(level: int):
+    """From members (node, r, tree, sketch, n, lead, lead_sketch, lead_n) to rows (node, r, tree, lead): of members alike enough
+    (lead, r), and of the children that a member goes on to if it doesn't stay behind (lead is null)."""
 
-    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(build, "v long, items array<long>")
-    sets = settle(sets, "sets")
-    both = pairs.join(sets.select(F.col("v").alias("y"), F.col("items").alias("b")), "y").join(sets.select(F.col("v").alias("x"), F.col("items").alias("a")), "x")
-    common = both.select("x", "y", (F.size("a") + F.size("b")).cast("long").alias("n"), F.size(F.array_intersect("a", "b")).cast("long").alias("k"))
-    return common.where(100 * F.col("k") >= percent * (F.col("n") - F.col("k"))).select("x", "y").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, tree = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+            sketch, n = matrix(batch.column(3), np.uint8, SKETCH), batch.column(4).to_numpy()
+            equal = np.count_nonzero(sketch == matrix(batch.column(6), np.uint8, SKETCH), axis=1)
+            alike, row = np.flatnonzero(equal >= LOOSE), np.arange(len(node))
+            one, two, both = draws(node, tree, level)
+            go = equal < CLOSE
+            rows = np.concatenate((alike, row[go], row[go & both]))
+            nodes = np.concatenate((node[alike], child(node, one, sketch[row, one])[go], child(node, two, sketch[row, two])[go & both]))
+            lead = pa.concat_arrays([batch.column(5).take(pa.array(alike)), pa.nulls(len(rows) - len(alike), pa.int64())])
+            again = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column(1).take(again), batch.column(2).take(again), lead], names=["node", "r", "tree", "lead"])
+
+    return run
+
+
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest vertex that each of 0..n-1 is connected with by the edges (a, b)."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+class Nodes:
+    """Nodes of some trees over the same vertices, branched and compared by sketches until their forests are known."""
+
+    def __init__(self, sketch: np.ndarray, size: np.ndarray, percent: int):
+        self.sketch, self.size, self.percent = sketch, size, percent
+        self.left: list[np.ndarray] = []
+        self.right: list[np.ndarray] = []
+        self.leaves: dict[int, list[np.ndarray]] = {}
+
+    def fits(self, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        a, b = self.size[i], self.size[j]
+        return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+
+    def add(self, members: np.ndarray, node: int, tree: int, leaf: int = LEAF) -> None:
+        """One root node of this task."""
+        open_ = [(members, node, 0)]
+        while open_:
+            own, at, level = open_.pop()
+            if len(own) <= leaf:
+                self.leaves.setdefault(len(own), []).append(own)
+                continue
+            equal = np.stack([np.count_nonzero(self.sketch[own] == self.sketch[own[k * len(own) // PIVOTS]], axis=1) for k in range(PIVOTS)])
+            if (np.mean(equal) / SKETCH - 1 / 256) / (1 - 1 / 256) >= DENSE:
+                self.dense(own, equal)
+                continue
+            here = np.array([at], np.uint64)
+            one, two, both = draws(here, np.array([tree]), level)
+            for c in (one, two) if both[0] else (one,):
+                byte = self.sketch[own, c[0]]
+                order = np.argsort(byte, kind="stable")
+                edge = np.flatnonzero(np.diff(byte[order], prepend=-1, append=-1))
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    if b - a > 1:
+                        open_.append((own[order[a:b]], int(child(here, c, byte[order[a : a + 1]])[0]), level + 1))
+
+    def dense(self, own: np.ndarray, equal: np.ndarray) -> None:
+        """Compares a node with its pivots, and with all members those that aren't connected with most others then."""
+        m = len(own)
+        pivots = np.arange(PIVOTS) * m // PIVOTS
+        a, b = np.nonzero(equal >= AGREE)
+        good = self.fits(own[pivots[a]], own[b])
+        a, b = pivots[a[good]], b[good]
+        label = connected(m, a, b)
+        most = np.bincount(label).argmax()
+        left, right = [a], [b]
+        for y in np.flatnonzero(label != most).tolist():
+            some = np.flatnonzero((np.count_nonzero(self.sketch[own] == self.sketch[own[y]], axis=1) >= AGREE) & self.fits(own[y], own))
+            some = some[np.unique(label[some], return_index=True)[1]]  # one of each part is enough to connect them
+            left.append(np.full(len(some), y))
+            right.append(some)
+        self.left.append(own[np.concatenate(left)])
+        self.right.append(own[np.concatenate(right)])
+
+    def forest(self, step: int = 1 << 14) -> np.ndarray:
+        """Compares the leaves, and gives the smallest vertex that each one is connected with."""
+        for k, nodes in self.leaves.items():
+            grid = np.stack(nodes)
+            i, j = np.triu_indices(k, 1)
+            for at in range(0, len(grid), max(1, step // max(1, len(i)))):
+                part = grid[at : at + max(1, step // max(1, len(i)))]
+                a, b = part[:, i].ravel(), part[:, j].ravel()
+                good = self.fits(a, b)
+                a, b = a[good], b[good]
+                good = np.count_nonzero(self.sketch[a] == self.sketch[b], axis=1) >= AGREE
+                self.left.append(a[good])
+                self.right.append(b[good])
+        none = [np.zeros(0, np.int64)]
+        return connected(len(self.size), np.concatenate(none + self.left), np.concatenate(none + self.right))
+
+
+def compare(percent: int, leaf: int):
+    """A bucket of whole nodes (node, r, tree, n, sketch) to its forest: (x, y) with y the vertices, x another of the same group."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        node, r, tree = (bucket.column(c).to_numpy() for c in ("node", "r", "tree"))
+        vertices, first, which = np.unique(r, return_index=True, return_inverse=True)
+        sketch = matrix(bucket.column("sketch"), np.uint8, SKETCH)[first]
+        nodes = Nodes(sketch, bucket.column("n").to_numpy()[first], percent)
+        order = np.argsort(node, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(node[order]) != 0, [True])))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            at = order[a]
+            nodes.add(which[order[a:b]], int(node[at : at + 1].view(np.uint64)[0]), int(tree[at]), leaf)
+        label = nodes.forest()
+        some = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"x": vertices[label[some]], "y": vertices[some]})
+
+    return run
+
+
+def forests(own: DataFrame, percent: int = PERCENT, node: int = NODE, leaf: int = LEAF) -> DataFrame:
+    """Edges (x, y) between vertices of own(r, n, tokens, sketch); their components hold every link a tree has found."""
+    members = own.select("r", "tokens").mapInArrow(roots, "node long, r long, tree int")
+    edges, small, level = [], [], 0
+    while True:
+        sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.min_by("r", F.xxhash64("r", "node")).alias("lead")).where("size > 1")
+        both = settle(members.join(sizes, "node"), "members")
+        small.append(both.where(F.col("size") <= node).select("node", "r", "tree"))
+        large = both.where(F.col("size") > node)
+        if large.isEmpty():
+            break
+        known = own.select("r", "n", "sketch")
+        leads = large.select("node", "lead").distinct().join(known.toDF("lead", "lead_n", "lead_sketch"), "lead")
+        wide = large.select("node", "r", "tree").join(known, "r").join(leads, "node")
+        grown = settle(wide.select("node", "r", "tree", "sketch", "n", "lead", "lead_sketch", "lead_n").mapInArrow(branch(level), "node long, r long, tree int, lead long"), "grown")
+        edges.append(grown.where("lead <> r").select(F.col("lead").alias("x"), F.col("r").alias("y")))
+        members, level = grown.where("lead is null").select("node", "r", "tree").distinct(), level + 1
+    every = small[0]
+    for s in small[1:]:
+        every = every.unionByName(s)
+    buckets = max(1, -(-every.count() // BUCKET))
+    wide = every.join(own.select("r", "n", "sketch"), "r").withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets)))
+    out = wide.groupBy("bucket").applyInArrow(compare(percent, leaf), "x long, y long")
+    for e in edges:
+        out = out.union(e)
+    return settle(out.distinct(), "forests")
+
+
+# Components ------------------------------------------------------------------------------------------------------
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame | None:
     """(v, c): the smallest vertex that each vertex of some edge is connected with; None without edges.
 
     Each round moves every vertex to its smallest neighbour's smallest neighbour and carries the edges over."""
-    label = None
-    edges = settle(edges.where("x <> y"), "edges")
+    label, done = None, []
     for _ in range(rounds):
+        edges = settle(edges.where("x <> y"), "edges")
         if edges.isEmpty():
+            discard(edges, *done)
             return label
-        near = edges.union(edges.select("y", "x")).toDF("v", "u").groupBy("v").agg(F.least("v", F.min("u")).alias("p"))
-        near = settle(near, "near")
-        far = near.join(near.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p"))
-        far = settle(far, "far")
-        label = far.select("v", F.col("p").alias("c")) if label is None else label.join(far.select(F.col("v").alias("c"), "p"), "c", "left").select("v", F.coalesce("p", "c").alias("c"))
-        label = settle(label, "labels")
-        moved = edges.join(far.toDF("x", "px"), "x").join(far.toDF("y", "py"), "y").select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).where("x <> y").distinct()
-        edges = settle(moved, "edges")
+        near = settle(edges.union(edges.select("y", "x")).toDF("v", "u").groupBy("v").agg(F.least("v", F.min("u")).alias("p")), "near")
+        far = settle(near.join(near.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p")), "far")
+        discard(near, *done)
+        done = [edges, far]
+        if label is None:
+            label = settle(far.select("v", F.col("p").alias("c")), "labels")
+        else:
+            before, label = label, settle(label.join(far.select(F.col("v").alias("c"), "p"), "c", "left").select("v", F.coalesce("p", "c").alias("c")), "labels")
+            discard(before)
+        edges = edges.join(far.toDF("x", "px"), "x").join(far.toDF("y", "py"), "y").select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct()
     raise RuntimeError("components didn't settle")
 
 
-def cluster(docs: DataFrame, percent: int = PERCENT, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+# Confirming on full sets -----------------------------------------------------------------------------------------
+
+
+def wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (text, d1, d2, group, cells, r) to (group, cells, r, items), where the text's set has that digest."""
+    for batch in batches:
+        for lo, hi, flat, bounds in sets_of(batch.column(0)):
+            d = digests(flat, bounds)
+            own = batch.slice(lo, hi - lo)
+            good = (d[0] == own.column(1).to_numpy()) & (d[1] == own.column(2).to_numpy())
+            items = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*own.columns[3:], items], names=["group", "cells", "r", "items"]).filter(pa.array(good))
+
+
+def linked(flat: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
+    """Components (as smallest index) of sets under links of enough similarity, on full sets.
+
+    A few sets are compared with all by the postings of their items; so is then every set outside the largest
+    component. A link has an end outside it, or joins two sets that are connected already."""
+    m, size = len(bounds) - 1, np.diff(bounds)
+    _, item, count = np.unique(flat, return_inverse=True, return_counts=True)
+    posting = np.repeat(np.arange(m), size)[np.argsort(item, kind="stable")]
+    start = np.cumsum(count) - count
+    left, right = [], []
+
+    def against_all(x: int) -> None:
+        own = item[bounds[x] : bounds[x + 1]]
+        common = np.bincount(posting[ranges(start[own], count[own])], minlength=m)
+        some = np.flatnonzero(100 * common >= percent * (size[x] + size - common))
+        left.append(np.full(len(some), x))
+        right.append(some)
+
+    first = sorted({k * m // min(m, 8) for k in range(min(m, 8))})
+    for x in first:
+        against_all(x)
+    label = connected(m, np.concatenate(left), np.concatenate(right))
+    rest = label != np.bincount(label).argmax()
+    rest[first] = False
+    for x in np.flatnonzero(rest).tolist():
+        against_all(x)
+    return connected(m, np.concatenate(left), np.concatenate(right))
+
+
+def decide(percent: int):
+    """A bucket of whole groups or cells (group, r, items) to confirmed forests (x, y), y being linked with x by a chain."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        group, r = bucket.column("group").to_numpy(), bucket.column("r").to_numpy()
+        items = bucket.column("items").combine_chunks()
+        flat, size = items.flatten().to_numpy(), pc.list_value_length(items).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(size) - size
+        order = np.lexsort((r, group))
+        order = order[np.concatenate(([True], (np.diff(group[order]) != 0) | (np.diff(r[order]) != 0)))[: len(order)]]  # equal rows of a document
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0, [True]))) if len(order) else [0]
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            own = order[a:b]
+            label = linked(flat[ranges(begin[own], size[own])], np.concatenate(([0], np.cumsum(size[own]))), percent)
+            some = np.flatnonzero(label != np.arange(len(own)))
+            x.append(r[own[label[some]]])
+            y.append(r[own[some]])
+        return pa.table({"x": np.concatenate(x), "y": np.concatenate(y)})
+
+    return run
+
+
+def confirm(groups: DataFrame, texts: DataFrame, own: DataFrame, percent: int = PERCENT, items: int = ITEMS) -> tuple[DataFrame, bool]:
+    """Confirmed edges (x, y) within groups (v, c), and whether they are stars already: a component's smallest vertex
+    with each other one."""
+    vertices = groups.select(F.col("v").alias("r"), F.col("c").alias("group")).join(own.select("r", "key", "n", "d1", "d2"), "r")
+    totals = vertices.groupBy("group").agg(F.sum("n").alias("total"))
+    known = vertices.join(totals, "group").withColumn("blocks", F.ceil(F.col("total") / (items / 2)).cast("int")).withColumn("large", F.col("total") > items)
+    # a group within bounds is one cell; of larger ones, a block meets every other block in a cell of their own
+    block = F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
+    known = settle(known.select("key", "d1", "d2", "group", F.when(F.col("large"), cells).otherwise(F.array(F.lit(-1))).alias("cells"), "r", "n", "large"), "wanted")
+    total, large = known.agg(F.sum(F.col("n") * F.size("cells")), F.max("large")).first()
+    buckets = max(1, -(-(total or 0) // items))
+    sets = texts.join(known.hint("merge"), "key").select("text", "d1", "d2", "group", "cells", "r").mapInArrow(wanted_sets, "group long, cells array<int>, r long, items array<long>")
+    dealt = sets.select("group", F.explode("cells").alias("cell"), "r", "items").withColumn("group", F.when(F.col("cell") < 0, F.col("group")).otherwise(F.xxhash64("group", "cell"))).drop("cell")
+    out = dealt.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets))).groupBy("bucket").applyInArrow(decide(percent), "x long, y long")
+    out = settle(out, "links")
+    discard(known)
+    return out, not large
+
+
+def keyed(docs: DataFrame) -> Column:
+    """A number by which a row of docs is found again, together with its set's digest: the id, or of rows without one a hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
+def classes(docs: DataFrame, percent: int = PERCENT, node: int = NODE, leaf: int = LEAF, items: int = ITEMS) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs as (r, key, doc_id, n, d1, d2), and (n, d1, d2, component_id, key, leads) of each distinct set that
+    isn't empty: its component, the key of its first row, and whether it is the component's first set."""
+    spark = prepare(docs.sparkSession)
+    texts = docs.select(keyed(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = texts.mapInArrow(signatures, "key long, doc_id long, n long, d1 long, d2 long, tokens binary, sketch binary")
+    every = settle(every.withColumn("r", F.monotonically_increasing_id()), "signatures")
+    same = every.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("r").alias("r"), F.min("doc_id").alias("least"))
+    own = settle(every.join(same.select("r", "least"), "r"), "own")
+    edges = forests(own, percent, node, leaf)
+    groups = components(edges)
+    label = None
+    if groups is not None:
+        links, stars = confirm(groups, texts, own, percent, items)
+        label = links.select(F.col("y").alias("v"), F.col("x").alias("c")) if stars else components(links)
+    discard(edges)
+    at = own.select("r", "key", "n", "d1", "d2", "least").withColumn("order", F.coalesce("least", F.lit((1 << 63) - 1)))
+    at = at.withColumn("c", F.col("r")) if label is None else at.join(label.withColumnRenamed("v", "r"), "r", "left").withColumn("c", F.coalesce("c", "r"))
+    # a component's first set is that of its smallest id; of several with that id (or with none) that of the smallest row
+    parts = at.groupBy("c", "order").agg(F.min("r").alias("lead"), F.min("least").alias("component_id")).groupBy("c").agg(F.min_by("lead", "order").alias("lead"), F.min("component_id").alias("component_id"))
+    return every.drop("tokens", "sketch"), at.join(parts, "c").select("n", "d1", "d2", "component_id", F.coalesce("least", "key").alias("key"), (F.col("r") == F.col("lead")).alias("leads"))
+
+
+def cluster(docs: DataFrame, percent: int = PERCENT, node: int = NODE, leaf: int = LEAF, items: int = ITEMS) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
-    Null and empty texts have no shingles, no links, and are kept. A row with a null doc_id is in no component (null)
-    and is kept. Rows of equal doc_id have a row each, by their own sets; if equal sets lead to one representative they share
-    its component. `kept` marks every row whose doc_id is its component's. An empty table gives no rows; extra columns
-    aren't read.
+    Null and empty texts have no shingles, no links, a component of their own, and are kept. A row without an id is
+    linked like any other, but gives no component its name: alone or among its like its component is null and it is
+    kept, otherwise it has the component's id and isn't. Rows of equal doc_id have a row each, by their own sets; `kept`
+    marks every row whose doc_id is its component's. An empty table gives no rows; extra columns aren't read.
     """
-    spark = prepare(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = settle(slim.mapInArrow(signatures, "doc_id long, n long, d1 long, d2 long, sig binary"), "signatures")
-    some = every.where("n > 0 and doc_id is not null")
-    same = settle(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("v")), "same")
-    # one row of signature for each representative, in whatever order rows of equal id and set come
-    own = settle(some.join(same, ["n", "d1", "d2"]).where("doc_id = v").select("v", "n", "sig").dropDuplicates(["v", "n", "sig"]), "own")
-    members = settle(own.select("v", "sig").mapInArrow(roots, "node long, v long, root int").distinct(), "nodes")
-    nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("lead")).where("size > 1")
-    members = settle(members.join(nodes, "node").select("node", "v", "root", "lead"), "members")
-
-    pairs = members.where("v <> lead").select(F.col("lead").alias("x"), F.col("v").alias("y")).distinct()
-    sketch = own.select(F.col("v").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sy"))
-    pairs = pairs.join(sketch, "y").join(sketch.toDF("x", "nx", "sx"), "x").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    pairs = settle(pairs.select("x", "y", "sx", "sy").mapInArrow(agreeing, "x long, y long").distinct(), "pairs")
-    edges = settle(confirm(pairs, slim, percent), "links")
-    label = components(edges)
-
-    open_ = members.select("node", "v", "root")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = []
-    for level in range(depth + 1):
-        mixed = open_.withColumn("c", F.col("v")) if label is None else open_.join(label, "v", "left").select("node", "v", "root", F.coalesce("c", "v").alias("c"))
-        parts = mixed.groupBy("node", "c").agg(F.count("*").alias("k"))
-        nodes = parts.groupBy("node").agg(F.sum("k").alias("size"), F.max("k").alias("most"), F.max_by("c", F.struct("k", "c")).alias("top")).where("size > most")
-        mixed = settle(mixed.join(nodes, "node"), "mixed").withColumn("rest", F.col("c") != F.col("top"))
-        ready = mixed if level == depth else mixed.where(F.col("size") - F.col("most") <= small)
-        # a node's largest component is dealt to blocks, and its other members go to each of them
-        cuts = F.ceil(F.col("size") / MEMBERS).cast("int")
-        at = F.when(F.col("rest"), F.sequence(F.lit(0), cuts - 1)).otherwise(F.array(F.pmod(F.xxhash64("v"), cuts).cast("int")))
-        ready = ready.select("node", "v", "c", "rest", "root", F.explode(at).alias("at")).select(F.xxhash64("node", "at").alias("block"), "v", "c", "rest", "root").join(own, "v")
-        large = mixed.where(F.col("size") - F.col("most") > small)
-        done = level == depth or large.isEmpty()
-        found.append(settle(ready.withColumn("bucket", F.pmod("block", F.lit(16 * shards))).groupBy("bucket").applyInArrow(comparing(level == 0 and done), "x long, y long").distinct(), "pairs"))
-        if done:
-            break
-        grown = settle(large.select("node", "v", "root").join(own, "v").select("node", "v", "root", "sig").mapInArrow(branch, "node long, v long, root int").distinct(), "nodes")
-        sizes = grown.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        open_ = settle(grown.join(sizes, "node").select("node", "v", "root"), "members")
-    more = found[0]
-    for f in found[1:]:
-        more = more.union(f)
-    more = settle(more.distinct(), "pairs")
-    if not more.isEmpty():
-        fresh = confirm(more, slim, percent)
-        label = components(edges.union(fresh).distinct())
-    out = every.join(same, ["n", "d1", "d2"], "left")
-    out = out.select("*", F.lit(None).cast("long").alias("c")) if label is None else out.join(label, "v", "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "v", "doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (x, y) of (x, y, sx, sy) whose sketches agree."""
-    for batch in batches:
-        if batch.num_rows:
-            good = np.count_nonzero(sketches(batch.column(2)) == sketches(batch.column(3)), axis=1) >= AGREE
-            pick = batch.filter(pa.array(good))
-            yield pa.RecordBatch.from_arrays([pick.column(0), pick.column(1)], names=["x", "y"])
+    every, known = classes(docs, percent, node, leaf, items)
+    out = every.join(known.drop("key", "leads"), ["n", "d1", "d2"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def with_digests(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, flat, bounds in sets_of(batch.column(at)):
+                d = digests(flat, bounds)
+                more = [pa.array(np.diff(bounds), pa.int64()), pa.array(d[0]), pa.array(d[1])]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *more], names=[*batch.schema.names, "__n", "__d1", "__d2"])
+
+    return run
+
+
+def distinct(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents, with exactly one row of each component: that of smallest id, those without an id last, any one
+    of rows with equal id and set. All columns stay.
+
+    Rows decide, not ids: of an id with several texts only those go that are copies. Null and empty texts all stay.
+    An empty table gives no rows.
+    """
+    _, known = classes(docs, percent)
+    leads = settle(known.where("leads").select(F.col("key").alias("__key"), F.col("n").alias("__n"), F.col("d1").alias("__d1"), F.col("d2").alias("__d2")), "leads")
+    words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__key long", "__n long", "__d1 long", "__d2 long"])
+    by = ["__key", "__n", "__d1", "__d2"]
+    marked = docs.where(words).withColumn("__key", keyed(docs)).mapInArrow(with_digests(docs.columns.index("text")), schema)
+    return marked.join(leads, by, "left_semi").dropDuplicates(by).select(docs.columns).unionByName(docs.where(~words))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
