@@ -147,10 +147,11 @@ def shape_hash(body: Column | str) -> Column:
 
 
 def hidden_text(every: Column | str, visible: Column | str) -> Column:
-    """Lines of the whole text that aren't part of the visible text, white space aside."""
-    seen = collapse(visible)
-    lines = F.transform(F.split(col(every), r"\n+"), lambda x: strip(collapse(x)))
-    return F.array_join(F.filter(lines, lambda x: (x != "") & ~F.contains(seen, x)), "\n")
+    """Lines of the whole text that aren't part of the visible text, white space aside. White space is cleaned once for a
+    text, not for each line: the visible text is bound by a one-element array."""
+    clean = F.regexp_replace(col(every), f"[{BLANKS}&&[^\\n]]+", " ")
+    lines = F.filter(F.transform(F.split(clean, r"\n+"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(F.array(collapse(visible)), lambda seen: F.array_join(F.filter(lines, lambda x: ~F.contains(seen, x)), "\n"))[0]
 
 
 def short(url: Column | str) -> Column:

@@ -65,20 +65,28 @@ def header_texts(column: str, name: str) -> Column:
     return F.transform(entries, lambda e: F.struct(F.concat(F.lit(f'HTTP {name} header "'), e["key"], F.lit('"')).alias("method"), F.coalesce(e["value"], F.lit("")).alias("text")))
 
 
-def header_pass(observations: DataFrame, registry: Registry, grammar: Grammar) -> DataFrame:
-    """Results of the three header channels that the registry has, with their hits; no body is read."""
+def header_channels() -> dict[str, tuple[Column, Column]]:
+    """Of an observation and each header channel: whether it applies, and its texts."""
     headers, requests = (F.coalesce(c, F.create_map().cast("map<string,string>")) for c in ("headers", "request_headers"))
     status = F.struct(F.lit("HTTP status line (reason phrase)").alias("method"), F.concat_ws(" ", F.col("status").cast("string"), F.coalesce("status_text", F.lit(""))).alias("text"))
     cookie = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == "set-cookie")
-    channels = {
+    return {
         "response-headers": ((F.size(headers) > 0) | (F.length(F.coalesce("status_text", F.lit(""))) > 0), F.concat(F.array(status), header_texts("headers", "response"))),
         "request-headers": (F.size(requests) > 0, header_texts("request_headers", "request")),
         "cookies": (F.size(cookie) > 0, F.transform(cookie, lambda e: F.struct(F.lit("Set-Cookie response header").alias("method"), F.coalesce(e["value"], F.lit("")).alias("text")))),
     }
+
+
+def found_in(applied: Column, texts: Column, grammar: Grammar) -> Column:
+    return F.when(applied, matches(texts, grammar)).otherwise(F.array().cast(FOUND)).cast(FOUND)
+
+
+def header_pass(observations: DataFrame, registry: Registry, grammar: Grammar) -> DataFrame:
+    """Results of the header channels that the registry has and that look at headers only; no body is read."""
     rows = [
-        F.struct(F.lit(registry.ids.index(k)).alias("extractor_ord"), F.lit(k).alias("extractor"), a.alias("applied"), F.when(a, matches(t, grammar)).otherwise(F.array().cast(FOUND)).cast(FOUND).alias("found"))
-        for k, (a, t) in channels.items()
-        if k in registry.ids
+        F.struct(F.lit(registry.ids.index(k)).alias("extractor_ord"), F.lit(k).alias("extractor"), a.alias("applied"), found_in(a, t, grammar).alias("found"))
+        for k, (a, t) in header_channels().items()
+        if k in registry.ids and k != "cookies"
     ]
     if not rows:
         return observations.limit(0).select("seq", "mime_type", "body_path", "url", "final_url", F.lit(0).alias("extractor_ord"), F.lit("").alias("extractor"), F.lit(False).alias("applied"), F.array().cast(FOUND).alias("found"))
@@ -116,15 +124,14 @@ def extract(observations: DataFrame, bodies: DataFrame, registry: Registry | Non
     passed = ways.join(bodies.dropDuplicates(["sha256"]), "sha256").select(*SEEN_AS, "body").mapInArrow(body_pass(registry, grammar), f"sha256 string, mime_type string, kind string, ending string, resource_type string, extractor_ord int, extractor string, applied boolean, found {FOUND}, error string")
     columns = ["seq", "mime_type", "body_path", "url", "final_url", "extractor_ord", "extractor", "applied", "found", "error"]
     null_safe = [F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}")) for c in SEEN_AS]
-    of_body = readable.alias("o").join(passed.alias("p"), null_safe).select("o.seq", "o.mime_type", "o.body_path", "o.url", "o.final_url", "p.extractor_ord", "p.extractor", "p.applied", "p.found", "p.error")
-    of_head = header_pass(readable, registry, grammar).withColumn("error", F.lit(None).cast("string")).select(columns)
     # cookies look at headers and at bodies: one result, headers first
-    both = of_body.where("extractor <> 'cookies'").unionByName(of_head.where("extractor <> 'cookies'"))
-    key = ["seq", "extractor_ord", "extractor"]
-    head = of_head.where("extractor = 'cookies'").select(*key, F.col("applied").alias("a"), F.col("found").alias("f"))
+    applied, texts = header_channels()["cookies"]
     shift = lambda h: F.struct((h["hit_ord"] + F.lit(1 << 48)).alias("hit_ord"), h["token"], h["method"], h["context"])
-    cookies = of_body.where("extractor = 'cookies'").join(head, key, "left").select(
-        "seq", "mime_type", "body_path", "url", "final_url", "extractor_ord", "extractor", (F.col("applied") | F.coalesce("a", F.lit(False))).alias("applied"),
-        F.concat(F.coalesce("f", F.array().cast(FOUND)), F.transform("found", shift).cast(FOUND)).alias("found"), "error",
+    own, is_cookies = F.col("p.extractor"), F.col("p.extractor") == "cookies"
+    joined = readable.alias("o").join(passed.alias("p"), null_safe)
+    of_body = joined.select(
+        "o.seq", "o.mime_type", "o.body_path", "o.url", "o.final_url", "p.extractor_ord", own, (F.col("p.applied") | (is_cookies & applied)).alias("applied"),
+        F.when(is_cookies, F.concat(found_in(applied, texts, grammar), F.transform("p.found", shift).cast(FOUND))).otherwise(F.col("p.found")).alias("found"), "p.error",
     )
-    return Extraction(both.unionByName(cookies), marked.where("readable is null"))
+    of_head = header_pass(readable, registry, grammar).withColumn("error", F.lit(None).cast("string")).select(columns)
+    return Extraction(of_body.unionByName(of_head), marked.where("readable is null"))

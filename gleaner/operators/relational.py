@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.operators.registry import Registry
+from gleaner.runtime import settle
 from gleaner.schema import KIND_MEANING
 
 ORDER = ["seq", "extractor_ord", "hit_ord"]
 
 
+def first_of(hits: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
+    """The first row of each key. An aggregate, so rows of a hot key are combined before the shuffle."""
+    rest = [c for c in hits.columns if c not in keys]
+    return hits.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__first")).select(*keys, "__first.*").select(*hits.columns)
+
+
 def dedupe_hits(hits: DataFrame) -> DataFrame:
     """The first hit of each token, source and method."""
-    w = Window.partitionBy("token", "source_url", "method").orderBy(*ORDER)
-    return hits.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return first_of(hits, ["token", "source_url", "method"], *ORDER)
 
 
 def specificity(registry: Registry, unknown: int = 5) -> Column:
@@ -27,9 +33,7 @@ def specificity(registry: Registry, unknown: int = 5) -> Column:
 
 def best_hits(hits: DataFrame, registry: Registry) -> DataFrame:
     """The most telling hit of each token, the first of equals; sorted by token."""
-    w = Window.partitionBy("token").orderBy(F.desc("rank"), *ORDER)
-    ranked = hits.withColumn("rank", specificity(registry)).withColumn("__n", F.row_number().over(w))
-    return ranked.where("__n = 1").drop("__n").orderBy("token")
+    return first_of(hits.withColumn("rank", specificity(registry)), ["token"], (-F.col("rank")).alias("__rank"), *ORDER).orderBy("token")
 
 
 def also_seen_in(hits: DataFrame, registry: Registry) -> DataFrame:
@@ -65,11 +69,13 @@ def unique_tokens(hits: DataFrame) -> DataFrame:
 
 
 def running_tokens(hits: DataFrame) -> DataFrame:
-    """The first hit of each token, in order, with how many tokens were known by then. First hits are as many as
-    tokens, few beside the hits."""
-    w = Window.partitionBy("token").orderBy(*ORDER)
-    first = hits.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return first.withColumn("known", F.row_number().over(Window.orderBy(*ORDER)))
+    """The first hit of each token, in order, with how many tokens were known by then: a distributed sort, and the
+    number of rows of the range partitions before one's own, of which there is a row each."""
+    first = settle(first_of(hits, ["token"], *ORDER).orderBy(*ORDER).withColumn("__id", F.monotonically_increasing_id()), "first-hits")
+    part = F.shiftright("__id", 33).alias("__part")
+    before = first.groupBy(part).agg(F.count("*").alias("n")).select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    known = F.col("__id").bitwiseAND((1 << 33) - 1) + F.col("__before") + 1
+    return first.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("known", known).drop("__id", "__part", "__before")
 
 
 def totals(observations: DataFrame, extraction_unreadable: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from gleaner.operators.channels import Artifact, json_values
 from gleaner.operators.extract import extract
 from gleaner.operators.registry import default_registry
 from gleaner.plans.frontier import TrapRules, crawl, trap_states
-from gleaner.runtime import shared_dir, table
+from gleaner.runtime import settle, shared_dir, table
 from gleaner.sources import planted
 from gleaner.sources.store import Store, observe, split
 from gleaner.streaming.streams import event_windows, sessions
@@ -226,9 +226,9 @@ def visible_diff(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(X.hidden_text("text", half), 256).alias("digest"))
 
 
-@query("""SELECT page_id, CASE WHEN length(html) > 90 THEN substr(html, 1, 87) || '…' ELSE html END AS short, replace(replace(substr(html, 1, 200), '|', '\\|'), chr(10), ' ') AS cell, printf('%.1f%%', 100.0 * (page_id % 8) / 8) AS share FROM pages""")
+@query("""SELECT page_id, CASE WHEN length(html) > 90 THEN substr(html, 1, 87) || '…' ELSE html END AS short, replace(replace(html, '|', '\\|'), chr(10), ' ') AS cell, printf('%.1f%%', 100.0 * (page_id % 8) / 8) AS share FROM pages""")
 def report_text(spark, d):
-    return table(spark, d, "pages").select("page_id", X.short("html").alias("short"), X.escape_pipes(F.substring("html", 1, 200)).alias("cell"), X.percent(F.col("page_id") % 8, F.lit(8)).alias("share"))
+    return table(spark, d, "pages").select("page_id", X.short("html").alias("short"), X.escape_pipes("html").alias("cell"), X.percent(F.col("page_id") % 8, F.lit(8)).alias("share"))
 
 
 @query("SELECT event_id, '$.' || json_keys(props)[1] || ' (key)' AS path, json_keys(props)[1] AS value FROM events")
@@ -276,7 +276,7 @@ def confusable_repair(spark, d):
 @query("SELECT doc_id, c.channel, 'TOKEN{' || substr(md5(doc_id || ':' || c.channel), 1, 16) || '}' AS token FROM documents, (VALUES " + ", ".join(f"('{c}')" for c in planted.CHANNELS) + ") c(channel)")
 def planted_hits(spark, d):
     """Tokens planted in every channel for every document id, found by the channel that they were planted in."""
-    observations, bodies = split(planted.captures(table(spark, d, "documents"), "doc_id"))
+    observations, bodies = split(settle(planted.captures(table(spark, d, "documents"), "doc_id"), "planted"))
     hits = R.dedupe_hits(extract(observations, bodies).hits)
     parts = F.split("source_url", "/")
     own = hits.select(F.regexp_extract(F.element_at(parts, -1), r"^(\d+)", 1).cast("long").alias("doc_id"), F.element_at(parts, -2).alias("channel"), "extractor", "token")
