@@ -1,12 +1,16 @@
 """Secret scans: fixed patterns, and values in credential context judged by what guessing them would cost.
 
-The guess cost is the cheapest way to put a value together from segments: dictionary words (also capitalised or with
-digit substitutions), dates and years, repeats, keyboard walks and alphabet or digit runs, and brute force for the
-rest; a dynamic program over (end, number of segments) finds it. Costs are log10 of guesses.
+The guess cost is that of the cheapest way to put a value together from segments: dictionary words (also capitalised or
+with digit substitutions), dates and years, keyboard walks, alphabet or digit runs, repeats of what stands before, and
+brute force for the rest. Costs are log10 of guesses; a segment costs JOIN besides its own. A dynamic program over ends,
+with the spans that are still open (brute force, walks, runs, repeats), finds the minimum over all divisions.
+
+The dictionary is a short list of frequent passwords, followed by the words of a public vocabulary in its order of rank.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -15,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.tokens import default_path
 from gleaner.runtime import prepare, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -27,10 +32,13 @@ CONTEXT = re.compile(
     re.ASCII | re.IGNORECASE,
 )
 KINDS = ("assign", "access", "hex", "guess")
-#: log10 of guesses from which a value in context counts as a secret, and its least number of character classes.
-COSTLY, CLASSES = 10.0, 2
-#: The longest segment that is one word, date or walk.
-LONGEST = 32
+#: log10 of guesses from which a value in context counts as a secret.
+COSTLY = 10.0
+#: The longest dictionary word, and the longest block that is found repeated.
+LONGEST, BLOCK = 20, 32
+#: log10 of guesses: another segment; a character by brute force, and of a walk, run or repeat beyond its start; the start
+#: of a walk or run of three characters, of one character repeated three times, and of a repeat (and log10 of its distance).
+JOIN, BRUTE, STEP, WALK, RUN, SAME, AGAIN = 0.3, 1.0, 0.002, 1.7, 1.3, 1.0, 0.5
 
 # Frequent words of passwords, most frequent first.
 WORDS = (
@@ -43,98 +51,115 @@ WORDS = (
 ).split()
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 SUBSTITUTES = str.maketrans("0134578@$!|", "oieastbasil")
-RANK = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
 ROWS = {c: (r, i) for r, row in enumerate(KEYBOARD) for i, c in enumerate(row)}
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 YEAR = re.compile(r"(?:19|20)\d\d")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)")
-#: log10 of the alphabet that brute force tries for each character.
-BRUTE = 1.0
-
-
-def segments(value: str) -> list[list[tuple[int, float, str]]]:
-    """For each end: the segments (start, cost, kind) that end there, other than brute force."""
-    n, low = len(value), value.lower()
+_ranks: dict[str, dict[str, float]] = {}
+
+
+def ranks(path: str | None = None) -> dict[str, float]:
+    """Dictionary words with log10 of their rank: the fixed ones, then those of a tokenizer's vocabulary file, of which
+    a smaller id means a more frequent word."""
+    path = path or default_path()
+    if path not in _ranks:
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        known = dict.fromkeys(WORDS)
+        for w in sorted(vocabulary, key=vocabulary.get):
+            w = w.removeprefix("Ġ").translate(ASCII_LOWER)
+            if 3 <= len(w) <= LONGEST and w.isascii() and w.isalpha():
+                known.setdefault(w)
+        _ranks[path] = {w: math.log10(i + 2) for i, w in enumerate(known)}
+    return _ranks[path]
+
+
+def words_at(value: str, low: str, plain: str, i: int, known: dict[str, float]) -> Iterator[tuple[int, float]]:
+    """(end, cost) of the dictionary words that start at i."""
+    for text, extra in ((low, 0.0), (plain, 0.3)) if plain != low else ((low, 0.0),):
+        for m in range(3, min(LONGEST, len(value) - i) + 1):
+            rank = known.get(text[i : i + m])
+            if rank is not None:
+                own = value[i : i + m]
+                yield i + m, rank + extra + (0.0 if own == low[i : i + m] else 0.3 if own[1:] == low[i + 1 : i + m] or own.isupper() else 1.0)
+
+
+def dates_at(value: str, i: int) -> Iterator[tuple[int, float]]:
+    """(end, cost) of the years and dates that start at i."""
+    if value[i] in "0123456789":
+        for end in range(i + 4, min(i + 10, len(value)) + 1):
+            if end == i + 4 and YEAR.fullmatch(value, i, end):
+                yield end, 2.1
+            if DATE.fullmatch(value, i, end):
+                yield end, 4.6 if value[i:end].isdigit() else 5.2
+
+
+def follows(a: str, b: str) -> Iterator[int]:
+    """Which of the kinds of CHAINS go on from character a to b."""
+    if a == b:
+        yield 0
+    elif "0" <= a <= "9" and "0" <= b <= "9" or "a" <= a <= "z" and "a" <= b <= "z":
+        step = ord(b) - ord(a)
+        if step in (1, -1):
+            yield 1 if step == 1 else 2
+    x, y = ROWS.get(a), ROWS.get(b)
+    if x is not None and y is not None and x[0] == y[0] and y[1] - x[1] in (1, -1):
+        yield 3 if y[1] > x[1] else 4
+
+
+CHAINS = (("repeat", SAME), ("run", RUN), ("run", RUN), ("walk", WALK), ("walk", WALK))
+Way = tuple[float, int, str]
+
+
+def guess_cost(value: str, enough: float = math.inf, path: str | None = None) -> tuple[float, list[tuple[int, int, str]]]:
+    """log10 of the guesses for the value, and the segments (start, end, kind) of its cheapest division. As soon as no
+    division can cost less than `enough`, that is given instead, without segments."""
+    n, low, known = len(value), value.translate(ASCII_LOWER), ranks(path)
     plain = low.translate(SUBSTITUTES)
-    out: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        for text, extra in ((low, 0.0), (plain, 0.3)):
-            for m in range(3, min(LONGEST, n - i) + 1):
-                rank = RANK.get(text[i : i + m])
-                if rank is not None:
-                    upper = 0.0 if value[i : i + m].islower() else 0.3 if value[i : i + m].istitle() or value[i : i + m].isupper() else 1.0
-                    out[i + m].append((i, rank + extra + upper, "word"))
-        if value[i].isdigit():
-            if YEAR.match(value, i):
-                out[i + 4].append((i, 2.1, "date"))
-            if m := DATE.match(value, i):
-                out[m.end()].append((i, 4.6 + 0.6 * (not m[0].isdigit()), "date"))
-    for step, kind in ((1, "walk"), (-1, "walk"), (1, "run"), (-1, "run"), (0, "repeat")):
-        i = 0
-        while i < n - 1:
-            j = i + 1
-            while j < n and _next(low[j - 1], low[j], step, kind):
-                j += 1
-            for end in range(i + 3, j + 1):
-                cost = {"walk": 1.7, "run": 1.3, "repeat": BRUTE}[kind] + math.log10(end - i)
-                for start in {i, max(i, end - LONGEST)}:
-                    out[end].append((start, cost, kind))
-            i = max(j - 1, i + 1) if j > i + 1 else i + 1
-    for size in range(2, min(LONGEST, n // 2) + 1):  # a block of several characters, two times or more
-        i = 0
-        while i + 2 * size <= n:
-            j = i + size
-            while value[j : j + size] == value[i : i + size]:
-                j += size
-            if j > i + size:
-                out[j].append((i, size * BRUTE + math.log10((j - i) // size), "repeat"))
-                i = j
-            else:
-                i += 1
-    return out
-
-
-def _next(a: str, b: str, step: int, kind: str) -> bool:
-    if kind == "walk":
-        x, y = ROWS.get(a), ROWS.get(b)
-        return x is not None and y is not None and x[0] == y[0] and y[1] - x[1] == step
-    return (kind == "repeat" or a.isalnum()) and ord(b) - ord(a) == step
-
-
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
-    """log10 of the guesses for the value, and the segments (start, end, kind) of its cheapest division. k segments in
-    a row cost their sum plus log10 k! for their order."""
-    n = len(value)
-    by_end = segments(value)
-    # cost and way to each end with exactly k segments; more than 8 are no cheaper way to guess
-    most = 8
-    best: list[dict[int, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
-    best[0][0] = (0.0, 0, "")
-    for end in range(1, n + 1):
-        ways = by_end[end]
-        here = best[end]
-        for start, cost, kind in ways:
-            for k, (c, _, _) in best[start].items():
-                if k < most and c + cost < here.get(k + 1, (math.inf,))[0]:
-                    here[k + 1] = (c + cost, start, kind)
-        # brute force: goes on from the character before, or starts after a segment of another kind
-        for k, (c, start, kind) in best[end - 1].items():
-            if kind == "brute" and c + BRUTE < here.get(k, (math.inf,))[0]:
-                here[k] = (c + BRUTE, start, "brute")
-            elif kind != "brute" and k < most and c + BRUTE < here.get(k + 1, (math.inf,))[0]:
-                here[k + 1] = (c + BRUTE, end - 1, "brute")
-    if not n:
-        return 0.0, []
-    total, k = min((c + math.log10(math.factorial(k)), k) for k, (c, _, _) in best[n].items())
-    path, end = [], n
+    none: Way = (math.inf, 0, "")
+    best: list[Way] = [(0.0, 0, ""), *[none] * n]  # cost of the first characters; start and kind of their last segment
+    brute, chains = none, [none] * len(CHAINS)
+    kept, blocks = [0] * len(CHAINS), [(0, none)] * (BLOCK + 1)  # transitions in a row; matches in a row and the open repeat
+    for end in range(n + 1):
+        if end:
+            # spans that end here and may go on: each from its start, or from one character before
+            new = best[end - 1][0] + JOIN + BRUTE
+            brute = min((brute[0] + BRUTE, brute[1], "brute"), (new, end - 1, "brute"))
+            here = min(best[end], brute)
+            on = set(follows(low[end - 2], low[end - 1])) if end > 1 else ()
+            for k, (kind, cost) in enumerate(CHAINS):
+                kept[k] = kept[k] + 1 if k in on else 0
+                way = (chains[k][0] + STEP, chains[k][1], kind) if kept[k] else none
+                if kept[k] >= 2:
+                    way = min(way, (best[end - 3][0] + JOIN + cost + 3 * STEP, end - 3, kind))
+                chains[k] = way
+                here = min(here, way)
+            for size in range(2, min(BLOCK, end - 1) + 1):
+                same, open_ = blocks[size]
+                if value[end - 1] != value[end - 1 - size]:
+                    if same:
+                        blocks[size] = (0, none)
+                    continue
+                way = (open_[0] + STEP, open_[1], "repeat")
+                if same + 1 >= size:
+                    way = min(way, (best[end - size][0] + JOIN + AGAIN + math.log10(size) + size * STEP, end - size, "repeat"))
+                blocks[size] = (same + 1, way)
+                here = min(here, way)
+            best[end] = here
+            if end % 64 == 0 and min([brute[0], *(c[0] for c in chains), *(b[1][0] for b in blocks), *(b[0] for b in best[max(0, end - LONGEST - BLOCK) : end + 1])]) >= enough:
+                return enough, []
+        if end < n:
+            cost = best[end][0] + JOIN
+            for to, own in words_at(value, low, plain, end, known):
+                best[to] = min(best[to], (cost + own, end, "word"))
+            for to, own in dates_at(value, end):
+                best[to] = min(best[to], (cost + own, end, "date"))
+    parts, end = [], n
     while end:
-        _, start, kind = best[end][k]
-        path.append((start, end, kind))
-        end, k = start, k - 1
-    return total, path[::-1]
-
-
-def classes(value: str) -> int:
-    return sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search("[^A-Za-z0-9]", value[:-1]))))
+        _, start, kind = best[end]
+        parts.append((start, end, kind))
+        end = start
+    return best[n][0], parts[::-1]
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
@@ -146,7 +171,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         taken = [(a, b) for a, b, _ in found]
         for m in CONTEXT.finditer(text):
             a, value = m.start(1), m[1].rstrip(".,;:!?")
-            if len(value) >= 8 and classes(value) >= CLASSES and not any(x < a + len(value) and a < y for x, y in taken) and guess_cost(value)[0] >= COSTLY:
+            if len(value) >= 8 and not any(x < a + len(value) and a < y for x, y in taken) and guess_cost(value, COSTLY)[0] >= COSTLY:
                 found.append((a, a + len(value), 3))
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
@@ -154,7 +179,6 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +199,19 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every secret replaced by the mark (overlapping ones by one); all columns stay."""
+    """The documents with every secret replaced by the mark (overlapping ones by one); all columns stay.
+
+    Null texts stay null and empty ones empty. Rows of null or equal doc_id are treated like any other; an empty table
+    gives no rows.
+    """
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column(at).to_pylist():
+            out: list[str | None] = []
+            for x in batch.column(at):
+                t = x.as_py()
                 parts, done = [], 0
                 for a, b, _ in spans(t or ""):
                     if a >= done:
