@@ -1,8 +1,10 @@
 """Substring dedup by seed and extend, on words.
 
-Seeds are winnowed anchors of two words. Documents that share a seed are joined on it, and each seed is extended both
-ways to every window of 13 words through it; windows that a document of smaller id also has are kept, and windows in a
-row unite into maximal repeats, none shorter than 13 words. See repeats.py for how hot seeds stay cheap.
+Seeds are winnowed pairs of words. Documents that share a seed are joined on it (repeats.py), and each seed is extended
+word by word to the left and to the right in all of them at once: documents stay together as long as their words agree,
+and one that is left alone is done with. So a seed has classes of documents for every number of words to its left, and
+such classes to its right; a window of 13 words through the seed is repeated if a document of smaller id is in the same
+class on both sides. Windows in a row unite into maximal repeats, none shorter than 13 words.
 """
 
 from __future__ import annotations
@@ -16,13 +18,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.arrays import ranges
-from gleaner.llm.repeats import Unit, by_hashes, narrow, placed, repeated
+from gleaner.llm.repeats import BUCKET, HOT, Compare, Unit, narrow, opened, place, placed, repeated
 from gleaner.runtime import table
 
 #: Words of the shortest repeat, and of a seed.
 LENGTH, SEED = 13, 2
 
 
+def together(*keys: np.ndarray) -> np.ndarray:
+    """A number for each distinct combination of keys; -1 where it occurs once or some key is negative."""
+    out = np.full(len(keys[0]), -1, np.int64)
+    some = np.flatnonzero(np.all([k >= 0 for k in keys], axis=0))
+    if len(some):
+        one = keys[0][some]
+        for k in keys[1:]:
+            one = one * (int(k[some].max()) + 1) + k[some]
+        _, which, count = np.unique(one, return_inverse=True, return_counts=True)
+        out[some] = np.where(count[which] > 1, which, -1)
+    return out
+
+
+def extend(unit: Unit) -> Compare:
+    """A bucket of segments (all of a seed are in it) to the windows that a smaller document also has, as runs (doc, p)."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        c = opened(unit, bucket)
+        g, doc, p = (bucket.column(x).to_numpy() for x in ("g", "doc", "p"))
+        _, word = np.unique(c.values, return_inverse=True)
+        off, n, rest = p >> 8 & 255, p & 255, unit.length - unit.anchor
+        at, m = c.first[:-1] + off, len(g)
+        seed = together(np.unique(g, return_inverse=True)[1])
+        left, right = [seed], [seed]
+        for side, step, room in ((left, -1, off), (right, 1, c.count - off - unit.anchor)):
+            for j in range(rest):
+                next_ = at - 1 - j if step < 0 else at + unit.anchor + j
+                side.append(together(side[j], np.where(room > j, word[np.clip(next_, 0, len(word) - 1)], -1)))
+        again = np.zeros((m, rest + 1), bool)
+        for o in range(rest + 1):
+            has = (off >= o) & (off - o < n)
+            same = together(np.where(has, left[o], -1), right[rest - o])
+            some = np.flatnonzero(same >= 0)
+            low = np.full(m + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, same[some], doc[some])
+            hit = some[doc[some] > low[same[some]]]
+            again[hit, off[hit] - o] = True
+        edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        (row, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        return pa.table({"doc": doc[row], "p": place((p[row] >> 32) + a, p[row] >> 16 & 65535, 0, b - a)})
+
+    return run
+
+
 def covered(first: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, length: int, total: int) -> np.ndarray:
     """Which of the chunk's units lie in some window of the places."""
     edge = np.zeros(total + 1, np.int64)
@@ -80,7 +126,7 @@ def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
     return joined.unionByName(docs.where("doc_id is null").withColumn("places", none))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, spans (from, to word indexes of the maximal repeats
     removed, flat), kept (the other words, joined by a space).
 
@@ -88,7 +134,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     compared with smaller ids only, not with each other. An empty table gives no rows; extra columns aren't read.
     """
     unit, slim = Unit(length, seed, True), narrow(docs)
-    return with_places(slim, repeated(slim, unit, by_hashes(unit))).mapInArrow(strip(unit), "doc_id long, n_words long, n_removed long, spans array<long>, kept string")
+    return with_places(slim, repeated(slim, unit, extend(unit), bucket, hot)).mapInArrow(strip(unit), "doc_id long, n_words long, n_removed long, spans array<long>, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

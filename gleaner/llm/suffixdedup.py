@@ -1,11 +1,10 @@
 """Suffix-array dedup of bytes, by two-stage sorting.
 
-Windows of 100 bytes that may repeat are narrowed down by winnowed anchors (repeats.py); what must be compared window
-by window, distinct contexts of shared anchors, goes to buckets by anchor, so equal windows meet in one bucket. There
-the segments are laid end to end and their suffixes sorted in two stages: those smaller than their successors directly,
-the rest induced by one scan over the buckets of first bytes. Neighbours with a common prefix of 100 bytes or more are
-equal windows. Anchors with very many contexts skip the array: their windows are grouped by hashes of 128 bits, so no
-bucket outgrows its bound. Repeats inside one document are found where its text is.
+Windows of 100 bytes that may repeat are narrowed down by winnowed seeds (repeats.py); what must be compared window by
+window, distinct contents of shared seeds, goes to buckets by seed, so equal windows meet in one bucket. There the
+segments are laid end to end and their suffixes sorted in two stages: those smaller than their successors directly, the
+rest induced by one scan over the buckets of first bytes. Neighbours with a common prefix of 100 bytes or more are equal
+windows. Repeats inside one document are found in the same way, by an array of those of its segments whose seed it has twice.
 """
 
 from __future__ import annotations
@@ -18,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.arrays import BASE2, TABLE1, SpanHash, ranges
-from gleaner.llm.repeats import Chunk, Shared, Unit, narrow, place, placed, repeated, splittable
+from gleaner.llm.arrays import TABLE1, SpanHash, mix, ranges
+from gleaner.llm.repeats import BUCKET, HOT, Chunk, Compare, Unit, narrow, opened, place, placed, repeated
 from gleaner.llm.seedextend import covered, runs, with_places
-from gleaner.runtime import settle, table
+from gleaner.runtime import table
 
 #: Bytes of the shortest repeat, and of an anchor.
 LENGTH, ANCHOR = 100, 24
-#: Bytes of segments sorted in one bucket, about, and contexts of an anchor beyond which its windows are grouped by hash.
-BUCKET, CONTEXTS = 2 << 20, 2000
 SEPARATOR = 0xFF  # in no UTF-8 text
 
 
@@ -128,84 +125,53 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return np.minimum(out, most)
 
 
-HASHED = -1  # the bucket of segments whose windows are compared by hashes
-
-
-def context(unit: Unit, hashed: bool):
-    """From (doc_id, tag, text, places with their buckets) to (bucket, doc, p, body) of each segment; or, hashed, to
-    (h1, h2, doc, p) of each window of the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, ids, tags, doc, pos, n, bucket in placed(unit, batches):
-            take = (bucket == HASHED) == hashed
-            doc, pos, n, bucket, ids = doc[take], pos[take], n[take], bucket[take], ids.to_numpy()
-            if hashed:
-                row = np.repeat(np.arange(len(doc)), n)
-                at = ranges(pos, n)
-                start = c.first[doc[row]] + at
-                h1, h2 = SpanHash(c.values)(start, start + unit.length), SpanHash(c.second(), BASE2)(start, start + unit.length)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[doc[row]]), pa.array(place(at, tags[doc[row]], np.ones(len(row), np.int64)))], names=["h1", "h2", "doc", "p"])
-            else:
-                size = n + unit.length - 1
-                edge = np.concatenate(([0], np.cumsum(size)))
-                body = c.data[ranges(c.first[doc] + pos, size)]
-                bodies = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(body)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[doc]), pa.array(place(pos, tags[doc], n)), bodies], names=["bucket", "doc", "p", "body"])
-
-    return run
-
-
-def compare(length: int):
-    """One bucket's segments to the windows that a smaller document's segment also has, as runs."""
+def repeats_among(flat: np.ndarray, begin: np.ndarray, n: np.ndarray, length: int, order: np.ndarray, alone: np.ndarray | None = None) -> np.ndarray:
+    """Which windows of the segments (n windows each, from begin) equal another window whose segment is smaller by
+    `order`; only those of equal `alone`, if it is given, and then by place too. The result has a value for each window, end to end."""
+    again = np.zeros(int(n.sum()), bool)
+    # segments none of whose windows has the hash of another one can't repeat: the array is of the others
+    start, owner = ranges(begin, n), np.repeat(np.arange(len(n)), n)
+    hashed = SpanHash(TABLE1[flat])(start, start + length)
+    if alone is not None:
+        hashed = mix(hashed + alone[owner].astype(np.uint64))
+    _, which, count = np.unique(hashed, return_inverse=True, return_counts=True)
+    some = np.unique(owner[count[which] > 1])
+    if not len(some):
+        return again
+    size = n[some] + length
+    text = np.full(int(size.sum()), SEPARATOR, np.uint8)
+    first = np.cumsum(size) - size
+    text[ranges(first, size - 1)] = flat[ranges(begin[some], size - 1)]
+    of = np.repeat(np.arange(len(some)), size)
+    array = suffix_array(text, length)
+    array = array[(np.arange(len(text)) - first[of] < n[some][of])[array]]
+    group = np.cumsum(common_prefixes(text, array, length) < length)
+    seg = some[of[array]]
+    at = array - first[of[array]]
+    if alone is None:
+        rank = order[seg]
+    else:
+        group = np.unique(np.stack((group, alone[seg])), axis=1, return_inverse=True)[1].ravel()
+        rank = begin[seg] + at
+    least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, rank)
+    hit = rank > least[group]
+    again[(np.cumsum(n) - n)[seg[hit]] + at[hit]] = True
+    return again
+
+
+def compare(unit: Unit) -> Compare:
+    """A bucket of segments to the windows that a smaller document's segment also has, as runs (doc, p)."""
 
     def run(bucket: pa.Table) -> pa.Table:
-        docs, p = bucket.column("doc").to_numpy(), bucket.column("p").to_numpy()
+        c = opened(unit, bucket)
+        doc, p = (bucket.column(x).to_numpy() for x in ("doc", "p"))
         n = p & 255
-        bodies = bucket.column("body").to_pylist()
-        # segments none of whose windows has the hash of another are done with; the array is of the others
-        flat = np.frombuffer(b"".join(bodies), np.uint8)
-        begin = np.cumsum(n + length - 1) - (n + length - 1)
-        start, owner = ranges(begin, n), np.repeat(np.arange(len(bodies)), n)
-        _, which, count = np.unique(SpanHash(TABLE1[flat])(start, start + length), return_inverse=True, return_counts=True)
-        some = np.unique(owner[count[which] > 1])
-        if not len(some):
-            return bucket.select(["doc", "p"]).slice(0, 0)
-        docs, p, n, bodies = docs[some], p[some], n[some], [bodies[i] for i in some.tolist()]
-        size = np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1
-        text = np.frombuffer(bytes([SEPARATOR]).join(bodies) + bytes([SEPARATOR]), np.uint8)
-        begin = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(bodies)), size)
-        window = np.arange(len(text)) - begin[owner] < n[owner]
-        order = suffix_array(text, length)
-        order = order[window[order]]
-        head = np.flatnonzero(common_prefixes(text, order, length) < length)
-        who = docs[owner[order]]
-        low = np.minimum.reduceat(who, head)
-        again = np.zeros(len(text), bool)
-        again[order] = who > np.repeat(low, np.diff(np.append(head, len(order))))
-        a, b = runs(again, np.append(begin, len(text)))
-        of = owner[a]
-        pos = (p[of] >> 24) + a - begin[of]
-        return pa.table({"doc": pa.array(docs[of]), "p": pa.array(place(pos, p[of] >> 8 & 65535, b - a))})
-
-    return run
-
-
-def by_suffixes(unit: Unit, bucket: int = BUCKET, contexts: int = CONTEXTS) -> Shared:
-    def run(first: DataFrame, docs: DataFrame) -> DataFrame:
-        first = settle(first, "contexts")
-        many = first.groupBy("a").count().where(F.col("count") > contexts).select("a", F.lit(True).alias("many"))
-        total = first.agg(F.sum(F.col("p").bitwiseAND(255) + unit.length)).first()[0] or 0
-        buckets = max(1, -(-total // bucket))
-        marked = first.join(many, "a", "left").withColumn("bucket", F.when(F.col("many"), HASHED).otherwise(F.pmod("a", F.lit(buckets))).cast("long"))
-        places = marked.groupBy(F.col("doc").alias("doc_id"), F.shiftright("p", 8).bitwiseAND(65535).alias("tag")).agg(F.collect_list(F.struct("p", "bucket")).alias("places"))
-        # the texts are exchanged once: these uses and the last join share it
-        texts = docs.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places")
-        bodies = texts.mapInArrow(context(unit, False), "bucket long, doc long, p long, body binary")
-        by_array = bodies.groupBy("bucket").applyInArrow(compare(unit.length), "doc long, p long")
-        hashes = texts.mapInArrow(context(unit, True), "h1 long, h2 long, doc long, p long")
-        least = hashes.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-        return by_array.unionByName(splittable(hashes, least, "h1", "h2").where("doc > low").select("doc", "p"))
+        again = repeats_among(c.data, c.first[:-1], n, unit.length, doc)
+        bound = np.concatenate(([0], np.cumsum(n)))
+        a, b = runs(again, bound)
+        of = np.searchsorted(bound, a, "right") - 1
+        return pa.table({"doc": doc[of], "p": place((p[of] >> 32) + a - bound[of], p[of] >> 16 & 65535, 0, b - a)})
 
     return run
 
@@ -213,28 +179,26 @@ def by_suffixes(unit: Unit, bucket: int = BUCKET, contexts: int = CONTEXTS) -> S
 def inside(c: Chunk) -> np.ndarray:
     """Bytes of the chunk in a window that also starts earlier in the same document."""
     length, total = c.unit.length, len(c.values)
-    a, _, doc, pos, n = c.segments()
-    gone = np.zeros(total, bool)
+    a, content, doc, pos, n, _ = c.segments()
     if not len(a):
-        return gone
-    order = np.lexsort((a, doc))
-    same = (a[order][1:] == a[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    twice = np.zeros(len(a), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    some = np.flatnonzero(twice)
-    if len(some):
-        start = np.sort(ranges(c.first[doc[some]] + pos[some], n[some]))
-        h = SpanHash(c.values)(start, start + length)
-        own = np.searchsorted(c.first, start, "right") - 1
-        order = np.lexsort((start, h, own))
-        again = np.zeros(len(start), bool)
-        again[order[1:]] = (h[order][1:] == h[order][:-1]) & (own[order][1:] == own[order][:-1])
-        hit = start[again]
-        edge = np.zeros(total + 1, np.int64)
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, hit + length, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        return np.zeros(total, bool)
+    order = np.lexsort((pos, content, a, doc))
+    new = np.ones((2, len(order)), bool)  # another seed or document; another content besides
+    new[0, 1:] = (a[order][1:] != a[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    new[1, 1:] = new[0, 1:] | (content[order][1:] != content[order][:-1])
+    seed = np.cumsum(new[0]) - 1
+    several = (np.bincount(seed, weights=new[1]) > 1)[seed]
+    copies, firsts = order[~new[1]], order[new[1] & several]
+    begin = c.first[doc] + pos
+    hit = [ranges(begin[copies], n[copies])]  # segments of equal content go on as one
+    if len(firsts):
+        own = begin[firsts]
+        hit.append(ranges(own, n[firsts])[repeats_among(c.data, own, n[firsts], length, own, doc[firsts])])
+    edge = np.zeros(total + 1, np.int64)
+    for h in hit:
+        np.add.at(edge, h, 1)
+        np.add.at(edge, h + length, -1)
+    gone = np.cumsum(edge[:-1]) > 0
     return gone
 
 
@@ -258,7 +222,7 @@ def strip(unit: Unit):
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bucket: int = BUCKET, contexts: int = CONTEXTS) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, spans (from, to byte offsets of the maximal
     removed runs, flat), kept (the other bytes; a cut may fall inside a character).
 
@@ -266,7 +230,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bucket: i
     compared with each other. An empty table gives no rows; extra columns aren't read.
     """
     unit, slim = Unit(length, anchor, False), narrow(docs)
-    places = repeated(slim, unit, by_suffixes(unit, bucket, contexts))
+    places = repeated(slim, unit, compare(unit), bucket, hot)
     return with_places(slim, places).mapInArrow(strip(unit), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
 
 

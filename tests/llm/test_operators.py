@@ -83,21 +83,50 @@ def hits_by_force(rows, items, window=10):
 ITEMS = [(1, "alpha beta"), (2, None), (3, ""), (None, "zeta 42"), (5, "e e e e"), (6, "Délta gamma"), (6, "délta")]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 64])
-def test_decontamination(spark, rows, docs, block):
+BLOCKS = [(1 << 20, 1 << 28), (64, 1 << 28), (64, 64)]  # one block; several blocks in one pass; a pass for each block
+
+
+def longest_by_force(text, items):
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, best = find(text), 0
+    for b in (find(t) for _, t in items):
+        for i in range(len(w)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(w) and j + k < len(b) and w[i + k] == b[j + k]:
+                    k += 1
+                best = max(best, k)
+    return best
+
+
+@pytest.mark.parametrize(("block", "once"), BLOCKS)
+def test_decontamination(spark, rows, docs, block, once):
     items = [*ITEMS, (10, " ".join((rows[0][1] or "").split()[-80:])), (11, rows[49][1][:3000])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.decontaminate(docs, bench, block_bytes=block).collect()
+    got = decontam.decontaminate(docs, bench, block_bytes=block, pass_bytes=once).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == hits_by_force(rows, items)
     assert all(sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_hit for r in got)
-    kept = {r.doc_id for r in decontam.remove_contaminated(docs, bench).collect()}
+    some = {0, 3, 40, 42, 43, 47}
+    assert {r.doc_id: r.longest for r in got if r.doc_id in some} == {d: longest_by_force(t, items) for d, t in rows if d in some}
+    kept = {r.doc_id for r in decontam.remove_contaminated(docs, bench, block_bytes=block, pass_bytes=once).collect()}
     assert kept == {d for d, _, n, _ in hits_by_force(rows, items) if not n}
 
 
-def test_decontamination_odd(spark, odd, empty):
-    bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
-    assert sorted(r.n_hit for r in decontam.decontaminate(odd, bench).collect()) == [0, 0, 40, 40, 40, 40]
-    assert decontam.decontaminate(empty, bench).count() == 0 and decontam.decontaminate(odd, bench.limit(0)).count() == 6
+@pytest.mark.parametrize(("block", "once"), BLOCKS)
+def test_decontamination_odd(spark, odd, empty, block, once):
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (1, "alpha beta")], "item_id long, text string")
+    run = lambda d, b: decontam.decontaminate(d, b, block_bytes=block, pass_bytes=once)
+    assert sorted((r.doc_id or 0, r.n_hit, r["items"]) for r in run(odd, bench).collect()) == [(0, 0, []), (0, 60, ["1", "2"]), (7, 0, []), (7, 60, ["1", "2"]), (7, 60, ["1", "2"]), (9, 60, ["1", "2"])]
+    assert run(empty, bench).count() == 0 and run(odd, bench.limit(0)).count() == 6
+
+
+@given(st.lists(st.lists(st.integers(1, 3), max_size=9), min_size=1, max_size=6))
+def test_word_suffix_array(docs):
+    text = [w for d in docs for w in d]
+    room = [len(d) - i for d in docs for i in range(len(d))]
+    order = decontam.suffix_array(np.array(text, np.uint64), np.array(room, np.int64)).tolist()
+    key = lambda i: text[i : i + room[i]]
+    assert sorted(order) == list(range(len(text))) and all(key(a) <= key(b) for a, b in zip(order, order[1:], strict=False))
 
 
 # 2 --------------------------------------------------------------------------------------------------------------
@@ -117,8 +146,10 @@ def test_sharding(docs, rows, odd, empty):
 # 3, 8 -----------------------------------------------------------------------------------------------------------
 
 
-def test_substring_dedup(docs, rows, odd, empty):
-    out = seedextend.dedup(docs)
+@pytest.mark.parametrize("hot", [4 << 20, 1])
+def test_substring_dedup(docs, rows, odd, empty, hot):
+    """With all seeds as they are, and with all of them lengthened to whole windows."""
+    out = seedextend.dedup(docs, hot=hot)
     assert tuples(out, "doc_id", "n_words", "n_removed", F.sha2("kept", 256)) == sorted(seedextend.plain(rows))
     assert [r.n_removed for r in seedextend.dedup(odd).orderBy(F.col("doc_id").asc_nulls_first(), "n_words").collect()] == [0, 0, 0, 0, 0, 160]
     assert seedextend.dedup(empty).count() == 0
@@ -141,9 +172,9 @@ def test_substring_dedup_by_words_only(spark):
     assert tuples(out, "doc_id", "n_words", "n_removed", F.sha2("kept", 256)) == sorted(seedextend.plain(rows))
 
 
-@pytest.mark.parametrize("contexts", [2000, 1])
-def test_suffix_dedup(docs, rows, contexts):
-    out = suffixdedup.dedup(docs, contexts=contexts)
+@pytest.mark.parametrize("hot", [4 << 20, 2000, 1])
+def test_suffix_dedup(docs, rows, hot):
+    out = suffixdedup.dedup(docs, hot=hot)
     assert tuples(out, "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)) == sorted(suffixdedup.plain(rows))
 
 
@@ -182,6 +213,51 @@ def test_secrets(spark, empty):
     assert clean.count("[SECRET]") == 5 and not any(len(secrets.spans(x)) for x in [clean]) and secrets.scan(empty).count() == 0
 
 
+def cheapest(value):
+    """The least cost over all divisions, by trying every one."""
+    m, n = secrets, len(value)
+    low = value.translate(m.ASCII_LOWER)
+    plain = low.translate(m.SUBSTITUTES)
+    one = {(a, b): (b - a) * m.BRUTE for a in range(n) for b in range(a + 1, n + 1)}
+    for a, b in one:
+        own = [c for to, c in [*m.words_at(value, low, plain, a, m.ranks()), *m.dates_at(value, a)] if to == b]
+        kinds = set.intersection(*(set(m.follows(x, y)) for x, y in zip(low[a:b], low[a + 1 : b], strict=False))) if b - a >= 3 else ()
+        own += [m.CHAINS[k][1] + (b - a) * m.STEP for k in kinds]
+        own += [m.AGAIN + np.log10(s) + (b - a) * m.STEP for s in range(2, min(m.BLOCK, a, b - a) + 1) if value[a:b] == value[a - s : b - s]]
+        one[a, b] = min([one[a, b], *own]) + m.JOIN
+    ways = lambda a: min((one[a, b] + ways(b) for b in range(a + 1, n + 1)), default=0.0) if a < n else 0.0
+    return ways(0)
+
+
+BITS = ["pass", "Pass", "p4ss", "word", "red", "2019", "1999-12-31", "qwe", "abc", "aaa", "321", "x7", "Q", "$", "K9", "zxcv", "mn", "é"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(BITS), min_size=1, max_size=4).map(lambda x: "".join(x)[:11]))
+def test_guess_cost_is_the_minimum(value):
+    cost, parts = secrets.guess_cost(value)
+    assert cost == pytest.approx(cheapest(value)) and [a for a, _, _ in parts] == [0, *(b for _, b, _ in parts[:-1])] and parts[-1][1] == len(value)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(BITS), min_size=1, max_size=60).map("".join), st.sampled_from([5.0, 10.0, 40.0]))
+def test_guess_cost_may_stop_early(value, enough):
+    assert (secrets.guess_cost(value, enough)[0] >= enough) == (secrets.guess_cost(value)[0] >= enough)
+
+
+def test_secrets_of_many_words_and_great_length(spark):
+    r = random.Random(7)
+    joined = "RedBlueGreenBlackWhiteHappyLuckyMagicStarKing"
+    noise = "".join(r.choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789#$%&", k=1 << 20))
+    texts = [f"passphrase is {joined}", f"pwd -> {noise} end", "pwd -> " + "z" * (1 << 12), "token " * 50_000 + "is x", "the secret is Hunter.", None]
+    df = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in secrets.scan(df).collect()}
+    assert got == {0: [("guess", 14, 14 + len(joined))], 1: [("guess", 7, 7 + len(noise))], 2: [], 3: [], 4: [], 5: []}
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean == {**dict(enumerate(texts)), 0: "passphrase is [SECRET]", 1: "pwd -> [SECRET] end"}
+    assert secrets.guess_cost(joined)[0] == secrets.guess_cost(joined, 1e9)[0] > 20
+
+
 def test_base_spans_by_force():
     r = random.Random(3)
     bits = ["password", "token", "API_KEY", "secret", "=", ":", " ", '"', "AKIA", "A1B2C3D4E5", "deadbeef", "0123", "ſecret", "é", "\n", "-x"]
@@ -207,8 +283,9 @@ def test_tokens_are_the_librarys(texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])][: len(texts)] == library(texts) if texts else len(ids) == 0
 
 
-def test_packing(docs, rows, odd, empty):
-    got = packing.pack(docs, group=20).toPandas()
+@pytest.mark.parametrize("group", [20, 20_000])
+def test_packing(docs, rows, odd, empty, group):
+    got = packing.pack(docs, group=group).toPandas()
     ids = {d: [*x, 1] for (d, _), x in zip(rows, library([t for _, t in rows]), strict=True)}
     for d, own in got.groupby("doc_id"):
         own = own.sort_values("start")
@@ -220,11 +297,50 @@ def test_packing(docs, rows, odd, empty):
     assert packing.pack(odd).count() == 6 and packing.pack(empty).count() == 0
 
 
-@given(st.lists(st.integers(1, 2048), min_size=1, max_size=300))
-def test_assignment(lengths):
-    seq, offset, n = packing.assign(np.array(lengths))
-    used = np.bincount(seq, weights=lengths, minlength=n)
-    assert used.max() <= 2048 and (used > 0).all() or len(lengths) < n
+def assigned_plainly(lengths, capacity, grid):
+    """The same rule with a look at every sequence for every piece."""
+    waiting, out = [(-n, i, 0) for i, n in enumerate(lengths)], []
+    free, cost = [capacity] * -(-sum(lengths) // capacity), [0.0] * -(-sum(lengths) // capacity)
+    while waiting:
+        n, i, start = min(waiting)
+        waiting.remove((n, i, start))
+        n = -n
+        able = [s for s in range(len(free)) if free[s] >= n]
+        if not able:
+            fits = max(free, default=0) // grid * grid
+            if fits:
+                waiting.append((fits - n, i, start + fits))
+                n, able = fits, [s for s in range(len(free)) if free[s] >= fits]
+            else:
+                free.append(capacity)
+                cost.append(0.0)
+                able = [len(free) - 1]
+        s = min(able, key=lambda s: (cost[s], s))
+        out.append((i, start, n, s, capacity - free[s]))
+        free[s] -= n
+        cost[s] += packing.cost_of(n)
+    return out
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=60), st.sampled_from([1, 4, 16]))
+def test_assignment(lengths, grid):
+    assert packing.assign(np.array(lengths), 64, grid) == assigned_plainly(lengths, 64, grid)
+
+
+@pytest.mark.parametrize("lengths", [[1100] * 5000, [1025] * 3000, [2048] * 50, np.random.default_rng(1).lognormal(6, 1, 8000).astype(int).clip(1, 2048).tolist()])
+def test_little_padding_and_even_costs(lengths):
+    parts = np.array(packing.assign(np.array(lengths)))
+    seq = parts[:, 3]
+    used, cost = (np.bincount(seq, weights=w) for w in (parts[:, 2], [packing.cost_of(n) for n in parts[:, 2].tolist()]))
+    assert used.max() <= 2048 and used.sum() == sum(lengths) and 1 - used.mean() / 2048 < 0.01
+    full = cost[used > 2000]
+    assert full.max() / full.min() < 1.25
+
+
+@given(st.binary(max_size=100), st.binary(max_size=100))
+def test_checksums_join(a, b):
+    assert packing.joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
 @settings(deadline=None)
@@ -259,68 +375,71 @@ def chain():
     return [*rows, (1, None), (2, ""), (3, "one two"), (4, "One  TWO"), (5, "one two three four"), (400, "x " * 3000)]
 
 
-@pytest.mark.parametrize("small", [2048, 1])
-def test_near_dedup(spark, small):
+@pytest.mark.parametrize(("node", "leaf", "items"), [(4096, 48, 1 << 20), (2, 1, 300), (8, 4, 1)])
+def test_near_dedup(spark, node, leaf, items):
+    """In one task each; with branching in Spark, groups in blocks; and with next to nothing in one task."""
     rows = chain()
-    got = chosenpath.cluster(spark.createDataFrame(rows, "doc_id long, text string"), small=small)
+    got = chosenpath.cluster(spark.createDataFrame(rows, "doc_id long, text string"), node=node, leaf=leaf, items=items)
     assert tuples(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(chosenpath.plain(rows))
 
 
-def descend(full, depth, most=48):
-    """The nodes (node, v, root) of each level for documents with such minwise values, by forced branching of those that
-    v's two documents, full[0] and full[1], share; at most so many of a pair and tree go on."""
-    c = chosenpath
-    sigs = [pa.array([(t.tobytes() + (f & 255).astype(np.uint8).tobytes()) for t, f in zip(x[:, : c.COORDINATES], x, strict=True)], pa.binary()) for x in full]
-    v = pa.array(np.arange(full.shape[1]))
-    new = [next(c.roots(iter([pa.RecordBatch.from_arrays([v, s], names=["v", "sig"])]))) for s in sigs]
-    for level in range(depth + 1):
-        yield new
-        if level < depth:
-            same = pc.equal(new[0].column(0), new[1].column(0))
-            node, at, root = (x.to_numpy() for x in new[0].filter(same).columns)
-            key = at * c.TREES + root // c.BRANCHES
-            order = np.argsort(key, kind="stable")
-            held = order[np.arange(len(key)) - np.searchsorted(key[order], key[order]) < most]
-            node, at, root = pa.array(node[held]), pa.array(at[held]), pa.array(root[held])
-            new = [next(c.branch(iter([pa.RecordBatch.from_arrays([node, at, root, s.take(at)], names=["node", "v", "root", "sig"])]))) for s in sigs]
-
-
-def minwise(n, seed):
-    return np.random.default_rng(seed).integers(0, 1 << 32, (n, chosenpath.SKETCH), dtype=np.uint64).astype(np.uint32)
-
-
-def test_trees_share_no_tokens():
-    """One other minwise value changes the nodes of one tree at most, however deep."""
-    c = chosenpath
-    full = np.repeat(minwise(1, 1), c.SKETCH, axis=0)
-    other = full.copy()
-    np.fill_diagonal(other, other.diagonal() ^ np.uint32(0x01010101))
-    trees = [set() for _ in range(c.SKETCH)]
-    for one, two in descend(np.stack((full, other)), 6):
-        moved = one.column(0).to_numpy() != two.column(0).to_numpy()
-        for at, root in zip(one.column(1).to_numpy()[moved], one.column(2).to_numpy()[moved], strict=True):
-            trees[at].add(root // c.BRANCHES)
-    assert max(map(len, trees)) == 1 and sum(map(len, trees)) > 200
-
-
-def test_forced_branching_keeps_links():
-    """Pairs with similarity 0.75 where every node branches on, down to the deepest level."""
-    n, c = 1000, chosenpath
-    one = minwise(n, 2)
-    two = np.where(np.random.default_rng(3).random(one.shape) < 0.75, one, minwise(n, 4))
-    *_, (left, right) = descend(np.stack((one, two)), c.DEPTH)
-    same = left.filter(pc.equal(left.column(0), right.column(0)))
-    lost = np.bincount(same.column(1).to_numpy() * c.TREES + same.column(2).to_numpy() // c.BRANCHES, minlength=n * c.TREES).reshape(n, c.TREES) == 0
-    assert lost.mean() ** c.TREES < 2e-7
-    assert (lost[:, ::2] & lost[:, 1::2]).mean() < 1.3 * lost.mean() ** 2  # trees lose independently
+def edited(seed=8, groups=6, n=60):
+    """Groups of copies with any number of edits each, so that similarities lie on both sides of 0.75."""
+    r, rows = random.Random(seed), []
+    for g in range(groups):
+        base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+        for i in range(n):
+            own = list(base)
+            for _ in range(r.randrange(0, 14)):
+                own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
+            rows.append((1000 * i + g, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("node", "items"), [(4096, 1 << 20), (16, 3000)])
+def test_near_dedup_of_edited_copies(spark, node, items):
+    rows = edited()
+    got = chosenpath.cluster(spark.createDataFrame(rows, "doc_id long, text string"), node=node, items=items)
+    exp = sorted(chosenpath.plain(rows))
+    assert len({c for _, _, c, _ in exp}) > 30 and tuples(got, "doc_id", "n_shingles", "component_id", "kept") == exp
+
+
+def test_recall_of_branching():
+    """Links of similarity 0.75 whose nodes all hold thousands of documents of similarity 0.4: few are lost."""
+    c, n, r = chosenpath, 1500, np.random.default_rng(3)
+    value = lambda *shape: r.integers(0, 256, shape, dtype=np.uint8)
+    base = value(c.SKETCH)
+    one = np.where(r.random((n, c.SKETCH)) < 0.63, base, value(n, c.SKETCH))
+    two = np.where(r.random((n, c.SKETCH)) < 0.58, one, np.where(r.random((n, c.SKETCH)) < 0.63, base, value(n, c.SKETCH)))
+    nodes = c.Nodes(np.concatenate((one, two)), np.full(2 * n, 100), c.PERCENT)
+    found = set()
+    for tree in range(c.TREES):
+        at_root = np.flatnonzero(r.random(n) < 0.75)  # where both have the root's token
+        nodes.add(np.concatenate((at_root, n + at_root)), tree + 1, tree)
+        for grid in map(np.stack, nodes.leaves.values()):
+            i, j = np.triu_indices(grid.shape[1], 1)
+            a, b = grid[:, i].ravel(), grid[:, j].ravel()
+            found |= set(np.minimum(a, b)[np.abs(a - b) == n].tolist())
+        nodes.leaves = {}
+    linked = np.count_nonzero(one == two, axis=1) <= 0.78 * c.SKETCH
+    assert linked.sum() > 300 and len(found & set(np.flatnonzero(linked).tolist())) >= 0.99 * linked.sum()
 
 
 def test_near_dedup_odd(odd, empty):
     got = chosenpath.cluster(odd).collect()
-    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (7, 7, True), (7, 7, True), (7, 7, True), (9, 7, False)]
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 7, False), (7, 7, True), (7, 7, True), (7, 7, True), (9, 7, False)]
     assert chosenpath.cluster(empty).count() == 0
 
 
+def test_distinct_keeps_rows_not_ids(spark, odd, empty):
+    t, u = "a b c d e f g h", "one two three four five six"
+    rows = [(7, t, "", ""), (9, t, "", ""), (9, u, "", ""), (9, u, "", ""), (11, "z", "", ""), (None, u, "", ""), (None, None, "", ""), (None, None, "", ""), (12, "", "", "")]
+    got = chosenpath.distinct(spark.createDataFrame(rows, SCHEMA))
+    assert got.columns == ["doc_id", "text", "items", "shard"]
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (0, ""), (7, t), (9, u), (11, "z"), (12, "")]
+    assert chosenpath.distinct(odd).count() == 3 and chosenpath.distinct(empty).count() == 0
+
+
 # 9 --------------------------------------------------------------------------------------------------------------
 
 
@@ -361,6 +480,29 @@ def test_media(spark, docs, rows, empty):
     assert got[48].media_sha256 == got[47].media_sha256 and gif.describe(gif.store(empty)).count() == 0
     bad = spark.createDataFrame([(1, bytearray(b"GIF89a")), (2, None), (3, bytearray(gif.encode_bytes(bytes(64))))], "doc_id long, media binary")
     assert sorted((r.doc_id, r.error is None, len(r.rgba or b"")) for r in gif.frames(bad).collect()) == [(1, False, 0), (3, True, 256)]
+    told = {r.doc_id: r for r in gif.describe(bad.withColumn("n_bytes", F.lit(1).cast("long"))).collect()}
+    assert told[1].error and told[1].payload_bytes is None and told[2].frames is None and told[2].error is None and told[3].payload_bytes == 64
+    assert told[3].frames[0].histogram[0] == 64 and (told[3].frames[0].delay_ms, told[3].frames[0].width, told[3].frames[0].height) == (100, 64, 1)
+
+
+def test_media_query_has_its_features_from_frames(spark):
+    got = gif.query(spark, SMALL).toPandas()
+    for r in got.itertuples():
+        counts = dict(map(int, x.split("=")) for x in r.feature.split(";")[3].split(","))
+        assert sum(counts.values()) == r.payload_bytes and set(counts) <= {0, 21, 42, 63}
+        assert r.feature.startswith(f"frames=1;ms=100;rows={r.payload_bytes // 64};")
+
+
+def test_broken_code_streams():
+    whole = gif.encode_bytes(bytes(range(64)) * 8)
+    assert [f.indexes.size for f in gif.decode(whole)] == [512]
+    short = gif.encode_bytes(bytes(range(64)))
+    taller = short.replace(b"\x40\x00\x01\x00\x00", b"\x40\x00\x02\x00\x00")  # a box of two rows, samples for one
+    assert taller != short
+    with pytest.raises(ValueError):
+        list(gif.decode(taller))
+    with pytest.raises(ValueError):
+        gif.lzw_decode(bytes([0x04 | 7 << 4]), 2, 9)  # clear, then a code that isn't there yet
 
 
 # 10 -------------------------------------------------------------------------------------------------------------
