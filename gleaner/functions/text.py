@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,10 @@ EXTENSIONS = {
     "application/x-font-ttf": ".ttf",
 }
 
+# How content types begin that a page is rendered from, and endings of paths that no page is expected at.
+RENDERED = ("text/html", "application/xhtml+xml", "text/xml", "application/xml", "image/svg")
+NO_PAGE = ("pdf", "zip", "gz", "tgz", "tar", "wasm", "woff", "woff2", "ttf", "otf", "mp3", "mp4", "webm", "ogg", "wav", "bin")
+
 # Glyphs that look like a hex digit, and that digit.
 CONFUSED, MEANT = "lIi|OoQDSsZzBGgqT/([", "111100005522869977cc"
 
@@ -51,6 +57,15 @@ def is_textual(mime: Column | str, wide: bool = False) -> Column:
     return col(mime).startswith("text/") | col(mime).rlike(TEXTUAL_WIDE if wide else TEXTUAL)
 
 
+def is_renderable(mime: Column | str) -> Column:
+    low = F.lower(col(mime))
+    return reduce(Column.__or__, (low.startswith(x) for x in RENDERED))
+
+
+def is_navigable(url: Column | str) -> Column:
+    return ~F.lower(url_path(url)).rlike(rf"\.({'|'.join(NO_PAGE)})$")
+
+
 def should_have_body(status: Column | str, method: Column | str, content_length: Column | str) -> Column:
     status = col(status)
     return (F.upper(col(method)) != "HEAD") & status.between(200, 299) & ~status.isin(204, 205) & ~F.coalesce(col(content_length) == "0", F.lit(False))

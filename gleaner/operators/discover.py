@@ -138,6 +138,14 @@ def forms(page: Page) -> Iterator[tuple[str, str, str]]:
             yield a.get("action", "").partition("?")[0] + (f"?{query}" if query else "?"), "form-get", "form with default fields"
 
 
+def posted(html: str) -> Iterator[tuple[str, str, str]]:
+    """Forms that are sent by another method than GET, and so never followed: action, method, what they are."""
+    for t, a, _ in Page(html).elements:
+        method = a.get("method", "get").lower()
+        if t == "form" and method not in ("get", ""):
+            yield a.get("action", "") or ".", method, "form that is not sent"
+
+
 def clickables(html: str) -> list[str]:
     """Descriptions of what a user may click besides links: handlers, roles, navigation data. At most three children,
     unless there is a handler or navigation data."""
@@ -172,6 +180,21 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return pages.select(F.col(url).alias("page"), html).mapInArrow(_collector(candidates), "page string, ord int, raw_url string, source string, detail string")
 
 
+def posted_forms(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """A row for each form that isn't sent: page, action, method. Without an action a form belongs to its page."""
+    prepare(pages.sparkSession)
+    found = pages.select(F.col(url).alias("page"), html).mapInArrow(_collector(posted), "page string, ord int, raw_url string, source string, detail string")
+    return found.select("page", "ord", F.when(F.col("raw_url") == ".", F.col("page")).otherwise(F.col("raw_url")).alias("action"), F.col("source").alias("method"))
+
+
+def written_links(observations: DataFrame, bodies: DataFrame) -> DataFrame:
+    """What response bodies, headers and source maps say of other addresses, as more links for a crawl: page, ord,
+    raw_url, source, detail. They come after the links of the page itself."""
+    of_body = body_literals(observations, bodies).select("page", "ord", F.col("url").alias("raw_url"), "source")
+    rest = header_links(observations).unionByName(source_map_links(observations, bodies)).select("page", F.lit(0).alias("ord"), "raw_url", "source")
+    return of_body.unionByName(rest).withColumn("detail", F.lit("stored response"))
+
+
 def body_literals(observations: DataFrame, bodies: DataFrame) -> DataFrame:
     """URLs written in textual bodies, resolved: seq, page, url, source by what kind of text it is."""
     prepare(observations.sparkSession)

@@ -62,18 +62,18 @@ def matches(texts: Column, grammar: Grammar) -> Column:
 
 def header_texts(column: str, name: str) -> Column:
     entries = F.map_entries(F.coalesce(column, F.create_map().cast("map<string,string>")))
-    return F.transform(entries, lambda e: F.struct(F.concat(F.lit(f'HTTP {name} header "'), e["key"], F.lit('"')).alias("method"), F.coalesce(e["value"], F.lit("")).alias("text")))
+    return F.transform(entries, lambda e: F.struct(F.concat(F.lit(f"{name} header "), e["key"]).alias("method"), F.coalesce(e["value"], F.lit("")).alias("text")))
 
 
 def header_channels() -> dict[str, tuple[Column, Column]]:
     """Of an observation and each header channel: whether it applies, and its texts."""
     headers, requests = (F.coalesce(c, F.create_map().cast("map<string,string>")) for c in ("headers", "request_headers"))
-    status = F.struct(F.lit("HTTP status line (reason phrase)").alias("method"), F.concat_ws(" ", F.col("status").cast("string"), F.coalesce("status_text", F.lit(""))).alias("text"))
+    status = F.struct(F.lit("status line").alias("method"), F.concat_ws(" ", F.col("status").cast("string"), F.coalesce("status_text", F.lit(""))).alias("text"))
     cookie = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == "set-cookie")
     return {
         "response-headers": ((F.size(headers) > 0) | (F.length(F.coalesce("status_text", F.lit(""))) > 0), F.concat(F.array(status), header_texts("headers", "response"))),
         "request-headers": (F.size(requests) > 0, header_texts("request_headers", "request")),
-        "cookies": (F.size(cookie) > 0, F.transform(cookie, lambda e: F.struct(F.lit("Set-Cookie response header").alias("method"), F.coalesce(e["value"], F.lit("")).alias("text")))),
+        "cookies": (F.size(cookie) > 0, F.transform(cookie, lambda e: F.struct(F.lit("cookie that is set").alias("method"), F.coalesce(e["value"], F.lit("")).alias("text")))),
     }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from gleaner.operators.registry import Registry
 from gleaner.runtime import settle
-from gleaner.schema import KIND_MEANING
+from gleaner.schema import KIND_MEANING, STORED
 
 ORDER = ["seq", "extractor_ord", "hit_ord"]
 
@@ -27,7 +27,7 @@ def dedupe_hits(hits: DataFrame) -> DataFrame:
 def specificity(registry: Registry, unknown: int = 5) -> Column:
     """How well the channel of a hit explains it; a cookie hit that only echoes a page's text explains little."""
     ranks = F.create_map(*(F.lit(x) for c in registry.channels for x in (c.id, c.rank)))
-    echo = (F.col("extractor") == "cookies") & F.col("method").rlike("(?i)browser state snapshot")
+    echo = (F.col("extractor") == "cookies") & F.col("method").startswith(STORED)
     return F.when(echo, 1).otherwise(F.coalesce(F.try_element_at(ranks, F.col("extractor")), F.lit(unknown)))
 
 

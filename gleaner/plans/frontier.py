@@ -3,11 +3,13 @@
 Links of all pages are collected and keyed once. Then every level joins the frontier to them, keeps what is neither
 known nor refused, and becomes the next frontier, until a level brings nothing new. Order is (depth, order of the page
 in its level, order on the page); it decides what is first seen, and what a template's budget goes to. Tables are cut
-off from their lineage at every level, so a long crawl recovers from lost executors at the level it is in.
+off from their lineage at every level, so a long crawl recovers from lost executors at the level it is in. Of the levels
+before, a level reads what is known by address, and sums by template; not their pages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import count
@@ -37,7 +39,7 @@ class TrapRules:
 @dataclass
 class Crawl:
     """Tables of a crawl: frontier (url, depth, seq, provenance), discoveries, templates, skipped (reason, n), pending (as
-    frontier: what a limit of depth left unvisited; empty without one)."""
+    frontier: what a limit left unvisited; empty without one)."""
 
     frontier: DataFrame
     discoveries: DataFrame
@@ -50,7 +52,7 @@ class Crawl:
         """One row: known, visited, pending, off_host, unusable, discoveries, trapped."""
         n = lambda df, name: df.agg(F.count("*").alias(name))
         why = lambda name: F.coalesce(F.sum(F.when(F.col("reason") == name, F.col("n"))), F.lit(0)).alias(name)
-        known = self.frontier.agg(F.count("*").alias("known"), F.count_if("visited").alias("visited"))
+        known = self.frontier.select("visited").unionByName(self.pending.select("visited")).agg(F.count("*").alias("known"), F.count_if("visited").alias("visited"))
         return known.crossJoin(n(self.pending, "pending")).crossJoin(self.skipped.agg(why("off_host"), why("unusable"), why("trapped"))).crossJoin(n(self.discoveries, "discoveries"))  # each side is one row
 
 
@@ -64,9 +66,10 @@ def packed(parts: list[DataFrame]) -> list[DataFrame]:
 
 
 def templates_of(visited: DataFrame, enqueued: DataFrame, rules: TrapRules) -> DataFrame:
-    """State of each template: enqueued, fetched, distinct_shapes, outbound_novelty, saturated, reason, example."""
-    queued = enqueued.groupBy("template").agg(F.count("*").alias("enqueued"), F.min_by("url", "seq").alias("example"))
-    seen = visited.groupBy("template").agg(F.count("*").alias("fetched"), F.countDistinct("shape").alias("distinct_shapes"), F.sum("novelty").alias("outbound_novelty"))
+    """State of each template: enqueued, fetched, distinct_shapes, outbound_novelty, saturated, reason, example; from sums
+    by level: visited (template, shape, fetched, novelty) and enqueued (template, n, first, example)."""
+    queued = enqueued.groupBy("template").agg(F.sum("n").alias("enqueued"), F.min_by("example", "first").alias("example"))
+    seen = visited.groupBy("template").agg(F.sum("fetched").alias("fetched"), F.countDistinct("shape").alias("distinct_shapes"), F.sum("novelty").alias("outbound_novelty"))
     t = queued.join(seen, "template", "left").na.fill(0, ["fetched", "distinct_shapes", "outbound_novelty"])
     trap = (F.col("fetched") >= rules.sample) & (F.col("distinct_shapes") <= rules.shapes) & (F.col("outbound_novelty") == 0)
     full = F.col("enqueued") >= rules.most
@@ -74,13 +77,26 @@ def templates_of(visited: DataFrame, enqueued: DataFrame, rules: TrapRules) -> D
     return t.withColumn("saturated", trap | full).withColumn("reason", reason)
 
 
-def crawl(pages: DataFrame, seeds: list[str], host: str | None = None, rules: TrapRules | None = TrapRules(), depth: int | None = None, resume: DataFrame | None = None) -> Crawl:
+VISITED, QUEUED = "template string, shape string, fetched long, novelty long", "template string, n long, first long, example string"
+LINK = ["page", "ord", "raw_url", "source", "detail"]
+
+
+def crawl(
+    pages: DataFrame, seeds: list[str], host: str | None = None, rules: TrapRules | None = TrapRules(), depth: int | None = None, resume: DataFrame | None = None,
+    max_pages: int | None = None, more: DataFrame | None = None, log: Callable[..., None] | None = None,
+) -> Crawl:
     """Crawls `pages` (url, html) from the seeds. host: only URLs of it (with its port) are followed; None follows all.
     depth: levels to visit; None goes on until a level brings nothing new. The level after the last one is pending.
-    resume: URLs (url) that count as known and visited. A page stored more than once counts once."""
+    max_pages: URLs that are taken from the frontier at most, in its order; the others that are known then are pending.
+    resume: URLs (url) that count as known and visited. A page stored more than once counts once. more: links (page, ord,
+    raw_url, source, detail) besides those on the pages, after them in order. log: gets level, known and taken at each level."""
     spark: SparkSession = prepare(pages.sparkSession)
-    stored = settle(pages.select(U.canonical_key(F.col("url"), F.lit(None).cast("string")).alias("url"), "html").where("url is not null").dropDuplicates(["url"]), "pages")
-    found = links(stored).withColumn("url", U.canonical_key(F.col("raw_url"), F.col("page")))
+    key = lambda c: U.canonical_key(F.col(c), F.lit(None).cast("string"))
+    stored = settle(pages.select(key("url").alias("url"), "html").where("url is not null").dropDuplicates(["url"]), "pages")
+    found = links(stored)
+    if more is not None:
+        found = found.unionByName(more.select(key("page").alias("page"), (F.col("ord") + (1 << 24)).cast("int").alias("ord"), *LINK[2:]).where("page is not null"))
+    found = found.withColumn("url", U.canonical_key(F.col("raw_url"), F.col("page")))
     found = found.withColumn("reason", F.when(F.col("url").isNull(), "unusable").when(F.lit(host is not None) & ~U.same_host("url", F.lit(host or "")), "off_host"))
     found = settle(found.withColumn("template", F.when(F.col("reason").isNull(), U.template_key("url"))), "links")
     shapes = settle(stored.select("url", shape_hash("html").alias("shape"), U.template_key("url").alias("template")), "shapes")
@@ -90,18 +106,17 @@ def crawl(pages: DataFrame, seeds: list[str], host: str | None = None, rules: Tr
     start = start.withColumn("reason", F.when(F.col("url").isNull(), "unusable").when(F.lit(host is not None) & ~U.same_host("url", F.lit(host or "")), "off_host"))
     level = start.withColumn("template", F.when(F.col("reason").isNull(), U.template_key("url")))
     known = resume.select("url").distinct() if resume is not None else spark.createDataFrame([], "url string")
-    queues, logs, visits, skips, base, pending = [], [], [], [], 0, None
+    queues, logs, visits, counts, skips, base, taken, pending = [], [], [], [], [], 0, 0, None
     for k in count():
-        queues, logs, visits, skips = map(packed, (queues, logs, visits, skips))
-        level = settle(ordered(level, base, "from_seq", "ord"), "level")
+        queues, logs, visits, counts, skips = map(packed, (queues, logs, visits, counts, skips))
+        level = settle(ordered(level, base, "from_seq", "ord", "raw_url"), "level")
         base = 1 + (level.agg(F.max("seq").alias("seq")).first().seq or base)
         skips.append(level.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")))
         usable = level.where("reason is null")
         logs.append(usable.select("seq", F.col("url").alias("key"), "raw_url", F.col("page").alias("discovered_from"), "source", "detail"))
         new = usable.join(known, "url", "left_anti").groupBy("url").agg(F.min("seq").alias("seq"), F.min_by(F.struct("raw_url", "page", "source", "detail", "template"), "seq").alias("s")).select("url", "seq", "s.*")
         if rules is not None:
-            gone = union(queues, "url string, template string, seq long").select("template", "url", "seq")
-            state = templates_of(union(visits, "template string, shape string, novelty long"), gone, rules).select("template", F.col("enqueued").alias("before"), "saturated")
+            state = templates_of(union(visits, VISITED), union(counts, QUEUED), rules).select("template", F.col("enqueued").alias("before"), "saturated")
             # the budget of a template is used up in order; a template has at most `most` rows that pass
             turn = F.row_number().over(Window.partitionBy("template").orderBy("seq"))
             new = new.join(state, "template", "left").withColumn("turn", turn + F.coalesce("before", F.lit(0)))
@@ -111,22 +126,33 @@ def crawl(pages: DataFrame, seeds: list[str], host: str | None = None, rules: Tr
         new = settle(new.select("url", "seq", "raw_url", F.col("page").alias("discovered_from"), "source", "detail", "template", "allowed"), "new")
         skips.append(new.where("not allowed").groupBy(F.lit("trapped").alias("reason")).agg(F.count("*").alias("n")))
         new = new.where("allowed").drop("allowed")
-        if new.isEmpty():
+        n = new.count()
+        if log is not None:
+            log(level=k, known=taken + n, taken=taken)
+        if not n:
             break
-        if k == depth:
-            pending = new.withColumn("depth", F.lit(k)).withColumn("visited", F.lit(False))
+        left = lambda df: df.withColumn("depth", F.lit(k)).withColumn("visited", F.lit(False))
+        if k == depth or taken == max_pages:
+            pending = left(new)
             break
+        if max_pages is not None and taken + n > max_pages:
+            own = settle(new.orderBy("seq").limit(max_pages - taken), "taken")
+            pending, new, n = left(new.join(own.select("url"), "url", "left_anti")), own, max_pages - taken
+        taken += n
         page = settle(new.join(shapes.drop("template"), "url").select("url", "seq", "template", "shape"), "visit")
         queues.append(new.withColumn("depth", F.lit(k)).join(page.select("url", F.lit(True).alias("visited")), "url", "left").na.fill(False, ["visited"]))
+        counts.append(new.groupBy("template").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.min_by("url", "seq").alias("example")))
         known = settle(known.union(new.select("url")), "known")
         level = page.select(F.col("url").alias("page"), F.col("seq").alias("from_seq")).join(found, "page").select("from_seq", "page", "ord", "raw_url", "source", "detail", "url", "reason", "template")
         # novelty of a page: URLs that it was the first to find, outside its own template
         fresh = level.where("reason is null").join(known, "url", "left_anti").groupBy("url", "template").agg(F.min_by("page", F.struct("from_seq", "ord")).alias("page"))
         counted = page.alias("p").join(fresh.alias("f"), F.col("p.url") == F.col("f.page"), "left").groupBy("p.url", "p.template", "p.shape").agg(F.count_if(F.col("f.template") != F.col("p.template")).alias("novelty"))
-        visits.append(settle(counted.select("template", "shape", "novelty"), "visits"))
+        visits.append(settle(counted.groupBy("template", "shape").agg(F.count("*").alias("fetched"), F.sum("novelty").alias("novelty")), "visits"))
+        if pending is not None:
+            break
     frontier = union(queues, "url string, seq long, raw_url string, discovered_from string, source string, detail string, template string, depth int, visited boolean", spark)
     skipped = union(skips, "reason string, n long", spark).groupBy("reason").agg(F.sum("n").alias("n"))
-    templates = templates_of(union(visits, "template string, shape string, novelty long", spark), frontier, rules or TrapRules(sample=1 << 60, most=1 << 60))
+    templates = templates_of(union(visits, VISITED, spark), union(counts, QUEUED, spark), rules or TrapRules(sample=1 << 60, most=1 << 60))
     return Crawl(frontier, union(logs, "seq long, key string, raw_url string, discovered_from string, source string, detail string", spark), templates, skipped, frontier.where("false") if pending is None else pending)
 
 

@@ -1,9 +1,11 @@
 """Reports: the nested JSON of tokens, the Markdown report and the inventory. Everything is aggregated before it comes to
-the driver; what comes there is as large as the report itself."""
+the driver; long tables are shown by their first rows."""
 
 from __future__ import annotations
 
+import json
 from datetime import UTC, datetime
+from typing import TextIO
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -13,9 +15,10 @@ from gleaner.operators import relational as R
 from gleaner.operators.extract import Extraction
 from gleaner.operators.registry import Registry
 from gleaner.plans.frontier import Crawl
+from gleaner.runtime import discard, settle
 
-#: Rows of long tables that a report shows.
-TEMPLATES, ERRORS = 40, 100
+#: Rows of long tables that a report shows; the tables themselves are written beside it.
+TEMPLATES, ERRORS, URLS, TOKENS, FORMS = 40, 100, 1000, 1000, 100
 
 
 def now() -> str:
@@ -30,11 +33,15 @@ def tokens_table(hits: DataFrame, registry: Registry) -> DataFrame:
     return best.join(rest, "token", "left").select("token", F.col("source_url").alias("sourceUrl"), F.col("artifact_path").alias("artifactPath"), "extractor", "method", "context", F.col("mime_type").alias("mimeType"), also.alias("alsoSeenIn")).orderBy("token")
 
 
-def tokens_json(hits: DataFrame, registry: Registry, base_url: str, generated: str | None = None) -> DataFrame:
-    """One row `value`: the whole file as JSON."""
-    listed = F.array_sort(F.collect_list(F.struct(*tokens_table(hits, registry).columns)))
-    whole = tokens_table(hits, registry).agg(listed.alias("tokens")).select(F.struct(F.lit(generated or now()).alias("generatedAt"), F.lit(base_url).alias("baseUrl"), F.size("tokens").alias("count"), "tokens").alias("v"))
-    return whole.select(F.to_json("v", {"pretty": "true"}).alias("value"))
+def write_tokens(to: TextIO, hits: DataFrame, registry: Registry, base_url: str, generated: str | None = None) -> None:
+    """The whole JSON file, a token at a time: neither a task nor the driver holds all of them."""
+    tokens = settle(tokens_table(hits, registry).select(F.to_json(F.struct("*")).alias("value"), "token"), "tokens")
+    head = json.dumps({"generatedAt": generated or now(), "baseUrl": base_url, "count": tokens.count()}, indent=2, ensure_ascii=False)
+    to.write(head[:-2] + ',\n  "tokens": [')
+    for i, r in enumerate(tokens.orderBy("token").toLocalIterator()):
+        to.write(("," if i else "") + "\n    " + r.value)
+    to.write("\n  ]\n}\n")
+    discard(tokens)
 
 
 def pipes(text: str | None) -> str:
@@ -63,9 +70,21 @@ def frontier_section(crawl: Crawl | None) -> list[str]:
     closed = crawl.templates.where("saturated").count()
     if closed:
         out += [f"**{closed} template(s) were closed by the trap guard.**", ""]
-    urls = R.url_inventory(crawl.discoveries).orderBy("seq").select("key", "sources", short("first_seen_on").alias("on")).toLocalIterator()
-    rows = [(i + 1, f"`{r.key}`", ", ".join(f"`{x}`" for x in r.sources.split(", ")), f"`{r.on}`") for i, r in enumerate(urls)]
-    return [*out, "### URL inventory", "", *grid(["#", "URL", "Discovered via", "First seen on"], rows, (0,))]
+    urls = R.first_rows(R.url_inventory(crawl.discoveries).select("seq", "key", "sources", short("first_seen_on").alias("on")), URLS + 1, "seq").collect()
+    rows = [(i + 1, f"`{r.key}`", ", ".join(f"`{x}`" for x in r.sources.split(", ")), f"`{r.on}`") for i, r in enumerate(urls[:URLS])]
+    return [*out, "### URL inventory", "", *grid(["#", "URL", "Discovered via", "First seen on"], rows, (0,)), *cut(urls, URLS, "url-inventory")]
+
+
+def cut(rows: list, most: int, name: str) -> list[str]:
+    return [f"_The first {most} rows; all are in the table `{name}`._", ""] if len(rows) > most else []
+
+
+def forms_section(forms: DataFrame | None) -> list[str]:
+    """Forms that were seen and not sent, in order; a limited number."""
+    rows = [] if forms is None else R.first_rows(forms, FORMS + 1, "page", "ord").collect()
+    if not rows:
+        return []
+    return ["### Forms that were not sent", "", *grid(["Page", "Method", "Action"], [(f"`{pipes(r.page)}`", r.method, f"`{pipes(r.action)}`") for r in rows[:FORMS]]), *cut(rows, FORMS, "forms")]
 
 
 def artifact_section(observations: DataFrame) -> list[str]:
@@ -76,21 +95,23 @@ def artifact_section(observations: DataFrame) -> list[str]:
     return [*out, "### By status", "", *grid(["Status", "Count"], [(r.status, r["count"]) for r in R.count_by(observations, "status", "seq").collect()], (0, 1))]
 
 
-def render(base_url: str, observations: DataFrame, extraction: Extraction, registry: Registry, crawl: Crawl | None = None, generated: str | None = None) -> str:
-    results, hits = extraction.results.cache(), R.dedupe_hits(extraction.hits).cache()
-    best = R.best_hits(hits, registry).select("token", short("source_url").alias("at"), "method", "extractor").collect()
-    out = ["# Crawl report", "", f"- Base URL: `{base_url}`", f"- Generated: {generated or now()}", f"- Distinct tokens: **{len(best)}**", "", "## 1. Frontier", "", *frontier_section(crawl)]
+def render(base_url: str, observations: DataFrame, extraction: Extraction, registry: Registry, crawl: Crawl | None = None, generated: str | None = None, forms: DataFrame | None = None) -> str:
+    runs = settle(extraction.runs, "runs")  # the bodies are read once
+    extraction = Extraction(runs, extraction.unreadable)
+    results, hits = extraction.results, settle(R.dedupe_hits(extraction.hits), "hits")
+    ranked = R.best_hits(hits, registry).select("token", short("source_url").alias("at"), "method", "extractor")
+    best, distinct = R.first_rows(ranked, TOKENS + 1, "token").collect(), R.unique_tokens(hits).count()
+    out = ["# Crawl report", "", f"- Base URL: `{base_url}`", f"- Generated: {generated or now()}", f"- Distinct tokens: **{distinct}**", "", "## 1. Frontier", "", *frontier_section(crawl), *forms_section(forms)]
     out += ["## 2. Artifacts", "", *artifact_section(observations), "## 3. Coverage", "", "Content types by channels: artifacts it ran over / tokens it found; — where it never applied.", ""]
     matrix = R.coverage_matrix(results, registry).collect()
     out += grid(["Content type", *(f"`{i}`" for i in registry.ids)], [(f"`{r.mime_type}`", *(r[i] for i in registry.ids)) for r in matrix])
     silent = R.without_hits(results, registry).collect()
     out += ["### Channels that found nothing", "", *([f"- `{r.extractor}` — {r.description}" for r in silent] or ["_None; every channel found something._"]), "", "## 4. Tokens", ""]
-    out += grid(["#", "Token", "Where", "How"], [(i + 1, f"`{r.token}`", f"`{r.at}`", f"{pipes(r.method)} (`{r.extractor}`)") for i, r in enumerate(best)], (0,)) if best else ["_None found._", ""]
+    out += grid(["#", "Token", "Where", "How"], [(i + 1, f"`{r.token}`", f"`{r.at}`", f"{pipes(r.method)} (`{r.extractor}`)") for i, r in enumerate(best[:TOKENS])], (0,)) + cut(best, TOKENS, "tokens") if best else ["_None found._", ""]
     errors = results.where("error is not null").orderBy("seq", "extractor_ord").limit(ERRORS).collect()
     if errors:
         out += ["## 5. Errors", "", *grid(["Artifact", "Channel", "Message"], [(f"`{r.artifact_path}`", f"`{r.extractor}`", pipes(r.error)) for r in errors])]
-    for df in (results, hits):
-        df.unpersist()
+    discard(runs, hits)
     return "\n".join(out)
 
 

@@ -241,7 +241,7 @@ def json_walk(spark, d):
         for batch in batches:
             rows = [(i, m, v) for i, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m, v in json_values(Artifact("application/json", "response", "", "", (p or "").encode()))]
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array([m.removeprefix("JSON value at ") for m in columns[1]], pa.string()), pa.array(columns[2], pa.string())], names=["event_id", "path", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array([m.removeprefix("at ") for m in columns[1]], pa.string()), pa.array(columns[2], pa.string())], names=["event_id", "path", "value"])
 
     return table(spark, d, "events").select("event_id", "props").mapInArrow(walk, "event_id long, path string, value string")
 

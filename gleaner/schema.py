@@ -32,3 +32,6 @@ KIND_MEANING = {
     "derived": "made from another artifact",
     "accessibility-text": "text that only the accessibility tree has",
 }
+
+#: How hits in stored browser state name their method; in a cookie they only echo what a page shows.
+STORED = "stored state:"

@@ -35,6 +35,17 @@ def observe(captured: DataFrame) -> DataFrame:
     return out.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in OBSERVATIONS), "body")
 
 
+def recover_empty(observations: DataFrame) -> DataFrame:
+    """Observations, those without a body that should have had one linked to the first other capture of their URL that has one.
+
+    A row that has no such capture stays as it is, and so do responses that have no body by their nature. Null URLs have
+    no other capture. An empty table gives no rows."""
+    lost = (F.col("byte_length") == 0) & (F.col("kind") == "response") & X.should_have_body("status", "method", F.lit(None).cast("string"))
+    other = observations.where("byte_length > 0 and kind = 'response'").groupBy("url").agg(F.min_by(F.struct("sha256", "body_path", "byte_length"), "seq").alias("__other"))
+    use = lost & F.col("__other").isNotNull()
+    return observations.join(other, "url", "left").withColumns({c: F.when(use, F.col(f"__other.{c}")).otherwise(F.col(c)) for c in ("sha256", "body_path", "byte_length")}).select(observations.columns)
+
+
 def split(captured: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(observations, bodies) of captures: each observation and each body once."""
     full = observe(captured)
@@ -65,7 +76,8 @@ class Store:
 
     def put(self, captured: DataFrame) -> tuple[int, int]:
         """Adds what isn't there yet; (new observations, new bodies). Doing it again adds nothing. Bodies are spread by
-        the first two digits of their digest, as on disk."""
+        the first two digits of their digest, as on disk. Bodies are written first, so a put that breaks off leaves bodies
+        without observations, which the next one finds."""
         first, bodies = split(captured)
         new = first.join(self.observations.select(KEY), KEY, "left_anti").cache()
         fresh = bodies.join(self.bodies.select("sha256"), "sha256", "left_anti").cache()
@@ -76,6 +88,17 @@ class Store:
             df.unpersist()
         return counts
 
+    def keep(self, **tables: DataFrame) -> None:
+        """Writes tables of a crawl beside the artifacts, in place of those of the crawl before."""
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def kept(self, name: str) -> DataFrame | None:
+        """A table that keep() has written; None if there is none."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+        return self.spark.read.parquet(f"{self.path}/{name}") if there else None
+
     def unique_bodies(self) -> int:
         return self.bodies.select("sha256").distinct().count()
 

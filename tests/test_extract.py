@@ -38,38 +38,38 @@ def test_planted_in_each_channel(channel):
 @pytest.mark.parametrize(
     ("channel", "method", "body", "mime"),
     [
-        ("html", '<img> attribute "alt" (raw HTML body)', f'<img alt="{T}">', "text/html"),
-        ("html", "text inside hidden <div> element (raw HTML body)", f'<div style="display:none">{T}</div>', "text/html"),
-        ("html", "document text node (raw HTML body)", f"<script>1</script><p>{T}</p>", "text/html"),
-        ("css", "CSS comment (inline <style>)", f"<style>/* {T} */</style>", "text/html"),
-        ("css", "CSS `content:` declaration (stylesheet)", f'a{{content:"{T}"}}', "text/css"),
-        ("javascript", "JS line comment (script file)", f"x // {T}", "text/javascript"),
-        ("javascript", "quoted string literal (script file)", f"a='{T}'", "text/javascript"),
-        ("javascript", "JS \\u/\\x-escaped literal (script file)", "".join(f"\\u{ord(c):04x}" for c in T), "text/javascript"),
-        ("javascript", "character-code array literal (script file)", f"[{', '.join(str(ord(c)) for c in T)}]", "text/javascript"),
-        ("javascript", "concatenated string literal (script file)", " + ".join(f"'{T[i:i + 5]}'" for i in range(0, len(T), 5)), "text/javascript"),
-        ("javascript", "reversed string literal (script file)", T[::-1], "text/javascript"),
-        ("json", "JSON value at $.a[0] (nested).b", json.dumps({"a": [json.dumps({"b": T})]}), "application/json"),
-        ("json", f"JSON value at $.{T} (key)", json.dumps({T: 1}), "application/json"),
-        ("sourcemap", 'sourcemap "names" array', json.dumps({"sourcesContent": [], "names": [T]}), "application/json"),
-        ("svg", "SVG/XML comment", f"<svg><!-- {T} --></svg>", "image/svg+xml"),
-        ("escapes", "percent-decoded body", "".join(f"%{ord(c):02x}" for c in T), "text/plain"),
-        ("escapes", "HTML-entity-decoded body", "".join(f"&#{ord(c)};" for c in T), "text/plain"),
-        ("base64", "double base64-decoded run", __import__("base64").b64encode(__import__("base64").b64encode(T.encode() * 2)), "text/plain"),
-        ("compression", "decompressed body [zlib @ +3]", b"abc" + zlib.compress(T.encode()), "application/octet-stream"),
-        ("compression", "decompressed body [brotli]", pa.compress(T.encode(), "brotli", asbytes=True), "application/octet-stream"),
-        ("archive", 'gzip member "<gunzipped>"', gzip.compress(T.encode()), "application/gzip"),
-        ("archive", 'tar member "a"', planted.tar("a", T.encode()), "application/x-tar"),
-        ("archive", 'zip member "o!i"', planted.archive("o", planted.archive("i", T.encode())), "application/zip"),
-        ("image-chunks", "JPEG COM (comment) marker", planted.jpeg([(0xFE, T.encode())]), "image/jpeg"),
-        ("image-chunks", 'PNG iTXt chunk "k"', planted.png({"iTXt": b"k\0\1\0en\0t\0" + zlib.compress(T.encode())}), "image/png"),
-        ("image-chunks", "GIF comment extension block", b"GIF89a" + b"\0" * 7 + b"\x21\xfe" + bytes([len(T)]) + T.encode() + b"\0;", "image/gif"),
-        ("image-metadata", "raw XMP packet", planted.jpeg([(0xE1, f"<x:xmpmeta>{T}</x:xmpmeta>".encode())]), "image/jpeg"),
-        ("font", "font name table record 5 (version)", planted.woff(5, T), "font/woff"),
-        ("media-metadata", 'ID3 frame "ID3v1"', bytes(40) + b"TAG" + T.encode().ljust(125, b"\0"), "audio/mpeg"),
-        ("media-metadata", 'MP4 metadata atom "desc"', b"\0\0\0\x10ftypisom\0\0\0\0" + (8 + 8 + len(T)).to_bytes(4, "big") + b"moov" + (8 + len(T)).to_bytes(4, "big") + b"desc" + T.encode(), "video/mp4"),
-        ("pdf", "hex-encoded PDF string object", f"%PDF-1.4 <{T.encode().hex()}>", "application/pdf"),
-        ("trailing-bytes", f"{len(T)} bytes appended after JPEG EOI", planted.jpeg([]) + T.encode(), "image/jpeg"),
+        ("html", "img@alt, page source", f'<img alt="{T}">', "text/html"),
+        ("html", "after a hidden div, page source", f'<div style="display:none">{T}</div>', "text/html"),
+        ("html", "plain text, page source", f"<script>1</script><p>{T}</p>", "text/html"),
+        ("css", "comment, page with styles", f"<style>/* {T} */</style>", "text/html"),
+        ("css", "generated content, style sheet", f'a{{content:"{T}"}}', "text/css"),
+        ("javascript", "line comment, script", f"x // {T}", "text/javascript"),
+        ("javascript", "quoted, script", f"a='{T}'", "text/javascript"),
+        ("javascript", "escapes undone, script", "".join(f"\\u{ord(c):04x}" for c in T), "text/javascript"),
+        ("javascript", "list of character codes, script", f"[{', '.join(str(ord(c)) for c in T)}]", "text/javascript"),
+        ("javascript", "put together from pieces, script", " + ".join(f"'{T[i:i + 5]}'" for i in range(0, len(T), 5)), "text/javascript"),
+        ("javascript", "backwards, script", T[::-1], "text/javascript"),
+        ("json", "at $.a[0] inside.b", json.dumps({"a": [json.dumps({"b": T})]}), "application/json"),
+        ("json", f"at $.{T} (key)", json.dumps({T: 1}), "application/json"),
+        ("sourcemap", "map: list of names", json.dumps({"sourcesContent": [], "names": [T]}), "application/json"),
+        ("svg", "drawing: comment", f"<svg><!-- {T} --></svg>", "image/svg+xml"),
+        ("escapes", "percent signs undone", "".join(f"%{ord(c):02x}" for c in T), "text/plain"),
+        ("escapes", "entities undone", "".join(f"&#{ord(c)};" for c in T), "text/plain"),
+        ("base64", "base64 twice", __import__("base64").b64encode(__import__("base64").b64encode(T.encode() * 2)), "text/plain"),
+        ("compression", "unpacked [zlib @ +3]", b"abc" + zlib.compress(T.encode()), "application/octet-stream"),
+        ("compression", "unpacked [brotli]", pa.compress(T.encode(), "brotli", asbytes=True), "application/octet-stream"),
+        ("archive", "gzip: <gunzipped>", gzip.compress(T.encode()), "application/gzip"),
+        ("archive", "tar: a", planted.tar("a", T.encode()), "application/x-tar"),
+        ("archive", "zip: o!i", planted.archive("o", planted.archive("i", T.encode())), "application/zip"),
+        ("image-chunks", "JPEG comment", planted.jpeg([(0xFE, T.encode())]), "image/jpeg"),
+        ("image-chunks", "PNG iTXt k", planted.png({"iTXt": b"k\0\1\0en\0t\0" + zlib.compress(T.encode())}), "image/png"),
+        ("image-chunks", "GIF comment", b"GIF89a" + b"\0" * 7 + b"\x21\xfe" + bytes([len(T)]) + T.encode() + b"\0;", "image/gif"),
+        ("image-metadata", "XMP packet", planted.jpeg([(0xE1, f"<x:xmpmeta>{T}</x:xmpmeta>".encode())]), "image/jpeg"),
+        ("font", "font name 5 (version)", planted.woff(5, T), "font/woff"),
+        ("media-metadata", "ID3 ID3v1", bytes(40) + b"TAG" + T.encode().ljust(125, b"\0"), "audio/mpeg"),
+        ("media-metadata", "MP4 desc", b"\0\0\0\x10ftypisom\0\0\0\0" + (8 + 8 + len(T)).to_bytes(4, "big") + b"moov" + (8 + len(T)).to_bytes(4, "big") + b"desc" + T.encode(), "video/mp4"),
+        ("pdf", "PDF string in hex", f"%PDF-1.4 <{T.encode().hex()}>", "application/pdf"),
+        ("trailing-bytes", f"{len(T)} bytes after JPEG EOI", planted.jpeg([]) + T.encode(), "image/jpeg"),
     ],
 )
 def test_methods(channel, method, body, mime):
@@ -148,7 +148,9 @@ def test_report(run):
     observations, _, e = run
     text = report.render("http://planted.test/", observations, e, default_registry(), generated="now")
     assert f"- Distinct tokens: **{3 * len(planted.CHANNELS) - 1}**" in text and "| `application/pdf` |" in text and "- `ocr` —" in text and "`(read)`" in text
-    doc = json.loads(report.tokens_json(R.dedupe_hits(e.hits), default_registry(), "http://b/", "now").first().value)
+    written = io.StringIO()
+    report.write_tokens(written, R.dedupe_hits(e.hits), default_registry(), "http://b/", "now")
+    doc = json.loads(written.getvalue())
     assert doc["count"] == len(doc["tokens"]) and [t["token"] for t in doc["tokens"]] == sorted(t["token"] for t in doc["tokens"])
     assert report.exit_code(8) == 0 and report.exit_code(3) == 2 and report.exit_code(0) == 1
 
