@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE1, BASE2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Bytes of text that a chunk holds, unless one document alone is longer.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 def byte_set(*ranges: tuple[int, int], negate: bool = False) -> np.ndarray:
@@ -46,6 +46,8 @@ def random_table(seed: int) -> np.ndarray:
 
 
 TABLE1, TABLE2 = random_table(1), random_table(2)
+#: Powers that a worker keeps at most, of each base.
+KEPT = 2 << 20
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -58,7 +60,7 @@ def powers(base: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
         x = np.full(max(n, 1 << 16), one, U)
         x[0] = 1
         have = np.multiply.accumulate(x)
-        if n <= 4 * CHUNK:
+        if n <= KEPT:
             _powers[key] = have
     return have[:n]
 
@@ -81,6 +83,10 @@ def grams(values: np.ndarray, k: int, base: np.uint64 = BASE1) -> np.ndarray:
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, U)
+    if k > 6:  # by prefix sums, whatever k
+        sums = np.zeros(len(values) + 1, U)
+        np.cumsum(values * powers(base, len(values)), out=sums[1:])
+        return mix((sums[k:] - sums[:-k]) * powers(base, n, inverse=True))
     out = values[:n].copy()
     for j in range(1, k):
         out *= base

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.arrays import BASE1, BASE2, SPACED, SpanHash, U, Words, chunks, grams, mix, ranges
+from gleaner.llm.repeats import splittable
 from gleaner.runtime import discard, prepare, settle, table
 
 SHINGLE, PERCENT = 5, 75
@@ -394,7 +395,7 @@ def confirm(groups: DataFrame, texts: DataFrame, own: DataFrame, percent: int =
     with each other one."""
     vertices = groups.select(F.col("v").alias("r"), F.col("c").alias("group")).join(own.select("r", "key", "n", "d1", "d2"), "r")
     totals = vertices.groupBy("group").agg(F.sum("n").alias("total"))
-    known = vertices.join(totals, "group").withColumn("blocks", F.ceil(F.col("total") / (items / 2)).cast("int")).withColumn("large", F.col("total") > items)
+    known = splittable(vertices, totals, "group").withColumn("blocks", F.ceil(F.col("total") / (items / 2)).cast("int")).withColumn("large", F.col("total") > items)
     # a group within bounds is one cell; of larger ones, a block meets every other block in a cell of their own
     block = F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
@@ -434,7 +435,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, node: int = NODE, leaf: int
     at = at.withColumn("c", F.col("r")) if label is None else at.join(label.withColumnRenamed("v", "r"), "r", "left").withColumn("c", F.coalesce("c", "r"))
     # a component's first set is that of its smallest id; of several with that id (or with none) that of the smallest row
     parts = at.groupBy("c", "order").agg(F.min("r").alias("lead"), F.min("least").alias("component_id")).groupBy("c").agg(F.min_by("lead", "order").alias("lead"), F.min("component_id").alias("component_id"))
-    return every.drop("tokens", "sketch"), at.join(parts, "c").select("n", "d1", "d2", "component_id", F.coalesce("least", "key").alias("key"), (F.col("r") == F.col("lead")).alias("leads"))
+    return every.drop("tokens", "sketch"), splittable(at, parts, "c").select("n", "d1", "d2", "component_id", F.coalesce("least", "key").alias("key"), (F.col("r") == F.col("lead")).alias("leads"))
 
 
 def cluster(docs: DataFrame, percent: int = PERCENT, node: int = NODE, leaf: int = LEAF, items: int = ITEMS) -> DataFrame:

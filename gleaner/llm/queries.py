@@ -25,4 +25,5 @@ SQL: dict[str, str] = {
     "op2_sharding": sharding.SQL,
     "op3_substring_dedup": seedextend.SQL,
     "op6_near_dedup": chosenpath.SQL,
+    "op8_suffix_dedup": suffixdedup.SQL,
 }

@@ -239,7 +239,7 @@ def repeated(docs: DataFrame, unit: Unit, compare: Compare, bucket: int = BUCKET
     met = settle(splittable(seen, anchors, "a").select("a", "s", "doc", "p"), "segments")
     contents = met.groupBy("a", "s").agg(F.min("doc").alias("low"))
     several = contents.groupBy("a").agg((F.count("*") > 1).alias("several"))
-    marked = settle(splittable(met, contents.join(several, "a"), "a", "s").where("several or doc > low"), "marked")
+    marked = settle(splittable(met, splittable(contents, several, "a"), "a", "s").where("several or doc > low"), "marked")
     discard(met)
     rows = marked.where("doc > low").select("doc", "p").unionByName(shared(marked.where("doc = low").select("a", "doc", "p"), docs, unit, compare, bucket, hot))
     return rows.groupBy(F.col("doc").alias("doc_id"), tag_of("p")).agg(F.collect_list("p").alias("places"))

@@ -255,3 +255,19 @@ def plain(rows: list[tuple[int, str | None]], length: int = LENGTH) -> list[tupl
     return out
 
 
+# Windows are told apart by a digest of their hexadecimal form, cut from blocks of 500 bytes, so that no text is walked once for each window.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, 500 * k AS base, substr(h, 1000 * k + 1, 1198) AS s FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 + 499) // 500)) AS k FROM d)),
+w AS (SELECT doc_id, base + j AS i, md5(substr(s, 2 * j + 1, 200)) AS m FROM (SELECT doc_id, base, s, unnest(range(0, least(500, len(s) // 2 - 99))) AS j FROM b)),
+f AS (SELECT m, min_by((doc_id, i), (doc_id, i)) AS least FROM w GROUP BY m),
+r AS (SELECT doc_id, i FROM w JOIN f USING (m) WHERE (doc_id, i) <> least),
+e AS (SELECT doc_id, i, lag(i) OVER o AS before, lead(i) OVER o AS after FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+x AS (SELECT doc_id, i AS a, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e WHERE before IS NULL OR i > before + 100),
+y AS (SELECT doc_id, i + 100 AS b, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e WHERE after IS NULL OR after > i + 100),
+p AS (SELECT doc_id, k, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS left_from FROM x JOIN y USING (doc_id, k)),
+g AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, list((left_from, a) ORDER BY k) AS cuts FROM p GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(array_to_string(list_transform(cuts, lambda c: substr(h, 2 * c[1] + 1, 2 * (c[2] - c[1]))), ''), '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
