@@ -1,13 +1,13 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-The benchmark is the stated query set: it is cut into blocks of bounded size, and each block is broadcast. Every
-chunk of documents (a shard) sorts its suffixes of words into a suffix array; every suffix of the block's items is
-then looked up in it by binary search, one word deeper at a time, until its range of matches is empty. The depth
-reached is its longest verbatim match; the range at the window's depth gives the places to mark. Nothing but
-digests of documents leaves a task, so there is no shuffle unless the benchmark needs several blocks.
-
-A suffix can only match if it starts with the first few words of some benchmark suffix, so only such suffixes are
-sorted. That changes no result.
+Every chunk of documents (a shard) sorts the suffixes of all its words into a suffix array. Every suffix of the
+benchmark's items is then looked up in it by binary search, one word deeper at a time, until its range of matches is
+empty: the depth reached is its longest verbatim match, and the range at the window's depth gives the places to mark.
+Words are compared by 64-bit hashes, and places that are marked then word by word.
+
+The benchmark is the stated query set. It goes to the executors as broadcast blocks, up to a bound (PASS) for one pass over
+the documents, which all its blocks share; only what is beyond needs another pass, and rows of several passes are united
+by a key of their own. Nothing but what is found leaves a task, so one pass has no shuffle.
 """
 
 from __future__ import annotations
@@ -17,85 +17,128 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.arrays import CHUNK, LOWER, PLAIN, Words, chunks, grams, ranges
+from gleaner.llm.arrays import LOWER, PLAIN, Words, chunks, ranges
 from gleaner.runtime import prepare, settle, table
 
-#: Words of a window, and of the prefix by which suffixes that may match are chosen.
-WINDOW, PREFIX = 10, 4
-#: Bytes of benchmark text in a block; what is broadcast is about eight times that.
-BLOCK = 8 << 20
-
-
-def words_of(text: str | None) -> list[bytes]:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    w = Words(data, np.array([0, len(data)]), PLAIN, True)
-    low = LOWER[data].tobytes()
-    return [low[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-
-
-class Block:
-    """Suffixes of some benchmark items, sorted by the hash of their first words."""
-
-    def __init__(self, items: list[tuple[str | None, str]], window: int):
-        texts = pa.array([t for _, t in items], pa.large_string())
-        hashes, item, room, need = [], [], [], []
-        at = 0
-        for lo, hi, data, offsets in chunks(texts, 1 << 40):
-            w = Words(data, offsets, PLAIN, True)
-            hashes.append(w.hash)
-            item.append(np.repeat(np.arange(lo, hi), w.count))
-            room.append(w.room())
-            need.append(np.repeat(np.minimum(w.count, window), w.count))
-            at += len(w.hash)
+#: Words of a window.
+WINDOW = 10
+#: Bytes of benchmark text in a block (at least one item; about eight times that when it is searched), and of all blocks
+#: that are broadcast for one pass over the documents.
+BLOCK, PASS = 8 << 20, 256 << 20
+#: Bytes of documents in a shard, and in those that a task holds while it goes through several blocks.
+SHARD, HELD = 2 << 20, 8 << 20
+Item = tuple[str | None, str]
+
+
+class Suffixes:
+    """Suffixes of the words of some texts: where they start, how long they are, and what they belong to."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        w = Words(data, offsets, PLAIN, True)
+        self.hash, self.start, self.end, self.first, self.count = w.hash, w.start, w.end, w.first, w.count
+        self.room, self.of = w.room(), np.repeat(np.arange(len(w.count)), w.count)
+        self.data = LOWER[data]
+
+
+class Block(Suffixes):
+    """All suffixes of some benchmark items."""
+
+    def __init__(self, items: list[Item], window: int):
         self.ids = [i for i, _ in items]
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.item, self.room, self.need = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (item, room, need))
-        self.by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        wanted = self.room >= self.need  # suffixes that hold a whole window
-        for k in np.unique(np.minimum(self.need, PREFIX)).tolist():
-            own = np.flatnonzero(wanted & (np.minimum(self.need, PREFIX) == k))
-            key = grams(self.hash, k)[own]
-            order = np.argsort(key, kind="stable")
-            self.by[k] = key[order], own[order]
-
-
-def suffix_array(words: np.ndarray, at: np.ndarray, room: np.ndarray, deepest: int) -> np.ndarray:
-    """The suffixes that start at `at`, sorted by their words up to `deepest` (shorter ones first)."""
-    order = np.argsort(words[at], kind="stable")
-    key = words[at[order]]
-    group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1]))) if len(at) else np.zeros(0, np.int64)
-    for depth in range(1, deepest):
-        tied = np.zeros(len(order), bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
+        for _, _, data, offsets in chunks(pa.array([t for _, t in items], pa.large_string()), 1 << 60):
+            super().__init__(data, offsets)
+        self.need = np.minimum(self.count, window)[self.of]
+
+
+class Shard(Suffixes):
+    """A chunk of documents, its suffix array, and what has been found in it so far."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        super().__init__(data, offsets)
+        self.array = suffix_array(self.hash, self.room)
+        self.hit = np.zeros(len(self.hash), bool)
+        self.longest = np.zeros(len(self.count), np.int64)
+        self.items: list[set[str]] = [set() for _ in self.count]
+
+    def look_up(self, block: Block) -> None:
+        found = search(self, block)
+        # the range of a deeper match lies within those of its prefixes: painted by depth, the deepest one stays
+        depth, lo, hi = np.unique(np.stack([found[k] for k in ("longest", "last_lo", "last_hi")]), axis=1)
+        deep = np.zeros(len(self.array), np.int64)
+        deep[ranges(lo, hi - lo)] = np.repeat(depth, hi - lo)
+        np.maximum.at(self.longest, self.of[self.array], deep)
+        use = np.flatnonzero(found["hi"] > found["lo"])
+        # equal windows have one range: its places are looked at once, whatever number of items hold the window
+        spots, which = np.unique(np.stack((found["lo"][use], found["hi"][use], block.need[use])), axis=1, return_inverse=True)
+        which = which.ravel()
+        order = np.argsort(which, kind="stable")
+        bound = np.searchsorted(which[order], np.arange(spots.shape[1] + 1))
+        for k, (lo, hi, n) in enumerate(spots.T.tolist()):
+            tests = use[order[bound[k] : bound[k + 1]]]
+            names = {block.ids[i] for i in np.unique(block.of[tests]).tolist()} - {None}
+            at = self.array[lo:hi]
+            for j in range(n):  # word by word
+                word = block.data[block.start[tests[0] + j] : block.end[tests[0] + j]]
+                at = at[self.end[at + j] - self.start[at + j] == len(word)]
+                at = at[(self.data[self.start[at + j][:, None] + np.arange(len(word))] == word).all(axis=1)]
+            for j in range(n):
+                self.hit[at + j] = True
+            for d in np.unique(self.of[at]).tolist():
+                self.items[d] |= names
+
+    def rows(self) -> list[pa.Array]:
+        """n_words, n_hit, items, spans, longest of each document."""
+        edge = np.diff(np.concatenate(([0], self.hit.view(np.int8), [0])))
+        begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        spans: list[list[int]] = [[] for _ in self.count]
+        for x, y in zip(begin.tolist(), stop.tolist(), strict=True):  # a run may go on into the next document
+            while x < y:
+                d = int(self.of[x])
+                z = min(y, int(self.first[d + 1]))
+                spans[d] += [x - int(self.first[d]), z - int(self.first[d])]
+                x = z
+        hits = np.bincount(self.of[self.hit], minlength=len(self.count))
+        return [pa.array(self.count, pa.int64()), pa.array(hits, pa.int64()), pa.array([sorted(x) for x in self.items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64())), pa.array(self.longest)]
+
+
+def suffix_array(words: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """All suffixes, sorted by their words (shorter ones first). Prefix doubling on those that are still tied."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64)
+    order = np.argsort(words, kind="stable")
+    new = np.concatenate(([True], words[order[1:]] != words[order[:-1]]))
+    rank = np.zeros(n + 1, np.int64)  # of each suffix by its first `depth` words; the one after the last is empty
+    rank[order] = np.cumsum(new)
+    depth = 1
+    while True:
+        tied = np.zeros(n, bool)
+        tied[1:] |= ~new[1:]
+        tied[:-1] |= ~new[1:]
         live = np.flatnonzero(tied)
-        if not len(live):
-            break
+        live = live[room[order[live]] > 0]
         own = order[live]
-        over = room[own] <= depth
-        key = words[np.where(over, 0, at[own] + depth)]
-        key[over] = 0
-        sort = np.lexsort((key, ~over, group[live]))
+        next_ = np.where(room[own] > depth, rank[np.minimum(own + depth, n)], 0)
+        if not len(live) or not (room[own] > depth).any():
+            return order
+        sort = np.lexsort((next_, rank[own]))
         order[live] = own[sort]
-        key, over = key[sort], over[sort]
-        split = np.zeros(len(order), bool)
-        split[live[1:]] = (key[1:] != key[:-1]) | (over[1:] != over[:-1])
-        # those that have ended at the same words stay tied; nothing longer can tell them apart
-        split[live[over]] = True
-        split[1:] |= group[1:] != group[:-1]
-        split[0] = False
-        group = np.cumsum(split)
-    return order
-
-
-def bound(words, at, room, array, lo, hi, depth, target, right: bool):
+        split = np.concatenate(([True], (rank[own[sort]][1:] != rank[own[sort]][:-1]) | (next_[sort][1:] != next_[sort][:-1])))
+        new[live] = split
+        # ranks are places of group heads, so that those of other groups stay as they are
+        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        rank[order] = head + 1
+        depth *= 2
+
+
+def bound(shard: Shard, lo: np.ndarray, hi: np.ndarray, depth: int, target: np.ndarray, right: bool) -> np.ndarray:
     """In [lo, hi) of the suffix array, whose suffixes agree up to depth: the first one whose word there isn't below
     (right: is above) the target."""
-    lo, hi = lo.copy(), hi.copy()
+    lo, hi, words, room, array = lo.copy(), hi.copy(), shard.hash, shard.room, shard.array
     while True:
         live = np.flatnonzero(lo < hi)
         if not len(live):
@@ -103,159 +146,127 @@ def bound(words, at, room, array, lo, hi, depth, target, right: bool):
         mid = (lo[live] + hi[live]) // 2
         s = array[mid]
         ended = room[s] <= depth
-        w = words[np.where(ended, 0, at[s] + depth)]
+        w = words[np.where(ended, 0, s + depth)]
         t = target[live]
         below = ended | ((w <= t) if right else (w < t))
         lo[live] = np.where(below, mid + 1, lo[live])
         hi[live] = np.where(below, hi[live], mid)
 
 
-def search(shard: Words, block: Block) -> dict[str, np.ndarray]:
-    """For every benchmark suffix with a whole window in the shard: its longest match, and the range of the suffix
-    array (`at[array[lo:hi]]` are words of the shard) that agrees for the whole window."""
-    words, room = shard.hash, shard.room()
-    chosen, tests = np.zeros(len(words), bool), []
-    for k, (keys, own) in block.by.items():
-        if len(words) < k:
-            continue
-        g = grams(words, k)
-        pos = np.searchsorted(keys, g)
-        hit = np.flatnonzero((keys[np.minimum(pos, len(keys) - 1)] == g) & (room[: len(g)] >= k)) if len(keys) else []
-        if len(hit):
-            chosen[hit] = True
-            found = np.unique(g[hit])
-            lo = np.searchsorted(keys, found)
-            tests.append(own[ranges(lo, np.searchsorted(keys, found, "right") - lo)])
-    test = np.unique(np.concatenate(tests)) if tests else np.zeros(0, np.int64)
-    at = np.flatnonzero(chosen)
-    at_room = room[at]
-    array = suffix_array(words, at, at_room, int(block.room[test].max()) if len(test) else 0)
-    lo, hi = np.zeros(len(test), np.int64), np.full(len(test), len(at))
-    full_lo, full_hi, longest = lo.copy(), lo.copy(), lo.copy()
-    live, depth = np.arange(len(test)), 0
+def search(shard: Shard, block: Block) -> dict[str, np.ndarray]:
+    """For every benchmark suffix: its longest match and the range of the suffix array that has it, and the range that
+    agrees for a whole window (empty if none does)."""
+    many = len(block.hash)
+    lo, hi, live, depth = np.zeros(many, np.int64), np.full(many, len(shard.array)), np.arange(many), 0
+    out = {k: np.zeros(many, np.int64) for k in ("longest", "last_lo", "last_hi", "lo", "hi")}
     while len(live):
-        target = block.hash[test[live] + depth]
-        lo, hi = bound(words, at, at_room, array, lo, hi, depth, target, False), bound(words, at, at_room, array, lo, hi, depth, target, True)
+        target = block.hash[live + depth]
+        lo, hi = bound(shard, lo, hi, depth, target, False), bound(shard, lo, hi, depth, target, True)
         depth += 1
         some = lo < hi
         lo, hi, live = lo[some], hi[some], live[some]
-        longest[live] = depth
-        done = block.need[test[live]] == depth
-        full_lo[live[done]], full_hi[live[done]] = lo[done], hi[done]
-        more = block.room[test[live]] > depth
+        out["longest"][live], out["last_lo"][live], out["last_hi"][live] = depth, lo, hi
+        done = block.need[live] == depth
+        out["lo"][live[done]], out["hi"][live[done]] = lo[done], hi[done]
+        more = block.room[live] > depth
         lo, hi, live = lo[more], hi[more], live[more]
-    return {"test": test, "longest": longest, "lo": full_lo, "hi": full_hi, "at": at, "array": array}
+    return out
+
+
+_open: dict = {}
+
 
+def opened(block: Broadcast, window: int) -> Block:
+    """A worker keeps one block open."""
+    if _open.get("of") != (block, window):
+        _open.update(of=(block, window), block=Block(block.value, window))
+    return _open["block"]
 
-def scan(block: Block, window: int):
-    """A mapInArrow function from (doc_id, text) to one row for each document."""
+
+def shards(batches: Iterator[pa.RecordBatch], text: int, blocks: list[Broadcast], window: int) -> Iterator[tuple[pa.RecordBatch, Shard]]:
+    """Rows with their shards, looked up in all blocks; some shards are held so that a block is opened once for them."""
+    held: list[tuple[pa.RecordBatch, Shard]] = []
+    size = 0
+
+    def ready() -> Iterator[tuple[pa.RecordBatch, Shard]]:
+        for b in blocks:
+            block = opened(b, window)
+            for _, shard in held:
+                shard.look_up(block)
+        yield from held
+
+    for batch in batches:
+        for lo, hi, data, offsets in chunks(batch.column(text), SHARD):
+            held.append((batch.slice(lo, hi - lo), Shard(data, offsets)))
+            size += len(data)
+            if len(blocks) < 2 or size >= HELD:
+                yield from ready()
+                held, size = [], 0
+    yield from ready()
+
+
+FOUND = ["n_words", "n_hit", "items", "spans", "longest"]
+
+
+def scan(blocks: list[Broadcast], window: int):
+    """A mapInArrow function from (key, doc_id, text) to (key, doc_id) and FOUND."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                shard = Words(data, offsets, PLAIN, True)
-                n = hi - lo
-                hits, longest = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                spans: list[list[int]] = [[] for _ in range(n)]
-                items: list[list[str]] = [[] for _ in range(n)]
-                r = search(shard, block)
-                use = np.flatnonzero(r["hi"] > r["lo"])
-                if len(use):
-                    doc_of = np.repeat(np.arange(n), shard.count)
-                    test, a, b = r["test"][use], r["lo"][use], r["hi"][use]
-                    need = block.need[test]
-                    # equal windows have one range: mark its places once, whatever number of items hold the window
-                    _, one, which = np.unique(np.stack((a, need)), axis=1, return_index=True, return_inverse=True)
-                    which = which.ravel()
-                    place = r["at"][r["array"][ranges(a[one], (b - a)[one])]]
-                    span = np.repeat(need[one], (b - a)[one])
-                    cover = np.zeros(len(shard.hash) + 1, np.int64)
-                    np.add.at(cover, place, 1)
-                    np.add.at(cover, place + span, -1)
-                    marked = np.cumsum(cover[:-1]) > 0
-                    hits = np.bincount(doc_of[marked], minlength=n)
-                    edge = np.diff(np.concatenate(([0], marked.view(np.int8), [0])))
-                    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                    for x, y in zip(begin.tolist(), stop.tolist(), strict=True):  # a run may go on into the next document
-                        while x < y:
-                            d = int(doc_of[x])
-                            z = min(y, int(shard.first[d + 1]))
-                            spans[d] += [x - int(shard.first[d]), z - int(shard.first[d])]
-                            x = z
-                    # documents of each distinct window, then items of each distinct window
-                    group = np.repeat(np.arange(len(one)), (b - a)[one])
-                    pairs = np.unique(np.stack((group, doc_of[place])), axis=1)
-                    far = r["longest"][use]
-                    best = np.zeros(len(one), np.int64)
-                    np.maximum.at(best, which, far)
-                    np.maximum.at(longest, pairs[1], best[pairs[0]])
-                    held = np.unique(np.stack((which, block.item[test])), axis=1)
-                    cut = np.searchsorted(held[0], np.arange(len(one) + 1))
-                    for d, g in sorted(zip(pairs[1].tolist(), pairs[0].tolist(), strict=True)):
-                        items[d] += [block.ids[i] for i in held[1][cut[g] : cut[g + 1]]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, n), pa.array(shard.count, pa.int64()), pa.array(hits, pa.int64()),
-                        pa.array([sorted({i for i in x if i is not None}) for x in items], pa.list_(pa.string())),
-                        pa.array(spans, pa.list_(pa.int64())), pa.array(longest, pa.int64()),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans", "longest"],
-                )
+        for rows, shard in shards(batches, 2, blocks, window):
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *shard.rows()], names=["key", "doc_id", *FOUND])
 
     return run
 
 
-def blocks(benchmark: DataFrame, window: int, size: int) -> Iterator[list[tuple[str | None, str]]]:
-    """Items in blocks of bounded size; an item longer than a block goes in pieces that overlap by a window less one word."""
-    held, total = [], 0
+def passes(benchmark: DataFrame, window: int, block_bytes: int, pass_bytes: int) -> list[list[Broadcast]]:
+    """The benchmark's items in broadcast blocks of bounded size, and those in passes of bounded size. Items are never cut."""
+    sc, out, held, size, total = benchmark.sparkSession.sparkContext, [[]], [], 0, 0
+
+    def close() -> None:
+        nonlocal held, size, total
+        if out[-1] and total + size > pass_bytes:
+            out.append([])
+            total = 0
+        out[-1].append(sc.broadcast(held))
+        held, size, total = [], 0, total + size
+
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text")).where(F.col("text").isNotNull())
     for i, text in rows.toLocalIterator():
-        pieces = [text]
-        if len(text) > size:
-            w = [x.decode() for x in words_of(text)]
-            step = max(window, size // 16)
-            pieces = [" ".join(w[k : k + step + window - 1]) for k in range(0, max(1, len(w) - window + 1), step)]
-        for p in pieces:
-            if held and total + len(p) > size:
-                yield held
-                held, total = [], 0
-            held.append((i, p))
-            total += len(p)
+        if held and size + len(text) > block_bytes:
+            close()
+        held.append((i, text))
+        size += len(text)
     if held:
-        yield held
+        close()
+    return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK, pass_bytes: int = PASS) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, items (sorted ids of the items with a window in it), spans
-    (from, to word indexes of the hit runs, flat), longest (the longest verbatim match, in words, of an item whose
-    window occurs).
+    (from, to word indexes of the hit runs, flat), longest (the longest verbatim match with any item, in words).
 
     Null texts have no words and no hits; benchmark rows with null text are passed over, those with a null id mark
-    words but aren't listed. Repeated documents and items each count by themselves (doc_id need not be unique with one
-    block; with several blocks rows of equal doc_id, n_words are merged). Empty tables give no rows or no hits. Extra
-    columns of either table aren't read.
+    words but aren't listed. Rows of null or equal doc_id and repeated items each count by themselves, whatever number of
+    blocks or passes the benchmark takes. Empty tables give no rows or no hits. Extra columns of either table aren't read.
     """
     prepare(docs.sparkSession)
-    schema = "doc_id {}, n_words long, n_hit long, items array<string>, spans array<long>, longest long".format(docs.schema["doc_id"].dataType.simpleString())
-    slim = docs.select("doc_id", "text")
-    parts = []
-    for held in blocks(benchmark, window, block_bytes):
-        part = slim.mapInArrow(scan(Block(held, window), window), schema)
-        parts.append(part if not parts else settle(part, "decontam"))
-    if not parts:
-        return slim.mapInArrow(scan(Block([], window), window), schema)
-    if len(parts) == 1:
-        return parts[0]
-    parts[0] = settle(parts[0], "decontam")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    lists = every.groupBy("doc_id", "n_words").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"), F.max("longest").alias("longest"))
-    return lists.mapInArrow(united, schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"key long, doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<long>, longest long"
+    groups = passes(benchmark, window, block_bytes, pass_bytes)
+    if len(groups) == 1:
+        slim = docs.select(F.lit(0).cast("long").alias("key"), "doc_id", "text")
+        return slim.mapInArrow(scan(groups[0], window), schema).drop("key")
+    slim = settle(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
+    every = None
+    for blocks in groups:
+        part = settle(slim.mapInArrow(scan(blocks, window), schema), "decontam")
+        every = part if every is None else every.unionByName(part)
+    lists = every.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"), F.max("longest").alias("longest"))
+    return lists.drop("key").mapInArrow(united, schema.removeprefix("key long, "))
 
 
 def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of what several blocks found in a document: ids and hit runs united."""
+    """One row of what several passes found in a document: ids and hit runs united."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
@@ -268,31 +279,28 @@ def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((r["n_words"], sum(b - a for a, b in runs), sorted({i for x in r["items"] for i in x}), [x for p in runs for x in p], r["longest"]))
         columns = list(zip(*out, strict=True)) or [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "items", "spans", "longest"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *FOUND])
+
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK, pass_bytes: int = PASS) -> DataFrame:
+    """Documents without those that hold a window of some item; all columns stay.
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents without the affected ones. Rows with a null doc_id are judged by their text alone, like any other."""
+    Rows are judged by their text alone, whatever their doc_id and however often they occur. Null and empty texts hold
+    no window and stay. An empty table gives no rows; with an empty benchmark all stay.
+    """
     prepare(docs.sparkSession)
-    out = docs
-    for held in blocks(benchmark, window, BLOCK):
-        out = out.mapInArrow(clean(Block(held, window), window, docs.columns.index("text")), docs.schema)
+    out, at = docs, docs.columns.index("text")
+    for blocks in passes(benchmark, window, block_bytes, pass_bytes):
+        out = out.mapInArrow(clean(blocks, window, at), docs.schema)
     return out
 
 
-def clean(block: Block, window: int, text: int):
-    """A mapInArrow function that passes on the rows whose text holds no window of the block."""
+def clean(blocks: list[Broadcast], window: int, text: int):
+    """A mapInArrow function that passes on the rows whose text holds no window of the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for lo, hi, data, offsets in chunks(batch.column(text)):
-                shard = Words(data, offsets, PLAIN, True)
-                r = search(shard, block)
-                use = np.flatnonzero(r["hi"] > r["lo"])
-                place = r["at"][r["array"][ranges(r["lo"][use], (r["hi"] - r["lo"])[use])]]
-                keep[lo + np.repeat(np.arange(hi - lo), shard.count)[place]] = False
-            yield batch.filter(pa.array(keep))
+        for rows, shard in shards(batches, text, blocks, window):
+            yield rows.filter(pa.array(np.bincount(shard.of[shard.hit], minlength=rows.num_rows) == 0))
 
     return run
 
