@@ -11,21 +11,25 @@ from gleaner.runtime import settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model doesn't reject. Null and empty texts have no words and stay; rows of null or equal doc_id
+    are judged each by its text; an empty table gives no rows."""
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group; of repeated rows of that id, all."""
-    gone = chosenpath.cluster(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies: the one of smallest id (rows without an id come last), and of rows that are
+    equal in id and set any one. Rows go, not ids: another text of the same id stays. Null and empty texts all stay."""
+    return chosenpath.distinct(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item. Null and empty texts hold none and stay; an empty benchmark takes
+    nothing; rows of null or equal doc_id are judged each by its text."""
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the text, where there is such a column."""
+    """Every row, secrets blotted out; n_chars follows the text, where there is such a column. Null texts stay null."""
     out = secrets.redact(docs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -33,6 +37,8 @@ def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document. A null or empty text is one piece, its end id; rows of null or equal
+    doc_id are documents of their own; an empty table gives no rows."""
     return packing.pack(docs)
 
 
