@@ -78,6 +78,11 @@ def running_tokens(hits: DataFrame) -> DataFrame:
     return first.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("known", known).drop("__id", "__part", "__before")
 
 
+def hits_by_channel(hits: DataFrame) -> DataFrame:
+    """Hits of each channel, most first."""
+    return hits.groupBy("extractor").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "extractor")
+
+
 def totals(observations: DataFrame, extraction_unreadable: DataFrame) -> DataFrame:
     """Artifacts scanned, and distinct bodies among those that could be read."""
     lost = extraction_unreadable.select("seq")

@@ -20,7 +20,7 @@ from gleaner.operators.registry import default_registry
 from gleaner.plans.frontier import TrapRules, crawl, trap_states
 from gleaner.runtime import settle, shared_dir, table
 from gleaner.sources import planted
-from gleaner.sources.store import Store, observe, split
+from gleaner.sources.store import Store, observe, read_index, recover_empty, split, write_index
 from gleaner.streaming.streams import event_windows, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,9 +155,35 @@ def anchor_links(spark, d):
     return discover.links(table(spark, d, "pages")).where("source = 'anchor'").select("page", "ord", "raw_url")
 
 
-@query()
+def planted_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(F.concat(F.lit("http://h.test/"), F.col("page_id").cast("string")).alias("url"), F.replace(F.lit(planted.PAGE.replace("{{", "{").replace("}}", "}")), F.lit("{0}"), F.col("page_id").cast("string")).alias("html"))
+
+
+@query("SELECT 'http://h.test/' || page_id AS page, source, replace(written, '{0}', CAST(page_id AS VARCHAR)) AS raw_url FROM pages, (VALUES " + ", ".join(f"('{s}', '{u}')" for s, u in planted.LINKED) + ") t(source, written)")
 def link_sources(spark, d):
-    return discover.links(table(spark, d, "pages")).groupBy("source").agg(F.count("*").alias("n"))
+    """Links of every kind, planted in each page."""
+    return discover.links(planted_pages(spark, d)).select("page", "source", "raw_url")
+
+
+@query("SELECT 'http://h.test/' || page_id AS page, '/send' || page_id AS action, 'post' AS method FROM pages")
+def posted_forms(spark, d):
+    return discover.posted_forms(planted_pages(spark, d)).select("page", "action", "method")
+
+
+@query("""SELECT page_id, ['/n' || page_id, 'http://o.test/p'] AS targets, 'm' || page_id || '.js.map' AS map FROM pages""")
+def header_targets(spark, d):
+    i = F.col("page_id").cast("string")
+    header = F.concat(F.lit("</n"), i, F.lit('>; rel="next", <http://o.test/p>; rel=prev'))
+    return table(spark, d, "pages").select("page_id", X.link_targets(header).alias("targets"), X.source_mapping_url(F.concat(F.lit("x();\n//# sourceMappingURL=m"), i, F.lit(".js.map \n"))).alias("map"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, text, regexp_extract(text, '[a-z]+(?:\.[0-9]+)?@[a-z0-9]+\.example\.com') AS tok FROM documents), p AS (SELECT doc_id, text, tok, instr(text, tok) AS k, length(text) AS n FROM t WHERE tok <> ''),
+c AS (SELECT *, greatest(1, k - 60) AS a, least(n, k + length(tok) - 1 + 60) AS b FROM p)
+SELECT doc_id, CASE WHEN a > 1 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, a, b - a + 1), '\s+', ' ', 'g')) || CASE WHEN b < n THEN '…' ELSE '' END AS context FROM c""")
+def excerpts(spark, d):
+    """What stands around the first mail address of each document."""
+    docs = table(spark, d, "documents").select("doc_id", "text", X.token_places("text", MAIL).alias("p")).where(F.size("p") > 0)
+    return docs.select("doc_id", X.excerpt("text", F.col("p")[0]["at"], F.length(F.col("p")[0]["token"])).alias("context"))
 
 
 @query("""WITH e AS (SELECT 'k' || user_id % 100 AS key, event_id, user_id, event_type FROM events),
@@ -283,6 +309,62 @@ def planted_hits(spark, d):
     return own.where("channel = extractor").select("doc_id", "channel", "token").distinct()
 
 
+@query(r"SELECT url, CAST(len(regexp_extract_all(html, '[a-z]+(?:\.[0-9]+)?@[a-z0-9]+\.example\.com')) * CASE WHEN octet_length(encode(html)) > length(html) THEN 2 ELSE 1 END AS BIGINT) AS n_hits FROM pages")
+def page_raw_hits(spark, d):
+    """Mail addresses that the first channel finds in each page: once as UTF-8, and as Latin-1 too where that is another text."""
+    observations, bodies = split(captured(spark, d).where("content_type like 'Text%'"))
+    found = extract(observations, bodies, grammar=MAIL)
+    own = found.results.where("extractor = 'raw-text'").select("seq", "n_hits")
+    return observations.join(own, "seq").select("url", "n_hits")
+
+
+@query(f"WITH {ARTIFACTS} SELECT (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS lost, (SELECT count(*) FROM documents) AS artifacts, (SELECT count(DISTINCT body) FROM a WHERE mime = 'text/plain' AND CAST(split_part(url, '/', 5) AS BIGINT) % 3 <> 0) AS bodies")
+def missing_bodies(spark, d):
+    """A third of the documents has lost its body: they can't be read, and don't count among the bodies."""
+    observations, bodies = split(captured(spark, d).where("url like 'http://corpus%'").withColumn("body", F.when(F.col("seq") % 3 == (1 << 40) % 3, F.concat(F.col("body"), F.lit(b"gone"))).otherwise(F.col("body"))))
+    there = observations.where(F.col("seq") % 3 != (1 << 40) % 3).select("sha256").distinct()
+    found = extract(observations, bodies.join(there, "sha256", "left_semi"))
+    return R.totals(observations, found.unreadable).crossJoin(found.unreadable.agg(F.count("*").alias("lost")))  # one row each
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN sha256(html) ELSE sha256('') END AS sha256, CASE WHEN page_id % 2 = 0 THEN octet_length(encode(html)) ELSE 0 END AS byte_length FROM pages")
+def recovered_bodies(spark, d):
+    """Pages captured without their bodies; those of even number were captured again later."""
+    p = table(spark, d, "pages").select(F.concat(F.lit("http://h.test/"), F.col("page_id").cast("string")).alias("url"), F.encode("html", "UTF-8").alias("body"), F.lit("text/html").alias("content_type"), F.col("page_id").alias("seq"))
+    caps = p.withColumn("body", F.lit(b"")).unionByName(p.where("seq % 2 = 0").withColumn("seq", F.col("seq") + (1 << 40)))
+    return recover_empty(split(caps)[0]).where(F.col("seq") < 1 << 40).select(F.col("seq").alias("page_id"), "sha256", "byte_length")
+
+
+@query("SELECT o_orderkey, o_orderkey % 5 IN (0, 1, 4) AS renderable, o_orderkey % 3 <> 0 AS navigable FROM orders")
+def page_predicates(spark, d):
+    mime = F.element_at(F.array(*map(F.lit, ("text/html", "Image/SVG+xml", "application/json", "text/plain", "application/xhtml+xml"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    url = F.element_at(F.array(*map(F.lit, ("http://h.test/a/b.WOFF2?x=1", "http://h.test/file.pdf.html", "http://h.test/zip?f=a.zip"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", X.is_renderable(mime).alias("renderable"), X.is_navigable(url).alias("navigable"))
+
+
+@query("SELECT 'http://h.test/' || o_orderkey AS url FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 4 <> 1")
+def captured_urls(spark, d):
+    """Of responses and other captures with all kinds of status, what a resumed crawl needn't fetch again."""
+    caps = table(spark, d, "orders").select(
+        F.concat(F.lit("http://h.test/"), F.col("o_orderkey").cast("string")).alias("url"), F.lit(b"x").alias("body"), F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderkey") % 7 == 0, 404).otherwise(200 + F.col("o_orderkey") % 7 * 30).cast("int").alias("status"), F.when(F.col("o_orderkey") % 4 == 1, "storage").otherwise("response").alias("kind"),
+    )
+    store = Store(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    store.put(caps)
+    return store.captured_urls()
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256, octet_length(encode(coalesce(text, ''))) AS byte_length, coalesce(text, '') AS body FROM documents")
+def store_round_trip(spark, d):
+    """Documents put into a store, read back through its index in JSON lines, with their bodies."""
+    at = f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    store = Store(spark, at)
+    store.put(captured(spark, d).where("url like 'http://corpus%'"))
+    write_index(store.observations, f"{at}/index")
+    back = read_index(spark, f"{at}/index").join(store.bodies, "sha256")
+    return back.select(F.element_at(F.split("url", "/"), -1).cast("long").alias("doc_id"), "sha256", "byte_length", F.col("body").cast("string").alias("body"))
+
+
 @query()
 def page_coverage(spark, d):
     """Coverage of pages by all channels, for mail addresses."""
@@ -333,6 +415,11 @@ def running_unique(spark, d):
     return R.running_tokens(line_hits(spark, d)).select("token", "seq", F.col("known").cast("long").alias("known"))
 
 
+@query(f"WITH {H} SELECT extractor, count(*) AS hits FROM h GROUP BY extractor")
+def hits_by_channel(spark, d):
+    return R.hits_by_channel(line_hits(spark, d))
+
+
 RESULTS = "r AS (SELECT seq, mime_type, extractor, extractor_ord, hit_ord % 4 <> 0 AS applied, CASE WHEN extractor IN ('ocr', 'font') THEN 0 ELSE hit_ord % 3 END AS n_hits, hit_ord = 5 AS failed FROM h)"
 
 
@@ -399,13 +486,21 @@ def frontier_stats(spark, d):
     return crawl(site(spark, d), [SITE + "k0/"], host="site.test", rules=None).stats
 
 
-@query()
+@query(FRONTIER + f" SELECT '{SITE}k' || i || '/' AS url, i < 7 AS taken FROM f WHERE i < 15")
+def page_budget(spark, d):
+    """A crawl that may take seven URLs: what it took, and what is pending then."""
+    c = crawl(site(spark, d), [SITE + "k0/"], host="site.test", rules=None, max_pages=7)
+    return c.frontier.select("url", F.lit(True).alias("taken")).unionByName(c.pending.select("url", F.lit(False).alias("taken")))
+
+
+@query("""WITH RECURSIVE r(i) AS (SELECT CAST(0 AS BIGINT) UNION ALL SELECT i + 1 FROM r WHERE i + 1 < least(5, (SELECT count(*) FROM pages)))
+SELECT '/r/?page={n}' AS template, count(*) AS enqueued, count(*) AS fetched, CAST(1 AS BIGINT) AS distinct_shapes, CAST(0 AS BIGINT) AS outbound_novelty, count(*) >= 5 AS saturated, 'http://site.test/r/?page=0' AS example FROM r""")
 def trapped_crawl(spark, d):
     """Pages numbered without end, of one shape: the guard closes their template."""
     p = table(spark, d, "pages").select("page_id")
     html = F.concat(F.lit('<html><body><p>a</p><a href="/r/?page='), (F.col("page_id") + 1).cast("string"), F.lit('">next</a></body></html>'))
     pages = p.select(F.concat(F.lit("http://site.test/r/?page="), F.col("page_id").cast("string")).alias("url"), html.alias("html"))
-    return crawl(pages, ["http://site.test/r/?page=0"], host="site.test", rules=TrapRules(sample=5), depth=12).templates
+    return crawl(pages, ["http://site.test/r/?page=0"], host="site.test", rules=TrapRules(sample=5)).templates.drop("reason")
 
 
 @query("""WITH v AS (SELECT event_type || user_id % 7 AS template, event_id AS seq, CAST(user_id % 3 AS VARCHAR) AS shape, CASE WHEN user_id % 7 = 3 AND event_id % 50 = 0 THEN 1 ELSE 0 END AS novelty FROM events),

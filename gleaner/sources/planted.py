@@ -26,6 +26,25 @@ def token(key: object, channel: str, prefix: str = "TOKEN") -> str:
     return f"{prefix}{{{hashlib.md5(f'{key}:{channel}'.encode()).hexdigest()[:16]}}}"
 
 
+#: A page with a link of every kind; {0} is the page's number. The links, as (source, URL as written), stand in LINKED.
+PAGE = (
+    '<html><head><base href="/base{0}/"><link rel="next" href="l{0}"><meta http-equiv="refresh" content="3; url=/refresh{0}">'
+    '<style>@import "imported{0}.css"; p{{background:url(style{0}.png)}}</style><script src="s{0}.js"></script><script>go("/literal{0}")</script></head><body>'
+    '<a href="a{0}">1</a><map><area href="area{0}"></map><img src="i{0}.png" srcset="i{0}.png 1x, big{0}.png 2x" data-src="late{0}"><iframe src="if{0}"></iframe>'
+    '<frameset><frame src="fr{0}"></frameset><embed src="e{0}"><object data="o{0}"></object><audio src="au{0}"></audio>'
+    '<video src="v{0}" poster="po{0}"><source src="so{0}"><track src="t{0}"></video><form action="/find{0}?old=1"><input name="q" value="x y"><input type="checkbox" name="c" checked>'
+    '<input type="submit" name="no" value="no" formaction="fi{0}"><button formaction="fb{0}">b</button></form><form method="post" action="/send{0}"><input name="z"></form>'
+    '<svg><use href="u{0}"/><image href="im{0}"/></svg><div data-goto="/data{0}" style="background:url(inline{0}.png)" onclick="open(\'/click{0}\')">d</div></body></html>'
+)
+LINKED = (
+    ("anchor", "a{0}"), ("area", "area{0}"), ("link-rel", "l{0}"), ("base", "/base{0}/"), ("img", "i{0}.png"), ("data-attribute", "late{0}"), ("script-src", "s{0}.js"),
+    ("iframe", "if{0}"), ("frame", "fr{0}"), ("embed", "e{0}"), ("object", "o{0}"), ("source", "so{0}"), ("track", "t{0}"), ("source", "au{0}"), ("source", "v{0}"),
+    ("poster", "po{0}"), ("form-action", "/find{0}?old=1"), ("form-action", "/send{0}"), ("formaction", "fi{0}"), ("formaction", "fb{0}"), ("svg-href", "u{0}"), ("svg-href", "im{0}"),
+    ("srcset", "i{0}.png"), ("srcset", "big{0}.png"), ("data-attribute", "/data{0}"), ("meta-refresh", "/refresh{0}"), ("css-import", "imported{0}.css"), ("stylesheet-url", "style{0}.png"),
+    ("inline-style-url", "inline{0}.png"), ("clickable-element", "/click{0}"), ("js-string-literal", "/literal{0}"), ("form-get", "/find{0}?q=x+y&c=on"),
+)
+
+
 def png(texts: dict[str, bytes], after: bytes = b"", width: int = 1, height: int = 1) -> bytes:
     """An image of one colour with text chunks by kind (their data, keyword included)."""
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
