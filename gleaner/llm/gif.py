@@ -1,5 +1,7 @@
 """Media columns: GIF. Decodes LZW code streams, applies palettes, disposal and transparency, gives timed frames with
-colour histograms; and stores any bytes losslessly as 8-bit samples of a GIF."""
+colour histograms; and stores any bytes losslessly as 8-bit samples of a GIF.
+
+The query writes the media column, reads it back, and has its digests and features from the frames that are decoded then."""
 
 from __future__ import annotations
 
@@ -12,14 +14,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.runtime import prepare, table
+from gleaner.runtime import prepare, settle, table
 
 #: Samples in a row of a stored payload, and the rows of a frame at most.
 ROW, ROWS = 64, 65535
 TABLE = 4096
-LEVELS = 4  # of each colour in a histogram
+LEVELS, BITS = 4, 6  # of each colour in a histogram; bits of a colour below its level
 
 
 class Frame(NamedTuple):
@@ -38,20 +41,20 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     get = known.get
     if data:
         code, fresh, end = data[0], grow, grow + most
-        for byte in memoryview(data)[1:]:
+        for byte in data[1:]:
             key = code << 8 | byte
             longer = get(key)
             if longer is not None:
                 code = longer
-                continue
-            emit(code)
-            code = byte
-            known[key] = fresh
-            fresh += 1
-            if fresh == end:
-                emit(clear)
-                known.clear()
-                fresh = grow
+            else:
+                emit(code)
+                code = byte
+                known[key] = fresh
+                fresh += 1
+                if fresh == end:
+                    emit(clear)
+                    known.clear()
+                    fresh = grow
         emit(code)
     emit(clear + 1)
     every = np.array(codes, np.int64)
@@ -70,34 +73,49 @@ def widths(since: np.ndarray, bits: int) -> np.ndarray:
     return np.minimum(12, bits + 1 + sum((slots >= 1 << w).astype(np.int64) for w in range(bits + 1, 12)))
 
 
+_widths: dict[int, np.ndarray] = {}
+
+
+def first_widths(bits: int) -> np.ndarray:
+    """widths() of the first TABLE codes."""
+    if bits not in _widths:
+        _widths[bits] = widths(np.arange(TABLE), bits)
+    return _widths[bits]
+
+
 def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
-    """The first `size` samples of a code stream (fewer if it ends before)."""
+    """The first `size` samples of a code stream (fewer if it ends before). A code that no table has yet is a ValueError."""
     clear = 1 << bits
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.int64)
     total, at, since, out, got = 8 * len(stream), 0, 0, [], 0
     table: list[bytes] = [bytes([i]) for i in range(clear)] + [b"", b""]
-    last = b""
+    add, put, last = table.append, out.append, b""
     while at < total and got < size:
-        width = widths(since + np.arange(TABLE), bits)
+        most = min(TABLE, (total - at) // (bits + 1) + 1)
+        width = first_widths(bits)[:most] if not since else widths(since + np.arange(most), bits)
         begin = at + np.cumsum(width) - width
-        fits = begin + width <= total
-        begin, width = begin[fits], width[fits]
-        if not len(begin):
+        fits = int(np.searchsorted(begin + width, total, "right"))
+        if not fits:
             break
+        begin, width = begin[:fits], width[:fits]
         byte = begin >> 3
         codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (begin & 7)) & ((1 << width) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         n = int(stops[0]) if len(stops) else len(codes)
+        known, before = len(table), len(out)
         for code in codes[:n].tolist():
-            if not last:
-                last = table[code]
+            if code < known:
+                now = table[code]
+            elif code == known and last:
+                now = last + last[:1]
             else:
-                now = table[code] if code < len(table) else last + last[:1]
-                if len(table) < TABLE:
-                    table.append(last + now[:1])
-                last = now
-            out.append(last)
-            got += len(last)
+                raise ValueError("a code beyond the table")
+            if last and known < TABLE:
+                add(last + now[:1])
+                known += 1
+            put(now)
+            last = now
+        got += sum(map(len, out[before:]))
         if not len(stops):
             at, since = int(begin[-1] + width[-1]), since + n
             continue
@@ -138,7 +156,8 @@ def sub_blocks(raw: bytes, at: int) -> tuple[bytes, int]:
 
 
 def decode(raw: bytes) -> Iterator[Frame]:
-    """Frames of a GIF in order. Raises ValueError if it is none, or ends in the middle."""
+    """Frames of a GIF in order. Raises ValueError if it is none, ends in the middle (or one of its code streams does), or
+    uses a code before it is there."""
     try:
         yield from _decode(raw)
     except (IndexError, struct.error) as e:
@@ -174,9 +193,9 @@ def _decode(raw: bytes) -> Iterator[Frame]:
             raise ValueError("no palette")
         bits = raw[at]
         stream, at = sub_blocks(raw, at + 1)
-        samples = np.zeros(w * h, np.uint8)
-        got = np.frombuffer(lzw_decode(stream, bits, w * h), np.uint8)
-        samples[: len(got)] = got
+        samples = np.frombuffer(lzw_decode(stream, bits, w * h), np.uint8)
+        if len(samples) < w * h:
+            raise ValueError("a code stream that ends early")
         samples = samples.reshape(h, w)
         if flags & 0x40:  # interlaced: rows 0, 8, .. then 4, 12, .. then 2, 6, .. then 1, 3, ..
             rows = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -203,10 +222,9 @@ def _decode(raw: bytes) -> Iterator[Frame]:
 
 def histogram(pixels: np.ndarray) -> np.ndarray:
     """Counts of the visible pixels in LEVELS ** 3 cells of red, green and blue."""
-    flat = pixels.reshape(-1, 4)
-    step = 256 // LEVELS
-    cell = flat[:, 0] // step * LEVELS * LEVELS + flat[:, 1] // step * LEVELS + flat[:, 2] // step
-    return np.bincount(cell[flat[:, 3] > 0].astype(np.int64), minlength=LEVELS**3)
+    flat = pixels.reshape(-1, 4) >> BITS
+    cell = flat[:, 0] << 4 | flat[:, 1] << 2 | flat[:, 2]
+    return np.bincount(cell if flat[:, 3].all() else cell[pixels.reshape(-1, 4)[:, 3] > 0], minlength=LEVELS**3)
 
 
 def frames(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
@@ -255,32 +273,55 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+FRAME = pa.struct([("delay_ms", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))])
+DESCRIBED = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.list_(FRAME)), ("error", pa.string())]
+
+
+def described(raw: bytes | None) -> tuple:
+    """DESCRIBED of one medium."""
+    if raw is None:
+        return (None,) * len(DESCRIBED)
+    payload, found = [], []
+    try:
+        for f in decode(raw):
+            left, top, w, h = f.box
+            seen = f.pixels[top : top + h, left : left + w]
+            payload.append(np.ascontiguousarray(seen[..., 0]).tobytes())
+            found.append(dict(zip(FRAME.names, (f.delay_ms, *f.box, histogram(seen).tolist()), strict=True)))
+    except ValueError as e:
+        return None, None, None, len(raw), hashlib.sha256(raw).hexdigest(), found, str(e)
+    body = b"".join(payload)
+    return len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-ROW:]), len(raw), hashlib.sha256(raw).hexdigest(), found, None
+
+
 def describe(media: DataFrame) -> DataFrame:
-    """From store()'s rows: the payload read back through the palette, its digests, and features of the frames."""
+    """From store()'s rows: the payload as it is read back through the palette, its digests, and the timed frames with the
+    histograms (64 counts) of what each one shows.
+
+    A null medium has null in all of these; one that isn't a whole GIF has no payload, the frames before the fault, and
+    the error. An empty table gives no rows; rows of null or equal doc_id are described each."""
     prepare(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for raw in batch.column(2):
-                raw, payload, counts, delay, n = raw.as_py(), [], np.zeros(LEVELS**3, np.int64), 0, 0
-                for f in decode(raw):
-                    left, top, w, h = f.box
-                    seen = f.pixels[top : top + h, left : left + w]
-                    payload.append(np.ascontiguousarray(seen[..., 0]).tobytes())
-                    counts += histogram(seen)
-                    delay, n = delay + f.delay_ms, n + 1
-                body = b"".join(payload)
-                hist = ",".join(map(str, counts[:: LEVELS * LEVELS + LEVELS + 1].tolist()))  # the greys
-                rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-ROW:]), len(raw), hashlib.sha256(raw).hexdigest(), f"frames={n};ms={delay};rows={len(body) // ROW};grey={hist}"))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                columns = zip(*(described(raw.as_py()) for raw in some.column(2)), strict=True)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array(c, k) for c, (_, k) in zip(columns, DESCRIBED, strict=True))], names=["doc_id", "n_bytes", *(n for n, _ in DESCRIBED)])
 
+    frame = "struct<delay_ms:int,left:int,top:int,width:int,height:int,histogram:array<long>>"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<{frame}>, error string")
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe(store(table(spark, sf_dir, "documents")))
 
+def feature() -> Column:
+    """Of described frames: how many, their time and rows, and the counts of the colours that occur (cell=count), all added up."""
+    total = lambda name: F.aggregate("frames", F.lit(0), lambda n, f: n + f[name]).cast("string")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(LEVELS**3 - 1)), lambda c: F.struct(c.alias("cell"), F.aggregate("frames", F.lit(0).cast("long"), lambda n, f: n + F.get(f["histogram"], c)).alias("n")))
+    shown = F.transform(F.filter(cells, lambda c: c["n"] > 0), lambda c: F.concat(c["cell"].cast("string"), F.lit("="), c["n"].cast("string")))
+    return F.concat(F.lit("frames="), F.size("frames").cast("string"), F.lit(";ms="), total("delay_ms"), F.lit(";rows="), total("height"), F.lit(";"), F.array_join(shown, ","))
 
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = settle(store(table(spark, sf_dir, "documents")), "media")
+    out = describe(media)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature().alias("feature"))
