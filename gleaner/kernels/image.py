@@ -7,6 +7,7 @@ import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
+from gleaner.functions.decode import entities
 from gleaner.kernels.inflate import ZLIB, inflate
 
 PNG = b"\x89PNG"
@@ -154,8 +155,52 @@ def iptc_tags(data: bytes) -> Iterator[tuple[str, object]]:
         at += 5 + size
 
 
+def icc_texts(profile: bytes) -> Iterator[tuple[str, str]]:
+    """(tag, text) of a colour profile's text, description and localised tags."""
+    if profile[36:40] != b"acsp" or len(profile) < 132:
+        return
+    for k in range(min(struct.unpack_from(">I", profile, 128)[0], 200)):
+        entry = profile[132 + 12 * k : 144 + 12 * k]
+        if len(entry) < 12:
+            return
+        name, at, size = struct.unpack(">4sII", entry)
+        data, tag = profile[at : at + size], f"ICC {name.decode('latin-1').strip()}"
+        if data[:4] == b"text":
+            yield tag, data[8:].rstrip(b"\0").decode("latin-1")
+        elif data[:4] == b"desc" and len(data) >= 12:
+            yield tag, data[12 : 12 + int.from_bytes(data[8:12], "big")].rstrip(b"\0").decode("latin-1")
+        elif data[:4] == b"mluc" and len(data) >= 16:
+            for i in range(min(int.from_bytes(data[8:12], "big"), 200)):
+                record = data[16 + 12 * i : 28 + 12 * i]
+                if len(record) == 12:
+                    n, from_ = struct.unpack_from(">II", record, 4)
+                    yield tag, data[from_ : from_ + n].decode("utf-16-be", "replace")
+
+
+def icc_profile(body: bytes) -> bytes:
+    """The colour profile of a JPEG (its parts joined in order) or PNG; empty if there is none."""
+    parts = sorted((data[12], data[14:]) for marker, _, data in jpeg_segments(body) if marker == 0xE2 and data[:12] == b"ICC_PROFILE\0" and len(data) > 14)
+    for kind, data in png_chunks(body):
+        if kind == "iCCP":
+            return inflate(data.partition(b"\0")[2][1:], ZLIB) or b""
+    return b"".join(p for _, p in parts)
+
+
+FIELD = re.compile(r"""(?P<name>[A-Za-z_][\w.-]*:[\w.-]+)\s*=\s*(?P<quote>["'])(?P<value>.*?)(?P=quote)""", re.DOTALL)
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*:[\w.-]+)(?:\s[^<>]*)?>(?P<value>[^<]+)</(?P=name)\s*>")
+
+
+def xmp_fields(packet: str) -> Iterator[tuple[str, str]]:
+    """(name, text) of the attributes and the elements without children of an XMP packet; declarations of names aside."""
+    text = packet.encode("latin-1", "replace").decode("utf-8", "replace")
+    for m in (*FIELD.finditer(text), *ELEMENT.finditer(text)):
+        if not m["name"].startswith("xmlns:"):
+            yield m["name"], entities(m["value"].strip())
+
+
 def metadata(body: bytes) -> Iterator[tuple[str, object]]:
-    """Tags of EXIF and IPTC in JPEG, PNG, WebP and TIFF files."""
+    """Tags of EXIF and IPTC in JPEG, PNG, WebP and TIFF files, and texts of colour profiles."""
+    yield from icc_texts(icc_profile(body))
     for marker, _, data in jpeg_segments(body):
         if marker == 0xE1 and data[:6] == b"Exif\0\0":
             yield from tiff_tags(data[6:])

@@ -89,7 +89,7 @@ def crawl(
     depth: levels to visit; None goes on until a level brings nothing new. The level after the last one is pending.
     max_pages: URLs that are taken from the frontier at most, in its order; the others that are known then are pending.
     resume: URLs (url) that count as known and visited. A page stored more than once counts once. more: links (page, ord,
-    raw_url, source, detail) besides those on the pages, after them in order. log: gets level, known and taken at each level."""
+    raw_url, source, detail) besides those on the pages, after them in order, also of addresses that are no pages. log: gets depth, known and taken at each level."""
     spark: SparkSession = prepare(pages.sparkSession)
     key = lambda c: U.canonical_key(F.col(c), F.lit(None).cast("string"))
     stored = settle(pages.select(key("url").alias("url"), "html").where("url is not null").dropDuplicates(["url"]), "pages")
@@ -128,7 +128,7 @@ def crawl(
         new = new.where("allowed").drop("allowed")
         n = new.count()
         if log is not None:
-            log(level=k, known=taken + n, taken=taken)
+            log(depth=k, known=taken + n, taken=taken)
         if not n:
             break
         left = lambda df: df.withColumn("depth", F.lit(k)).withColumn("visited", F.lit(False))
@@ -143,7 +143,7 @@ def crawl(
         queues.append(new.withColumn("depth", F.lit(k)).join(page.select("url", F.lit(True).alias("visited")), "url", "left").na.fill(False, ["visited"]))
         counts.append(new.groupBy("template").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.min_by("url", "seq").alias("example")))
         known = settle(known.union(new.select("url")), "known")
-        level = page.select(F.col("url").alias("page"), F.col("seq").alias("from_seq")).join(found, "page").select("from_seq", "page", "ord", "raw_url", "source", "detail", "url", "reason", "template")
+        level = new.select(F.col("url").alias("page"), F.col("seq").alias("from_seq")).join(found, "page").select("from_seq", "page", "ord", "raw_url", "source", "detail", "url", "reason", "template")
         # novelty of a page: URLs that it was the first to find, outside its own template
         fresh = level.where("reason is null").join(known, "url", "left_anti").groupBy("url", "template").agg(F.min_by("page", F.struct("from_seq", "ord")).alias("page"))
         counted = page.alias("p").join(fresh.alias("f"), F.col("p.url") == F.col("f.page"), "left").groupBy("p.url", "p.template", "p.shape").agg(F.count_if(F.col("f.template") != F.col("p.template")).alias("novelty"))

@@ -10,15 +10,17 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner import cli
 from gleaner.grammar import DEFAULT
-from gleaner.kernels import containers, image, inflate
+from gleaner.kernels import containers, image, inflate, pdf
+from gleaner.operators import discover
 from gleaner.operators import relational as R
 from gleaner.operators.channels import Artifact, Channel, default_channels, lenient64
 from gleaner.operators.extract import extract
 from gleaner.operators.registry import Registry, default_registry
 from gleaner.plans import report
 from gleaner.sources import planted
-from gleaner.sources.store import Store, read_bodies, read_index, split, write_index
+from gleaner.sources.store import Store, read_bodies, read_index, recover_empty, split, write_index
 
 T = planted.token(1, "x")
 
@@ -76,6 +78,76 @@ def test_methods(channel, method, body, mime):
     assert method in found(body, mime).get(channel, [])
 
 
+def test_pdf_objects():
+    """Objects in an object stream, a note in UTF-16, a page whose line is in pieces over two streams, and an attachment."""
+    wide = "<feff" + T.encode("utf-16-be").hex() + ">"
+    inner = f"<< /Type /Annot /Contents {wide} >> << /Title ({T}) >>"
+    index = f"11 0 12 {inner.index('<< /Title')} "
+    stream = zlib.compress((index + inner).encode())
+    half = len(T) // 2
+    body = b"%%PDF-1.5\n1 0 obj\n<< /Type /ObjStm /N 2 /First %d /Filter /FlateDecode >>\nstream\n" % len(index) + stream + b"\nendstream\nendobj\n"
+    body += b"2 0 obj << /Type /Page /Contents [3 0 R 4 0 R] >> endobj\n"
+    for number, part in ((3, T[:half]), (4, T[half:])):
+        body += b"%d 0 obj << /Filter [/ASCIIHexDecode] >>\nstream\n" % number + f"BT ({part}) Tj ET".encode().hex().encode() + b">\nendstream\nendobj\n"
+    body += b"5 0 obj << /Type /EmbeddedFile /Filter /ASCII85Decode >>\nstream\n" + __import__("base64").a85encode(f"in a file: {T}".encode()) + b"~>\nendstream\nendobj\n"
+    methods = found(body, "application/pdf")["pdf"]
+    assert {"PDF entry Contents", "PDF entry Title", "text of PDF page 1", "file attached to a PDF"} <= set(methods)
+    assert [o.number for o in pdf.objects(body)] == [1, 11, 12, 2, 3, 4, 5]
+    broken = b"%PDF-1.5\n1 0 obj << /Type /ObjStm /Filter /FlateDecode >>\nstream\nxx\nendstream\nendobj 2 0 obj << /Filter /ASCII85Decode >>\nstream\n\xff\xff\nendstream endobj"
+    assert [o.data for o in pdf.objects(broken)] == [None, None]
+
+
+def icc(text, kind=b"desc"):
+    data = {b"desc": b"desc\0\0\0\0" + len(text).to_bytes(4, "big") + text.encode(), b"text": b"text\0\0\0\0" + text.encode() + b"\0"}.get(kind)
+    if data is None:
+        data = b"mluc\0\0\0\0" + (1).to_bytes(4, "big") + (12).to_bytes(4, "big") + b"enUS" + (2 * len(text)).to_bytes(4, "big") + (28).to_bytes(4, "big") + text.encode("utf-16-be")
+    return bytes(36) + b"acsp" + bytes(88) + (1).to_bytes(4, "big") + b"cprt" + (144).to_bytes(4, "big") + len(data).to_bytes(4, "big") + data
+
+
+@pytest.mark.parametrize("kind", [b"desc", b"text", b"mluc"])
+def test_colour_profiles(kind):
+    profile = icc(T, kind)
+    jpeg = planted.jpeg([(0xE2, b"ICC_PROFILE\0\2\2" + profile[150:]), (0xE2, b"ICC_PROFILE\0\1\2" + profile[:150])])
+    png = planted.png({"iCCP": b"name\0\0" + zlib.compress(profile)})
+    assert "image: ICC cprt" in found(jpeg, "image/jpeg")["image-metadata"] and "image: ICC cprt" in found(png, "image/png")["image-metadata"]
+    assert list(image.icc_texts(profile[:140])) == [] and list(image.icc_texts(b"")) == []
+
+
+def test_xmp_fields():
+    packet = f'<x:xmpmeta xmlns:x="n"><rdf:Description dc:format="a&amp;b" xmp:Label="{T}"><dc:title><rdf:li xml:lang="x">t {T}</rdf:li></dc:title></rdf:Description></x:xmpmeta>'
+    assert ("dc:format", "a&b") in list(image.xmp_fields(packet)) and not any(n.startswith("xmlns") for n, _ in image.xmp_fields(packet))
+    assert {"image: xmp:Label", "image: rdf:li"} <= set(found(planted.jpeg([(0xE1, packet.encode())]), "image/jpeg")["image-metadata"])
+
+
+def test_recovery_forms_and_budget(spark):
+    blank = {"content_type": F.lit("text/html")}
+    caps = spark.createDataFrame([("http://h/a", b"", 1, 200), ("http://h/a", b"x", 2, 200), ("http://h/b", b"", 3, 200), ("http://h/c", b"", 4, 204), ("http://h/c", b"y", 5, 200), (None, b"", 6, 200)], "url string, body binary, seq long, status int").withColumns(blank)
+    got = {r.seq: r.byte_length for r in recover_empty(split(caps)[0]).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1, 6: 0} and recover_empty(split(caps.limit(0))[0]).count() == 0
+    pages = spark.createDataFrame([("http://h/", "<form method=POST><input name=a></form><form action=/g></form><form method=put action=/p>"), ("http://h/n", None)], "url string, html string")
+    assert sorted((r.page, r.action, r.method) for r in discover.posted_forms(pages).collect()) == [("http://h/", "/p", "put"), ("http://h/", "http://h/", "post")]
+
+
+def test_cli(spark, tmp_path, monkeypatch, capsys):
+    """crawl, report of the crawl before, and what a budget leaves; links in scripts and headers are followed."""
+    html = lambda *to: "".join(f'<a href="{x}">x</a>' for x in to).encode()
+    rows = [("http://h.test/", html("/a", "/b.zip", "/c"), "text/html", 1), ("http://h.test/a", html("/d") + T.encode() + b"<form method=post action=/s></form>", "text/html", 2), ("http://h.test/b.zip", b"PK", "text/html", 3), ("http://h.test/c", b"fetch('/e')", "text/javascript", 4), ("http://h.test/e", html(), "image/svg+xml", 5)]
+    caps = spark.createDataFrame(rows, "url string, body binary, content_type string, seq long")
+    Store(spark, f"file://{tmp_path}/s").put(caps)
+    for name, value in (("BASE_URL", "http://h.test/"), ("STORE_DIR", f"file://{tmp_path}/s"), ("OUT_DIR", str(tmp_path / "out")), ("MAX_PAGES", "4"), ("LOG_LEVEL", "error")):
+        monkeypatch.setenv(name, value)
+    assert cli.main(["nothing"]) == 1 and cli.main(["crawl"]) == 0 and "TOTAL" in capsys.readouterr().out
+    kept = cli.earlier(Store(spark, f"file://{tmp_path}/s"))
+    assert {r.url for r in kept.frontier.collect()} == {"http://h.test/", "http://h.test/a", "http://h.test/b.zip", "http://h.test/c"} and {r.url for r in kept.pending.collect()} == {"http://h.test/d", "http://h.test/e", "http://h.test/s"}
+    assert cli.main(["report"]) == 2 and T in capsys.readouterr().out
+    text = (tmp_path / "out/crawl-report.md").read_text()
+    assert "URLs pending at the end: **3** (stopped before the end)" in text and "### Forms that were not sent" in text and "`/s`" in text
+    assert json.loads((tmp_path / "out/tokens.json").read_text())["tokens"][0]["token"] == T
+    monkeypatch.setenv("MAX_PAGES", "9")
+    assert cli.main(["run"]) == 2
+    assert {r.url for r in cli.earlier(Store(spark, f"file://{tmp_path}/s")).frontier.where("visited").collect()} == {"http://h.test/", "http://h.test/a", "http://h.test/e"}
+
+
 def test_negatives():
     assert not found(DEFAULT.published) and not found(T[:-2] + "}") and not found(T.lower())
     assert "html" not in found("<div hidden>x</div>", "text/html")
