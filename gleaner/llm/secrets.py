@@ -34,6 +34,8 @@ CONTEXT = re.compile(
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of guesses from which a value in context counts as a secret.
 COSTLY = 10.0
+#: The highest cost that is told.
+MOST = 64.0
 #: The longest dictionary word, and the longest block that is found repeated.
 LONGEST, BLOCK = 20, 32
 #: log10 of guesses: another segment; a character by brute force, and of a walk, run or repeat beyond its start; the start
@@ -181,21 +183,31 @@ def spans(text: str) -> list[tuple[int, int, int]]:
 
 
 
+def cost_at(text: str, start: int, end: int, kind: int) -> float | None:
+    """The guess cost of a value in credential context; MOST stands for all costs from there on. None for other kinds."""
+    value = {0: lambda: ASSIGN.fullmatch(text, start, end)[2], 3: lambda: text[start:end]}.get(kind)
+    return None if value is None else min(MOST, guess_cost(value(), MOST)[0])
+
+
 def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cost", pa.float64())]))
     for batch in batches:
-        out = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in spans(t.as_py() or "")] for t in batch.column(1)]
+        out = []
+        for x in batch.column(1):
+            t = x.as_py() or ""
+            out.append([{"kind": KINDS[k], "start": a, "end": b, "cost": cost_at(t, a, b, k)} for a, b, k in spans(t)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "found"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, found (kind, start, end of each secret, in code points, end exclusive).
+    """One row for each document: doc_id, found (kind, start, end of each secret, in code points, end exclusive, and the
+    guess cost of values in credential context).
 
     Null texts are empty. Rows of null or equal doc_id are scanned like any other; an empty table gives no rows; extra
     columns aren't read. Overlapping spans of different kinds are all reported; a value of kind `guess` never overlaps an `assign`.
     """
     prepare(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, found array<struct<kind:string,start:long,end:long>>")
+    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, found array<struct<kind:string,start:long,end:long,cost:double>>")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:

@@ -21,7 +21,7 @@ from gleaner.llm.arrays import SpanHash, mix, ranges
 
 SPACE, LETTER, NUMBER, OTHER, END, UNSURE = range(6)
 #: Words whose ids a worker remembers; beyond it starts afresh.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: Characters of text worked on at once.
 STEP = 1 << 20
 

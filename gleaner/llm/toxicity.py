@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.runtime import prepare, settle, table
+from gleaner.runtime import discard, prepare, settle, table
 
-#: Labelled rows that the lexicon is fitted on at most, and its entries at most.
-SAMPLE, ENTRIES = 10_000, 4_000
+#: Labelled rows that lexicon and regression are fitted on at most. That bounds the lexicon too.
+SAMPLE = 10_000
 #: Labelled documents that an entry must occur in, and its least log odds; lengths of stems.
 SUPPORT, ODDS, STEMS = 3, 2.0, (4, 5, 6)
 THRESHOLD = 0.3
@@ -76,16 +76,15 @@ def count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Matcher:
-    """The lexicon as an automaton."""
+    """The lexicon as an automaton. An exception phrase of one word goes before a lexicon entry that is the same."""
 
     def __init__(self, lexicon: dict[str, float], exceptions: tuple[str, ...]):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        for e, w in lexicon.items():
+        phrases = [f" {fold(e).strip()} " for e in exceptions]
+        for e, w in {**lexicon, **dict.fromkeys(phrases, 0.0)}.items():
             self.automaton.add_word(e, (len(e), w))
-        for e in exceptions:
-            self.automaton.add_word(f" {fold(e).strip()} ", (len(fold(e)), 0.0))
         self.some = len(self.automaton) > 0
         if self.some:
             self.automaton.make_automaton()
@@ -165,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tu
     bad, good = seen.get(1, 0), sum(n for y, n in seen.items() if y != 1)
     counts = rows.mapInArrow(count_entries, "entry string, toxic int, docs long").groupBy("entry").agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("docs"))), F.lit(0)).alias("b"), F.coalesce(F.sum(F.when(F.col("toxic") != 1, F.col("docs"))), F.lit(0)).alias("g"))
     odds = F.log((F.col("b") + 0.5) / (bad + 1)) - F.log((F.col("g") + 0.5) / (good + 1))
-    chosen = counts.withColumn("w", odds).where((F.col("b") >= SUPPORT) & (F.col("w") >= ODDS)).orderBy(F.desc(F.col("w") * F.log1p("b")), "entry").limit(ENTRIES).collect()
+    chosen = counts.withColumn("w", odds).where((F.col("b") >= SUPPORT) & (F.col("w") >= ODDS)).orderBy("entry").collect()
     lexicon = {r["entry"]: float(r["w"]) for r in chosen}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tu
 
     got = np.array([tuple(r) for r in rows.mapInArrow(features, "weight double, found double, words double, toxic int").collect()], float).reshape(-1, 4)
     got = got[np.lexsort(got.T)]
+    discard(rows)
     y = (got[:, 3] == 1).astype(float)
     weights = regress(vector(got[:, :3]), y) if len(got) and 0 < y.sum() < len(y) else np.array([math.log(0.05), 0, 0, 0, 0])
     return Model(lexicon, exceptions, weights)
@@ -200,12 +200,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """Documents whose score is below the threshold; all columns stay."""
+    """Documents whose score is below the threshold; all columns stay.
+
+    Null and empty texts have no words, and the score of none found, which is below it. Rows of null or equal doc_id are
+    judged each by its text; an empty table gives no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.scores(batch.column(at).to_pylist()) < THRESHOLD))
+            for lo in range(0, batch.num_rows, 500):
+                some = batch.slice(lo, 500)
+                yield some.filter(pa.array(model.scores(some.column(at).to_pylist()) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 

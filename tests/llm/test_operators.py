@@ -209,6 +209,7 @@ def test_secrets(spark, empty):
     assert secrets.guess_cost("xK9#mQ2$vL7!")[0] >= 10 and secrets.guess_cost("")[0] == 0
     df = spark.createDataFrame([(1, text, "", ""), (None, None, "", ""), (1, text, "", "")], SCHEMA)
     assert sorted(len(r.found) for r in secrets.scan(df).collect()) == [0, 6, 6]
+    assert [(s.kind, s.cost is None or s.cost > 2) for s in secrets.scan(df).where("doc_id = 1").first().found] == [(k, True) for _, k in got]
     clean = secrets.redact(df).where("doc_id = 1").first().text
     assert clean.count("[SECRET]") == 5 and not any(len(secrets.spans(x)) for x in [clean]) and secrets.scan(empty).count() == 0
 
@@ -254,6 +255,8 @@ def test_secrets_of_many_words_and_great_length(spark):
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in secrets.scan(df).collect()}
     assert got == {0: [("guess", 14, 14 + len(joined))], 1: [("guess", 7, 7 + len(noise))], 2: [], 3: [], 4: [], 5: []}
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    costs = {r.doc_id: [s.cost for s in r.found] for r in secrets.scan(df).collect()}
+    assert costs[0] == [pytest.approx(secrets.guess_cost(joined)[0])] and costs[1] == [secrets.MOST]
     assert clean == {**dict(enumerate(texts)), 0: "passphrase is [SECRET]", 1: "pwd -> [SECRET] end"}
     assert secrets.guess_cost(joined)[0] == secrets.guess_cost(joined, 1e9)[0] > 20
 
@@ -512,6 +515,27 @@ def test_folding():
     assert toxicity.fold("Iд!0t  M0RоN, näive") == " iдiot moron naive ".replace("д", toxicity.fold("д").strip())
     m = toxicity.Matcher({" moron ": 4.0, " mor": 2.0, " trash ": 3.0}, ("trash can",))
     assert m.features("a m0ron; morose trash can trash") == (9.0, 3.0, 6.0) and m.features("") == (0.0, 0.0, 0.0)
+    assert toxicity.Matcher({" moron ": 4.0}, ("moron",)).features("moron") == (0.0, 0.0, 1.0)  # the exception goes first
+
+
+def features_by_force(text, lexicon, exceptions):
+    """Every word's heaviest entry, those inside an exception phrase aside, by looking at each place of the folded text."""
+    folded = toxicity.fold(text)
+    phrases = [toxicity.fold(e) for e in exceptions]
+    lexicon = {e: w for e, w in lexicon.items() if e not in phrases}
+    inside = {i for p in phrases for at in range(len(folded)) if folded.startswith(p, at) for i in range(at, at + len(p) - 1)}
+    best = {at: max(w for e, w in lexicon.items() if folded.startswith(e, at)) for at in range(len(folded)) if any(folded.startswith(e, at) for e in lexicon) and at not in inside}
+    return sum(best.values()), float(len(best)), float(len(folded.split()))
+
+
+LEXICON = {" moron ": 4.0, " mor": 2.0, " trash ": 3.0, " tras": 1.5, " pond ": 2.5, " scum ": 5.0, " can ": 0.5}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["moron", "M0R0N", "morose", "trash", "tra5h", "can", "trash can", "pond", "scum", "pond scum", "nice", "мoron", "!", ""]), max_size=12).map(" ".join))
+def test_matcher_by_force(text):
+    exceptions = ("trash can", "pond scum")
+    assert toxicity.Matcher(LEXICON, exceptions).features(text) == features_by_force(text, LEXICON, exceptions)
 
 
 def test_toxicity(spark, odd, empty):
