@@ -11,8 +11,9 @@ bytes of which every tree has 15 to itself. A node of a tree holds the vertices
    isn't connected with them with all the others.
 3. Comparing goes by sketches, with a margin, and gives no pairs: each task reports forests, a row for each vertex and
    node at most. Their components (groups) hold every link that a tree has found, and some vertices too many.
-4. Every group meets with the full shingle sets of its vertices, which decide. A group that is too large for one task is
-   dealt to blocks, and every two blocks meet.
+4. Every group meets with the full shingle sets of its vertices, which decide. In a group that is too large for one task
+   all vertices are held against some of them; those outside the largest part then meet the others and each other, block
+   by block (their number counts twice there; the others' only once).
 
 So a group of copies costs rows in proportion to its members, and whatever links the sketches suggest are confirmed.
 A link is only lost if all 16 trees lose it. At similarity 0.75 a tree loses it with probability 0.25 at the root, and
@@ -39,13 +40,13 @@ TREES, SKETCH = 16, 256
 OWN = (SKETCH - TREES) // TREES
 #: Members up to which a node goes to one task, and up to which it is compared exhaustively there.
 NODE, LEAF = 4096, 48
-#: Members of nodes, and shingles of groups, that a task takes at a time, about; shingles of a group in one block.
+#: Members of nodes, and shingles of groups, that a task takes at a time, about; a block has half as many shingles.
 BUCKET, ITEMS = 8192, 1 << 20
 #: Equal sketch bytes of 256 from which a pair is worth confirming (a pair of similarity 0.75 has fewer once in 1e7), from
 #: which it is so for the lead of a large node, and from which a member stays behind with the lead: whatever is linked
 #: with such a member has similarity 0.5 or so to the lead, and joins the lead's group by the second number.
 AGREE, LOOSE, CLOSE = 156, 116, 204
-#: Members that a node is held against, and the mean similarity from which it counts as dense.
+#: Members that a node or a large group is held against, and the mean similarity from which a node counts as dense.
 PIVOTS, DENSE = 4, 0.45
 #: Levels of a path that use a tree's own bytes; beyond them all bytes serve.
 DEEP = 12
@@ -328,14 +329,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame | None:
 
 
 def wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, d1, d2, group, cells, r) to (group, cells, r, items), where the text's set has that digest."""
+    """From (text, d1, d2, group, large, r) to (group, large, r, items), where the text's set has that digest."""
     for batch in batches:
         for lo, hi, flat, bounds in sets_of(batch.column(0)):
             d = digests(flat, bounds)
             own = batch.slice(lo, hi - lo)
             good = (d[0] == own.column(1).to_numpy()) & (d[1] == own.column(2).to_numpy())
             items = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*own.columns[3:], items], names=["group", "cells", "r", "items"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([*own.columns[3:], items], names=["group", "large", "r", "items"]).filter(pa.array(good))
 
 
 def linked(flat: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
@@ -390,23 +391,74 @@ def decide(percent: int):
     return run
 
 
+def against(percent: int):
+    """From (r, items, pivots: array of (r, items)) to the edges (x, y) with the pivots that a set is linked with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = [], []
+            for row in range(batch.num_rows):
+                r, own = batch.column(0)[row].as_py(), batch.column(1)[row].values.to_numpy()
+                pivots = batch.column(2)[row].values
+                for k in range(len(pivots)):
+                    other = pivots.field(1)[k].values.to_numpy()
+                    common = np.isin(own, other, assume_unique=True).sum()
+                    if 100 * common >= percent * (len(own) + len(other) - common):
+                        x.append(pivots.field(0)[k].as_py())
+                        y.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+    return run
+
+
+def in_buckets(cells: DataFrame, total: int, percent: int, items: int) -> DataFrame:
+    """Confirmed forests of whole cells (group, r, items), so many items in all."""
+    buckets = max(1, -(-total // items))
+    return cells.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets))).groupBy("bucket").applyInArrow(decide(percent), "x long, y long")
+
+
+def in_blocks(sets: DataFrame, percent: int, items: int) -> DataFrame:
+    """Confirmed edges (x, y) of groups (group, r, items) that are too large for one task."""
+    chosen = sets.groupBy("group").agg(*(F.min_by("r", F.xxhash64("r", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS))).select("group", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("r"))
+    pivots = sets.join(chosen, ["group", "r"]).dropDuplicates(["group", "r"]).groupBy("group").agg(F.collect_list(F.struct("r", "items")).alias("pivots"))
+    first = settle(splittable(sets, pivots, "group").select("r", "items", "pivots").mapInArrow(against(percent), "x long, y long").distinct(), "pivots")
+    label = components(first)
+    vertices = sets.select("group", "r", F.size("items").cast("long").alias("n")).distinct()
+    parts = vertices.withColumn("c", F.col("r")) if label is None else vertices.join(label.withColumnRenamed("v", "r"), "r", "left").withColumn("c", F.coalesce("c", "r"))
+    parts = settle(parts, "parts")
+    most = parts.groupBy("group", "c").agg(F.count("*").alias("k")).groupBy("group").agg(F.max(F.struct("k", "c")).alias("m")).select("group", F.col("m.c").alias("top"))
+    parts = splittable(parts, most, "group").withColumn("rest", F.col("c") != F.col("top"))
+    many = parts.groupBy("group").agg(*(F.ceil(F.coalesce(F.sum(F.when(F.col("rest") == r, F.col("n"))), F.lit(0)) / (items / 2)).cast("int").alias(name) for r, name in ((True, "rests"), (False, "tops"))))
+    dealt = settle(splittable(parts, many.where("rests > 0"), "group"), "dealt")
+    # cells: a block of the rest with one of the top (from above the others' numbers on), or with itself or another of the rest
+    own = F.pmod(F.xxhash64("r"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("tops"))).cast("long")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1).cast("array<long>")
+    cell = lambda a, b: a * F.lit(1 << 31) + b
+    among = F.transform(upto("rests"), lambda j: cell(F.least(own, j), F.greatest(own, j)))
+    with_tops = F.when(F.col("tops") > 0, F.transform(upto("tops"), lambda j: cell(own, j + F.col("rests")))).otherwise(F.array().cast("array<long>"))
+    cells = F.when(F.col("rest"), F.concat(among, with_tops)).otherwise(F.transform(upto("rests"), lambda i: cell(i, own + F.col("rests"))))
+    dealt = dealt.select("group", "r", "n", cells.alias("cells"))
+    total = dealt.agg(F.sum(F.col("n") * F.size("cells"))).first()[0] or 0
+    met = sets.join(dealt.drop("n"), ["group", "r"]).select(F.explode("cells").alias("cell"), "group", "r", "items").select(F.xxhash64("group", "cell").alias("group"), "r", "items")
+    return first.unionByName(in_buckets(met, total, percent, items))
+
+
 def confirm(groups: DataFrame, texts: DataFrame, own: DataFrame, percent: int = PERCENT, items: int = ITEMS) -> tuple[DataFrame, bool]:
     """Confirmed edges (x, y) within groups (v, c), and whether they are stars already: a component's smallest vertex
     with each other one."""
     vertices = groups.select(F.col("v").alias("r"), F.col("c").alias("group")).join(own.select("r", "key", "n", "d1", "d2"), "r")
     totals = vertices.groupBy("group").agg(F.sum("n").alias("total"))
-    known = splittable(vertices, totals, "group").withColumn("blocks", F.ceil(F.col("total") / (items / 2)).cast("int")).withColumn("large", F.col("total") > items)
-    # a group within bounds is one cell; of larger ones, a block meets every other block in a cell of their own
-    block = F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j) * F.col("blocks") + F.greatest(block, j))
-    known = settle(known.select("key", "d1", "d2", "group", F.when(F.col("large"), cells).otherwise(F.array(F.lit(-1))).alias("cells"), "r", "n", "large"), "wanted")
-    total, large = known.agg(F.sum(F.col("n") * F.size("cells")), F.max("large")).first()
-    buckets = max(1, -(-(total or 0) // items))
-    sets = texts.join(known.hint("merge"), "key").select("text", "d1", "d2", "group", "cells", "r").mapInArrow(wanted_sets, "group long, cells array<int>, r long, items array<long>")
-    dealt = sets.select("group", F.explode("cells").alias("cell"), "r", "items").withColumn("group", F.when(F.col("cell") < 0, F.col("group")).otherwise(F.xxhash64("group", "cell"))).drop("cell")
-    out = dealt.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets))).groupBy("bucket").applyInArrow(decide(percent), "x long, y long")
+    known = splittable(vertices, totals, "group").withColumn("large", F.col("total") > items)
+    known = settle(known.select("key", "d1", "d2", "group", "large", "r", "n"), "wanted")
+    total, large = known.agg(F.sum(F.when(~F.col("large"), F.col("n"))), F.max("large")).first()
+    sets = texts.join(known.hint("merge"), "key").select("text", "d1", "d2", "group", "large", "r").mapInArrow(wanted_sets, "group long, large boolean, r long, items array<long>")
+    if large:
+        sets = settle(sets, "wanted-sets")
+    out = in_buckets(sets.where("not large").select("group", "r", "items"), total or 0, percent, items)
+    if large:
+        out = out.unionByName(in_blocks(sets.where("large").select("group", "r", "items"), percent, items))
     out = settle(out, "links")
-    discard(known)
+    discard(known, *([sets] if large else []))
     return out, not large
 
 
