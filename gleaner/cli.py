@@ -36,7 +36,7 @@ TABLES = ("frontier", "discoveries", "templates", "skipped", "pending")
 
 def harvested(store: Store, conf: config.Config, log: config.Logger) -> Crawl:
     """A crawl of the stored pages, its tables written to the store."""
-    more = written_links(store.observations.where("kind = 'response'"), store.bodies)
+    more = written_links(store.observations.where("kind in ('response', 'storage')"), store.bodies)
     done = crawl(pages_of(store), [conf.base_url], host=host_of(conf.base_url), max_pages=conf.max_pages, more=more, log=lambda **n: log.log("info", "level", **n))
     store.keep(**{f"crawl-{name}": getattr(done, name) for name in TABLES})
     return earlier(store)

@@ -187,6 +187,17 @@ def posted_forms(pages: DataFrame, url: str = "url", html: str = "html") -> Data
     return found.select("page", "ord", F.when(F.col("raw_url") == ".", F.col("page")).otherwise(F.col("raw_url")).alias("action"), F.col("source").alias("method"))
 
 
+#: Clickable elements of a page that are listed.
+CLICKABLE = 60
+
+
+def clickable_elements(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """The first CLICKABLE elements of each page that a user may click besides links: page, ord, description."""
+    prepare(pages.sparkSession)
+    listed = lambda text: ((c, "", "") for c in clickables(text)[:CLICKABLE])
+    return pages.select(F.col(url).alias("page"), html).mapInArrow(_collector(listed), "page string, ord int, raw_url string, source string, detail string").select("page", "ord", F.col("raw_url").alias("description"))
+
+
 def written_links(observations: DataFrame, bodies: DataFrame) -> DataFrame:
     """What response bodies, headers and source maps say of other addresses, as more links for a crawl: page, ord,
     raw_url, source, detail. They come after the links of the page itself."""

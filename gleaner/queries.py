@@ -20,7 +20,7 @@ from gleaner.operators.registry import default_registry
 from gleaner.plans.frontier import TrapRules, crawl, trap_states
 from gleaner.runtime import settle, shared_dir, table
 from gleaner.sources import planted
-from gleaner.sources.store import Store, observe, read_index, recover_empty, split, write_index
+from gleaner.sources.store import Store, observe, of_host, read_index, recover_empty, rendered_dom, split, write_index
 from gleaner.streaming.streams import event_windows, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,6 +170,18 @@ def posted_forms(spark, d):
     return discover.posted_forms(planted_pages(spark, d)).select("page", "action", "method")
 
 
+@query("""SELECT 'http://h.test/' || page_id AS page, CAST(0 AS INTEGER) AS ord, 'div "d"' AS description FROM pages""")
+def clickable_elements(spark, d):
+    return discover.clickable_elements(planted_pages(spark, d))
+
+
+@query("SELECT page_id, 'rendered-dom' AS kind, sha256(html || '<i></i>') AS sha256, 'text/html' AS mime_type FROM pages WHERE page_id % 3 <> 0")
+def rendered_pages(spark, d):
+    """Rendered documents of one host, beside responses of the same addresses; every third page is of another host."""
+    p = table(spark, d, "pages").select(F.concat(F.when(F.col("page_id") % 3 == 0, "http://o.test/").otherwise("http://H.test/"), F.col("page_id").cast("string")).alias("url"), F.concat("html", F.lit("<i></i>")).alias("html"), F.col("page_id").alias("seq"))
+    return observe(of_host(rendered_dom(p), "h.test")).select(F.col("seq").alias("page_id"), "kind", "sha256", "mime_type")
+
+
 @query("""SELECT page_id, ['/n' || page_id, 'http://o.test/p'] AS targets, 'm' || page_id || '.js.map' AS map FROM pages""")
 def header_targets(spark, d):
     i = F.col("page_id").cast("string")

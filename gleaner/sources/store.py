@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions import text as X
+from gleaner.functions import url as U
 from gleaner.schema import BODIES, OBSERVATIONS
 
 KEY = ["kind", "url", "sha256", "status"]
@@ -129,6 +130,17 @@ def write_index(observations: DataFrame, path: str) -> None:
     observations.orderBy("seq").withColumn("discovery", F.when(F.col("discovery").isNotNull(), F.struct(F.col("discovery.source").alias("source"), F.col("discovery.discovered_from").alias("discoveredFrom"), F.col("discovery.detail").alias("detail")))).withColumnsRenamed(back).drop("seq").write.json(path)
 
 
+def of_host(captured: DataFrame, host: str) -> DataFrame:
+    """The captures whose URL is of that host (with its port); null and broken URLs are of none."""
+    return captured.where(U.same_host(F.col("url"), F.lit(host)))
+
+
+def rendered_dom(pages: DataFrame) -> DataFrame:
+    """Captures of documents as they were after their scripts ran (url, html, seq), beside the responses of the same URL.
+    Pages without a document (null) give none."""
+    return pages.where("html is not null").select("url", F.encode("html", "UTF-8").alias("body"), F.lit("text/html").alias("content_type"), F.lit("rendered-dom").alias("kind"), F.lit("document").alias("resource_type"), "seq")
+
+
 def browser_state(pages: DataFrame) -> DataFrame:
     """Sidecar captures of a page's state: url (cookies, storages, generated content, all and visible text as columns or
     null) to a JSON body at `url#browser-state`."""
