@@ -25,6 +25,8 @@ from gleaner.runtime import prepare, settle
 
 #: Levels after which the tables of several levels become one, so that plans of a long crawl stay small.
 PACK = 16
+#: Parts in which the new URLs of a template are counted first.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -117,10 +119,13 @@ def crawl(
         new = usable.join(known, "url", "left_anti").groupBy("url").agg(F.min("seq").alias("seq"), F.min_by(F.struct("raw_url", "page", "source", "detail", "template"), "seq").alias("s")).select("url", "seq", "s.*")
         if rules is not None:
             state = templates_of(union(visits, VISITED), union(counts, QUEUED), rules).select("template", F.col("enqueued").alias("before"), "saturated")
-            # the budget of a template is used up in order; a template has at most `most` rows that pass
-            turn = F.row_number().over(Window.partitionBy("template").orderBy("seq"))
-            new = new.join(state, "template", "left").withColumn("turn", turn + F.coalesce("before", F.lit(0)))
-            new = new.withColumn("allowed", ~F.coalesce("saturated", F.lit(False)) & (F.col("turn") <= rules.most))
+            # the budget of a template is used up in order. Of a hot template each of SALTS parts passes on its first
+            # `most` rows only, so that no task orders more than SALTS times as many
+            salt = F.pmod(F.xxhash64("url"), F.lit(SALTS))
+            early = F.row_number().over(Window.partitionBy("template", salt).orderBy("seq")) <= rules.most
+            new = new.join(state, "template", "left").withColumn("early", early).withColumn("part", F.when(F.col("early"), -1).otherwise(salt))
+            turn = F.row_number().over(Window.partitionBy("template", "part").orderBy("seq")) + F.coalesce("before", F.lit(0))
+            new = new.withColumn("allowed", ~F.coalesce("saturated", F.lit(False)) & F.col("early") & (turn <= rules.most))
         else:
             new = new.withColumn("allowed", F.lit(True))
         new = settle(new.select("url", "seq", "raw_url", F.col("page").alias("discovered_from"), "source", "detail", "template", "allowed"), "new")
