@@ -553,18 +553,46 @@ def test_toxicity(spark, odd, empty):
 # pipeline -------------------------------------------------------------------------------------------------------
 
 
+def score_by_words(text, model):
+    """The model's score by a look at every word of the folded text."""
+    words = toxicity.fold(text or "").split()
+    phrases = [toxicity.fold(e).split() for e in model.exceptions]
+    skip = {i + j for p in phrases for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p for j in range(len(p))}
+    stems = lambda w: (f" {w[:k]}" for k in toxicity.STEMS if len(w) >= k)
+    found = [max(model.lexicon.get(e, 0.0) for e in (f" {w} ", *stems(w))) for i, w in enumerate(words) if i not in skip]
+    found = [w for w in found if w > 0]
+    x = toxicity.vector(np.array([[sum(found), len(found), len(words)]], float))
+    return (1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))[0]
+
+
+def packed_whole(before, after):
+    """Every document's ids lie once in its pieces, and every sequence is gapless and within its capacity."""
+    ids = {d: [*x, 1] for d, x in zip(before.doc_id, library(list(before.text)), strict=True)}
+    for d, own in after.groupby("doc_id"):
+        own = own.sort_values("start")
+        assert (own.start == own.length.cumsum() - own.length).all() and own.length.sum() == len(ids[d])
+        assert [zlib.crc32(np.array(ids[d][a : a + n], "<u4").tobytes()) for a, n in zip(own.start, own.length, strict=True)] == own.ids_crc32.tolist()
+    for _, seq in after.groupby("sequence_id"):
+        seq = seq.sort_values("offset")
+        assert (seq.offset == seq.length.cumsum() - seq.length).all() and seq.length.sum() <= 2048
+    return set(after.doc_id) == set(ids)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    before = docs
+    before, labels = docs, spark.read.parquet(f"{SMALL}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES:
         after = stage(spark, before, SMALL).cache()
         b, a = before.toPandas(), after.toPandas()
         if name == "packing":
-            assert set(a.doc_id) == set(b.doc_id)
+            assert packed_whole(b, a)
             break
         assert list(after.columns) == list(docs.columns) and set(a.doc_id) <= set(b.doc_id)
         rows = list(zip(b.doc_id, b.text, strict=True))
-        if name == "near_dedup":
+        if name == "toxicity":
+            model = toxicity.fit(before, labels)
+            assert set(a.doc_id) == {d for d, t in rows if score_by_words(t, model) < toxicity.THRESHOLD} and 0 < len(a) < len(b)
+        elif name == "near_dedup":
             assert set(a.doc_id) == {d for d, _, _, keep in chosenpath.plain(rows) if keep}
         elif name == "decontamination":
             bench = pd.read_parquet(f"{SMALL}/benchmark.parquet")
@@ -574,6 +602,17 @@ def test_pipeline(spark):
         before = after
 
 
+def test_pipeline_odd(spark, odd, empty, tmp_path):
+    """Null and repeated ids, null texts, repeated rows, odd columns and empty tables through every stage."""
+    spark.createDataFrame([(7, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing like it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs, counts in ((odd, [6, 3, 3, 3, 3]), (empty, [0] * 5)):
+        for (_, stage), n in zip(corpus_pipeline.STAGES, counts, strict=True):
+            after = stage(spark, docs, str(tmp_path))
+            assert after.count() == n
+            docs = after
+
+
 def test_queries_have_their_columns(spark):
     assert set(queries.SQL) < set(queries.QUERIES)
     for n in range(1, 11):
