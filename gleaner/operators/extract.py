@@ -121,7 +121,10 @@ def extract(observations: DataFrame, bodies: DataFrame, registry: Registry | Non
     marked = observations.join(known, "sha256", "left").withColumn("ending", ending())
     readable = marked.where("readable")
     ways = readable.select(SEEN_AS).distinct()
-    passed = ways.join(bodies.dropDuplicates(["sha256"]), "sha256").select(*SEEN_AS, "body").mapInArrow(body_pass(registry, grammar), f"sha256 string, mime_type string, kind string, ending string, resource_type string, extractor_ord int, extractor string, applied boolean, found {FOUND}, error string")
+    # bodies are dealt out by digest once, to a fixed number of tasks: channels take far longer than their bytes suggest,
+    # so few bytes are no reason to have few tasks
+    dealt = bodies.repartition(int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sha256").dropDuplicates(["sha256"])
+    passed = ways.join(dealt, "sha256").select(*SEEN_AS, "body").mapInArrow(body_pass(registry, grammar), f"sha256 string, mime_type string, kind string, ending string, resource_type string, extractor_ord int, extractor string, applied boolean, found {FOUND}, error string")
     columns = ["seq", "mime_type", "body_path", "url", "final_url", "extractor_ord", "extractor", "applied", "found", "error"]
     null_safe = [F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}")) for c in SEEN_AS]
     # cookies look at headers and at bodies: one result, headers first
