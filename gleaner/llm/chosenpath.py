@@ -274,10 +274,11 @@ def compare(percent: int, leaf: int):
 def forests(own: DataFrame, percent: int = PERCENT, node: int = NODE, leaf: int = LEAF) -> DataFrame:
     """Edges (x, y) between vertices of own(r, n, tokens, sketch); their components hold every link a tree has found."""
     members = own.select("r", "tokens").mapInArrow(roots, "node long, r long, tree int")
-    edges, small, level = [], [], 0
+    edges, small, done, level = [], [], [], 0
     while True:
         sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.min_by("r", F.xxhash64("r", "node")).alias("lead")).where("size > 1")
-        both = settle(members.join(sizes, "node"), "members")
+        both = settle(splittable(members, sizes, "node"), "members")
+        done.append(both)
         small.append(both.where(F.col("size") <= node).select("node", "r", "tree"))
         large = both.where(F.col("size") > node)
         if large.isEmpty():
@@ -286,6 +287,7 @@ def forests(own: DataFrame, percent: int = PERCENT, node: int = NODE, leaf: int
         leads = large.select("node", "lead").distinct().join(known.toDF("lead", "lead_n", "lead_sketch"), "lead")
         wide = large.select("node", "r", "tree").join(known, "r").join(leads, "node")
         grown = settle(wide.select("node", "r", "tree", "sketch", "n", "lead", "lead_sketch", "lead_n").mapInArrow(branch(level), "node long, r long, tree int, lead long"), "grown")
+        done.append(grown)
         edges.append(grown.where("lead <> r").select(F.col("lead").alias("x"), F.col("r").alias("y")))
         members, level = grown.where("lead is null").select("node", "r", "tree").distinct(), level + 1
     every = small[0]
@@ -296,7 +298,9 @@ def forests(own: DataFrame, percent: int = PERCENT, node: int = NODE, leaf: int
     out = wide.groupBy("bucket").applyInArrow(compare(percent, leaf), "x long, y long")
     for e in edges:
         out = out.union(e)
-    return settle(out.distinct(), "forests")
+    out = settle(out.distinct(), "forests")
+    discard(*done)
+    return out
 
 
 # Components ------------------------------------------------------------------------------------------------------
