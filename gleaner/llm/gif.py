@@ -321,7 +321,19 @@ def feature() -> Column:
     return F.concat(F.lit("frames="), F.size("frames").cast("string"), F.lit(";ms="), total("delay_ms"), F.lit(";rows="), total("height"), F.lit(";"), F.array_join(shown, ","))
 
 
+def payload_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of query(): the payload that is read back."""
+    return query(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = settle(store(table(spark, sf_dir, "documents")), "media")
     out = describe(media)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature().alias("feature"))
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, len(h) // 2 AS n, h || repeat('00', CASE WHEN h = '' THEN {ROW} ELSE ({ROW} - (len(h) // 2) % {ROW}) % {ROW} END) AS body FROM d)
+SELECT doc_id, n AS n_bytes, len(body) // 2 AS payload_bytes, sha256(unhex(body)) AS payload_sha256 FROM p
+"""

@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": suffixdedup.query,
     "op9_gif": gif.query,
     "op10_toxicity": toxicity.query,
+    # what SQL can say of two operators that it can't express as a whole
+    "secret_base_spans": secrets.base_query,
+    "gif_payloads": gif.payload_query,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": decontam.SQL,
@@ -26,4 +29,6 @@ SQL: dict[str, str] = {
     "op3_substring_dedup": seedextend.SQL,
     "op6_near_dedup": chosenpath.SQL,
     "op8_suffix_dedup": suffixdedup.SQL,
+    "secret_base_spans": secrets.SQL,
+    "gif_payloads": gif.SQL,
 }

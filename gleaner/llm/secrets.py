@@ -235,6 +235,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of query(): the spans of the fixed patterns."""
+    return query(spark, sf_dir).drop("spans")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
@@ -244,3 +249,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(F.filter("found", lambda s: s["kind"] != "guess"), text), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("found", text), ",").alias("spans"),
     )
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+ASSIGNED = "(?:" + "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?"""
+#: Places of matches, from what lies between them: regexp_extract_all and the split by the same pattern.
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k(n, kind, p) AS (VALUES (0, 'assign', '{ASSIGNED}[A-Za-z0-9+/_.=-]+'), (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+')),
+m AS (SELECT doc_id, 0 AS n, regexp_extract_all(t, '{ASSIGNED}[A-Za-z0-9+/_.=-]+') AS ms, regexp_extract_all(t, '{ASSIGNED}([A-Za-z0-9+/_.=-]+)', 1) AS vs, string_split_regex(t, '{ASSIGNED}[A-Za-z0-9+/_.=-]+') AS gs FROM d
+  UNION ALL SELECT doc_id, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT doc_id, 2, regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM d),
+r AS (SELECT doc_id, n, unnest(ms) AS x, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM m),
+o AS (SELECT doc_id, n, v, sum(length(g) + length(x)) OVER w - length(x) AS a, sum(length(g) + length(x)) OVER w AS b FROM r WINDOW w AS (PARTITION BY doc_id, n ORDER BY i ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT doc_id, n, kind || ':' || a || ':' || b AS span, a FROM o JOIN k USING (n) WHERE length(v) >= CASE n WHEN 0 THEN 6 WHEN 1 THEN 20 ELSE 24 END),
+g AS (SELECT doc_id, count(*) FILTER (WHERE n = 0) AS n0, count(*) FILTER (WHERE n = 1) AS n1, count(*) FILTER (WHERE n = 2) AS n2, string_agg(span, ',' ORDER BY a, n) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
