@@ -17,7 +17,7 @@ bytes of which every tree has 15 to itself. A node of a tree holds the vertices
 
 So a group of copies costs rows in proportion to its members, and whatever links the sketches suggest are confirmed.
 A link is only lost if all 16 trees lose it. At similarity 0.75 a tree loses it with probability 0.25 at the root, and
-0.55 if four more levels follow; see README for measured recall.
+0.55 if three more levels follow; see README for measured recall.
 """
 
 from __future__ import annotations
