@@ -143,6 +143,8 @@ def splittable(many: DataFrame, few: DataFrame, key: str, *more: str) -> DataFra
 
 SEEDS = "g long, lo int, hi int, doc long, p long, body binary"
 Compare = Callable[[pa.Table], pa.Table]
+#: settle() or settle_in_python().
+Keep = Callable[..., DataFrame]
 
 
 def bodies(unit: Unit):
@@ -206,10 +208,10 @@ def lengthen(unit: Unit):
     return run
 
 
-def shared(first: DataFrame, docs: DataFrame, unit: Unit, compare: Compare, bucket: int, hot: int) -> DataFrame:
+def shared(first: DataFrame, docs: DataFrame, unit: Unit, compare: Compare, bucket: int, hot: int, keep: Keep) -> DataFrame:
     """The windows of segments (a, doc, p) that a smaller document's segment of equal seed also has, as (doc, p)."""
     places = first.groupBy(F.col("doc").alias("doc_id"), tag_of("p")).agg(F.collect_list(F.struct("p", F.shiftright("p", 8).bitwiseAND(255).alias("off"), "a")).alias("places"))
-    rows = settle(docs.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInArrow(bodies(unit), SEEDS), "seeds")
+    rows = keep(docs.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places"), "seeds", bodies(unit), SEEDS)
     out = None
     while True:
         sizes = rows.groupBy("g").agg(F.sum(F.length("body")).alias("bytes"), F.max("hi").alias("hi"), F.max("lo").alias("lo"))
@@ -224,10 +226,10 @@ def shared(first: DataFrame, docs: DataFrame, unit: Unit, compare: Compare, buck
         windows = rows.join(large.where("lo = hi").select("g"), "g", "left_semi")  # all of them equal but for hashes
         least = windows.groupBy("g", "body").agg(F.min("doc").alias("low"))
         out = out.unionByName(splittable(windows, least, "g", "body").where("doc > low").select("doc", "p"))
-        rows = settle(rows.join(large.where("lo < hi").select("g"), "g", "left_semi").mapInArrow(lengthen(unit), SEEDS), "seeds")
+        rows = keep(rows.join(large.where("lo < hi").select("g"), "g", "left_semi"), "seeds", lengthen(unit), SEEDS)
 
 
-def repeated(docs: DataFrame, unit: Unit, compare: Compare, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
+def repeated(docs: DataFrame, unit: Unit, compare: Compare, bucket: int = BUCKET, hot: int = HOT, keep: Keep = settle) -> DataFrame:
     """Rows (doc_id, tag, places): every window of narrow(docs) that also starts in a document of smaller id.
 
     Rows with a null doc_id neither have nor give repeats; those of equal doc_id don't repeat each other.
@@ -236,10 +238,10 @@ def repeated(docs: DataFrame, unit: Unit, compare: Compare, bucket: int = BUCKET
     docs = docs.where("doc_id is not null")
     seen = docs.mapInArrow(winnow(unit), "a long, s long, doc long, p long")
     anchors = seen.groupBy("a").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("a")
-    met = settle(splittable(seen, anchors, "a").select("a", "s", "doc", "p"), "segments")
+    met = keep(splittable(seen, anchors, "a").select("a", "s", "doc", "p"), "segments")
     contents = met.groupBy("a", "s").agg(F.min("doc").alias("low"))
     several = contents.groupBy("a").agg((F.count("*") > 1).alias("several"))
-    marked = settle(splittable(met, splittable(contents, several, "a"), "a", "s").where("several or doc > low"), "marked")
+    marked = keep(splittable(met, splittable(contents, several, "a"), "a", "s").where("several or doc > low"), "marked")
     discard(met)
-    rows = marked.where("doc > low").select("doc", "p").unionByName(shared(marked.where("doc = low").select("a", "doc", "p"), docs, unit, compare, bucket, hot))
+    rows = marked.where("doc > low").select("doc", "p").unionByName(shared(marked.where("doc = low").select("a", "doc", "p"), docs, unit, compare, bucket, hot, keep))
     return rows.groupBy(F.col("doc").alias("doc_id"), tag_of("p")).agg(F.collect_list("p").alias("places"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.arrays import ranges
 from gleaner.llm.repeats import BUCKET, HOT, Compare, Unit, narrow, opened, place, placed, repeated
-from gleaner.runtime import table
+from gleaner.runtime import settle_in_python, table
 
 #: Words of the shortest repeat, and of a seed.
 LENGTH, SEED = 13, 2
@@ -134,7 +134,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bucket: int =
     compared with smaller ids only, not with each other. An empty table gives no rows; extra columns aren't read.
     """
     unit, slim = Unit(length, seed, True), narrow(docs)
-    return with_places(slim, repeated(slim, unit, extend(unit), bucket, hot)).mapInArrow(strip(unit), "doc_id long, n_words long, n_removed long, spans array<long>, kept string")
+    return with_places(slim, repeated(slim, unit, extend(unit), bucket, hot, settle_in_python)).mapInArrow(strip(unit), "doc_id long, n_words long, n_removed long, spans array<long>, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten operators against brute force or round trips, on small tables with nulls, ties, repeats and odd columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gleaner import runtime
 from gleaner.llm import chosenpath, decontam, gif, packing, queries, secrets, seedextend, sharding, suffixdedup, tokenfile, tokens, toxicity
 from gleaner.llm.arrays import sliding_min
 
@@ -155,6 +157,33 @@ def test_substring_dedup(docs, rows, odd, empty, hot):
     assert seedextend.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4 << 20, 1])
+def test_substring_dedup_keeps_tables_without_helpers(docs, rows, tmp_path, monkeypatch, hot):
+    """Hadoop's writer starts processes for the permissions of a local file and of its checksum file, each with the
+    executor's memory for a moment; what op3 keeps isn't written by it."""
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: f"file://{tmp_path}")
+    out = seedextend.dedup(docs, hot=hot)
+    assert tuples(out, "doc_id", "n_words", "n_removed", F.sha2("kept", 256)) == sorted(seedextend.plain(rows))
+    assert {p.parent.name.split("-")[1] for p in tmp_path.rglob("*.parquet")} == {"marked", "seeds"}
+    assert not list(tmp_path.rglob("*.crc"))
+
+
+def test_settle_in_python(spark, monkeypatch):
+    """Same rows as by settle(), with a step of its own, several row groups, nulls, empty parts and empty tables."""
+    monkeypatch.setattr(runtime, "GROUP", 1000)
+    df = spark.range(5000).selectExpr("id", "if(id % 7 = 0, null, cast(cast(id as string) as binary)) b", "id % 2 = 0 even", "cast(id as int) i").repartition(6, F.col("id") % 3)
+    out = runtime.settle_in_python(df)
+    same = runtime.settle(df)
+    assert out.schema == same.schema and sorted(map(tuple, out.collect())) == sorted(map(tuple, same.collect()))
+    half = lambda batches: (b.filter(b.column("even")).select(["id"]) for b in batches)
+    assert runtime.settle_in_python(df, "half", half, "id long").count() == runtime.settle(df, "half", half, "id long").count() == 2500
+    assert runtime.settle_in_python(df.where("id < 0")).count() == 0
+    at = out.settled_at.removeprefix("file:")
+    assert os.path.isdir(at)
+    runtime.discard(out)
+    assert not os.path.exists(at)
+
+
 def respaced(seed=11, n=30):
     """Passages, and copies of them in which about every 13th gap is another one."""
     r = random.Random(seed)
