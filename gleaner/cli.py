@@ -68,7 +68,7 @@ def main(args: list[str]) -> int:
     observations = recover_empty(store.observations)
     found = extract(observations, store.bodies, registry, grammar)
     runs = settle(found.runs, "runs")
-    found = Extraction(runs, found.unreadable)
+    found = Extraction(runs, found.unreadable, registry)
     hits = settle(R.dedupe_hits(found.hits), "hits")
     for r in R.running_tokens(hits).orderBy("known").toLocalIterator():
         print(f"[{r.known}] {r.token}  {r.source_url}  ({r.extractor})")

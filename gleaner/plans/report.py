@@ -97,7 +97,7 @@ def artifact_section(observations: DataFrame) -> list[str]:
 
 def render(base_url: str, observations: DataFrame, extraction: Extraction, registry: Registry, crawl: Crawl | None = None, generated: str | None = None, forms: DataFrame | None = None) -> str:
     runs = settle(extraction.runs, "runs")  # the bodies are read once
-    extraction = Extraction(runs, extraction.unreadable)
+    extraction = Extraction(runs, extraction.unreadable, registry)
     results, hits = extraction.results, settle(R.dedupe_hits(extraction.hits), "hits")
     ranked = R.best_hits(hits, registry).select("token", short("source_url").alias("at"), "method", "extractor")
     best, distinct = R.first_rows(ranked, TOKENS + 1, "token").collect(), R.unique_tokens(hits).count()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleaner.grammar import DEFAULT, Grammar
-from gleaner.operators.extract import body_pass, ending
+from gleaner.operators.extract import PASSED, body_pass, ending, hits_of
 from gleaner.operators.registry import Registry, default_registry
 from gleaner.plans.frontier import TrapRules
 from gleaner.runtime import prepare
@@ -20,10 +20,10 @@ def token_stream(captures: DataFrame, registry: Registry | None = None, grammar:
     """Tokens of a stream of captures (url, mime_type, kind, resource_type, body): token, extractor, method, mime_type.
     once: each token is reported the first time only; its state is one row for each token."""
     prepare(captures.sparkSession)
-    found = "array<struct<hit_ord:long,token:string,method:string,context:string>>"
+    registry = registry or default_registry(prefix=grammar.prefix)
     seen = captures.withColumns({"ending": ending(), "sha256": F.sha2("body", 256)}).select("sha256", "mime_type", "kind", "ending", "resource_type", "body")
-    ran = seen.mapInArrow(body_pass(registry or default_registry(prefix=grammar.prefix), grammar), f"sha256 string, mime_type string, kind string, ending string, resource_type string, extractor_ord int, extractor string, applied boolean, found {found}, error string")
-    hits = ran.select("sha256", "mime_type", "extractor", F.explode("found").alias("h")).select("h.token", "extractor", "h.method", "mime_type", "sha256")
+    ran = seen.mapInArrow(body_pass(registry, grammar), PASSED)
+    hits = hits_of(ran, registry, "sha256", "mime_type").select("token", "extractor", "method", "mime_type", "sha256")
     return hits.dropDuplicates(["token"]) if once else hits
 
 

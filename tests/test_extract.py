@@ -5,12 +5,13 @@ import io
 import json
 import zipfile
 import zlib
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner import cli
+from gleaner import cli, queries
 from gleaner.grammar import DEFAULT
 from gleaner.kernels import containers, image, inflate, pdf
 from gleaner.operators import discover
@@ -19,9 +20,12 @@ from gleaner.operators.channels import Artifact, Channel, default_channels, leni
 from gleaner.operators.extract import extract
 from gleaner.operators.registry import Registry, default_registry
 from gleaner.plans import report
+from gleaner.runtime import shared_dir
 from gleaner.sources import planted
 from gleaner.sources.store import Store, read_bodies, read_index, recover_empty, split, write_index
 
+from .conftest import SMALL
+
 T = planted.token(1, "x")
 
 
@@ -250,3 +254,23 @@ def test_empty(spark):
     observations, bodies = split(planted.captures(spark.range(0).select(F.col("id").alias("doc_id")), "doc_id"))
     e = extract(observations, bodies)
     assert e.results.count() == 0 and e.hits.count() == 0
+
+
+def test_one_row_for_each_artifact(spark, run):
+    """Joins of the extraction carry a row for each observation, not one for each channel of it; what planted_hits wrote
+    on the way is gone when its result is there."""
+    observations, _, e = run
+    assert e.runs.count() == observations.count() - 2
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    out = queries.planted_hits(spark, SMALL)
+    assert {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before} == {"gleaner-hits"}
+    assert out.count() == 200 * len(planted.CHANNELS)
+
+
+def test_extraction_by_steps(run):
+    """Written or not, what is found is the same."""
+    observations, bodies, e = run
+    own = extract(observations, bodies, stepwise=True)
+    for a, b in ((e.hits, own.hits), (e.results, own.results)):
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
