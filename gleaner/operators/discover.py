@@ -159,15 +159,20 @@ def clickables(html: str) -> list[str]:
     return out
 
 
+def kept(links: Iterator[tuple[str, str, str]]) -> Iterator[tuple[int, str, str, str]]:
+    """(place, url, source, detail) of links that aren't empty and leave the place on the page."""
+    return ((i, *link) for i, link in enumerate((u.strip(), s, d) for u, s, d in links if u.strip() and u.strip()[0] != "#"))
+
+
 def _collector(collect: Callable[[str], Iterator[tuple[str, str, str]]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, ords, out = [], [], []
             for i, html in enumerate(batch.column(1).to_pylist()):
-                kept = [(u.strip(), s, d) for u, s, d in collect(html or "") if u.strip() and u.strip()[0] != "#"]
-                rows += [i] * len(kept)
-                ords += range(len(kept))
-                out += kept
+                own = [link[1:] for link in kept(collect(html or ""))]
+                rows += [i] * len(own)
+                ords += range(len(own))
+                out += own
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ords, pa.int32()), *(pa.array(c, pa.string()) for c in columns)], names=["page", "ord", "raw_url", "source", "detail"])
 

@@ -1,6 +1,6 @@
 """The crawl as a fixpoint over stored pages.
 
-Links of all pages are collected and keyed once. Then every level joins the frontier to them, keeps what is neither
+Links of all pages are collected and keyed once, in one Python worker for each task. Then every level joins the frontier to them, keeps what is neither
 known nor refused, and becomes the next frontier, until a level brings nothing new. Order is (depth, order of the page
 in its level, order on the page); it decides what is first seen, and what a template's budget goes to. Tables are cut
 off from their lineage at every level, so a long crawl recovers from lost executors at the level it is in. Of the levels
@@ -9,22 +9,25 @@ before, a level reads what is known by address, and sums by template; not their
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions import url as U
 from gleaner.functions.text import shape_hash
-from gleaner.operators.discover import links
+from gleaner.operators.discover import candidates, kept
 from gleaner.runtime import prepare, settle
 
 #: Levels after which the tables of several levels become one, so that plans of a long crawl stay small.
 PACK = 16
+#: Pages whose links a Python worker holds at a time.
+SOME = 64
 #: Parts in which the new URLs of a template are counted first.
 SALTS = 16
 
@@ -83,6 +86,46 @@ VISITED, QUEUED = "template string, shape string, fetched long, novelty long", "
 LINK = ["page", "ord", "raw_url", "source", "detail"]
 
 
+KEYED = "page string, ord int, raw_url string, source string, detail string, url string, template string"
+
+
+def addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (url, html) by their key, with its template; those without one are left out."""
+    for batch in batches:
+        keys = [None if u is None else U.canonical(u) for u in batch.column(0).to_pylist()]
+        at = [i for i, k in enumerate(keys) if k is not None]
+        own = [keys[i] for i in at]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([U.template(k) for k in own], pa.string()), batch.column(1).take(pa.array(at, pa.int64()))], names=["url", "template", "html"])
+
+
+def linked(rows: list[tuple]) -> pa.RecordBatch:
+    """Links (page, ord, raw_url, source, detail) with the key that they lead to and its template."""
+    keys = [None if r[2] is None else U.canonical(r[2], r[0]) for r in rows]
+    columns = [*(zip(*rows, strict=True) if rows else [()] * len(LINK)), keys, [None if k is None else U.template(k) for k in keys]]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "ord" else pa.string()) for n, c in zip([*LINK, "url", "template"], columns, strict=True)], names=[*LINK, "url", "template"])
+
+
+def keyed_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of pages (url, html) with their keys. A task has one worker for all of it, and holds the links of some pages."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SOME):
+            some = batch.slice(at, SOME)
+            yield linked([(page, *link) for page, html in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True) for link in kept(candidates(html or ""))])
+
+
+def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same of links that are known already; those of pages without a key are left out."""
+    for batch in batches:
+        rows = ((r["page"] and U.canonical(r["page"]), *(r[c] for c in LINK[1:])) for r in batch.to_pylist())
+        yield linked([r for r in rows if r[0]])
+
+
+def judged(links: DataFrame, host: str | None) -> DataFrame:
+    """Links with the reason for which they aren't followed; without a template then."""
+    links = links.withColumn("reason", F.when(F.col("url").isNull(), "unusable").when(F.lit(host is not None) & ~U.same_host("url", F.lit(host or "")), "off_host"))
+    return links.withColumn("template", F.when(F.col("reason").isNull(), F.col("template")))
+
+
 def crawl(
     pages: DataFrame, seeds: list[str], host: str | None = None, rules: TrapRules | None = TrapRules(), depth: int | None = None, resume: DataFrame | None = None,
     max_pages: int | None = None, more: DataFrame | None = None, log: Callable[..., None] | None = None,
@@ -93,20 +136,16 @@ def crawl(
     resume: URLs (url) that count as known and visited. A page stored more than once counts once. more: links (page, ord,
     raw_url, source, detail) besides those on the pages, after them in order, also of addresses that are no pages. log: gets depth, known and taken at each level."""
     spark: SparkSession = prepare(pages.sparkSession)
-    key = lambda c: U.canonical_key(F.col(c), F.lit(None).cast("string"))
-    stored = settle(pages.select(key("url").alias("url"), "html").where("url is not null").dropDuplicates(["url"]), "pages")
-    found = links(stored)
+    stored = settle(pages.select("url", "html").mapInArrow(addressed, "url string, template string, html string").dropDuplicates(["url"]), "pages")
+    found = stored.select("url", "html").mapInArrow(keyed_links, KEYED)
     if more is not None:
-        found = found.unionByName(more.select(key("page").alias("page"), (F.col("ord") + (1 << 24)).cast("int").alias("ord"), *LINK[2:]).where("page is not null"))
-    found = found.withColumn("url", U.canonical_key(F.col("raw_url"), F.col("page")))
-    found = found.withColumn("reason", F.when(F.col("url").isNull(), "unusable").when(F.lit(host is not None) & ~U.same_host("url", F.lit(host or "")), "off_host"))
-    found = settle(found.withColumn("template", F.when(F.col("reason").isNull(), U.template_key("url"))), "links")
-    shapes = settle(stored.select("url", shape_hash("html").alias("shape"), U.template_key("url").alias("template")), "shapes")
-
-    start = spark.createDataFrame([(i, s) for i, s in enumerate(seeds)], "ord int, raw_url string")
-    start = start.select(F.lit(0).cast("long").alias("from_seq"), F.lit("").alias("page"), "ord", "raw_url", F.lit("seed").alias("source"), F.lit(None).cast("string").alias("detail"), U.canonical_key("raw_url", F.lit(None).cast("string")).alias("url"))
-    start = start.withColumn("reason", F.when(F.col("url").isNull(), "unusable").when(F.lit(host is not None) & ~U.same_host("url", F.lit(host or "")), "off_host"))
-    level = start.withColumn("template", F.when(F.col("reason").isNull(), U.template_key("url")))
+        found = found.unionByName(more.select("page", (F.col("ord") + (1 << 24)).cast("int").alias("ord"), *LINK[2:]).mapInArrow(keyed, KEYED))
+    found = settle(judged(found, host), "links")
+    shapes = settle(stored.select("url", shape_hash("html").alias("shape"), "template"), "shapes")
+
+    keys = [None if s is None else U.canonical(s) for s in seeds]
+    start = spark.createDataFrame([(0, "", i, s, "seed", None, k, k and U.template(k)) for i, (s, k) in enumerate(zip(seeds, keys, strict=True))], f"from_seq long, {KEYED}")
+    level = judged(start, host).select("from_seq", *LINK, "url", "reason", "template")
     known = resume.select("url").distinct() if resume is not None else spark.createDataFrame([], "url string")
     queues, logs, visits, counts, skips, base, taken, pending = [], [], [], [], [], 0, 0, None
     for k in count():

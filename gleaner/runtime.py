@@ -92,6 +92,7 @@ def settle(df: DataFrame, name: str = "step", run: Callable[[Iterator], Iterator
 #: Bytes of a row group in files that Python workers write.
 GROUP = 8 << 20
 
+
 def to_files(folder: str, run: Callable[[Iterator], Iterator] | None = None):
     """Writes what run makes of a task's batches (or these) to a Parquet file; gives its name, or nothing without rows."""
 

@@ -1,5 +1,6 @@
 """Link discovery, the crawl's fixpoint, the trap guard, and their streaming twins."""
 
+import re
 from inspect import signature
 
 import pytest
@@ -95,3 +96,13 @@ def test_streams(spark, visits, tmp_path):
     assert spark.table("tokens").count() == len(planted.BODIES)
     events = spark.createDataFrame([(1, "2026-01-01 00:10:00", "a", 1.0), (2, "2026-01-01 00:50:00", "a", 2.0), (3, "2026-01-01 01:10:00", "a", 4.0)], "user_id int, t string, event_type string, value double").withColumn("ts", F.col("t").cast("timestamp"))
     assert sorted((r.n, r.total) for r in event_windows(events).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_one_worker_for_each_task(spark):
+    """Links are found and keyed in one Python step, so a task has one worker; seeds need none. It had up to three."""
+    began = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    crawl(spark.createDataFrame(PAGES, "url string, html string"), ["http://h.test/"], host="h.test").frontier.count()
+    ran = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [ran.apply(i).physicalPlanDescription().partition("\n\n(1)")[0] for i in range(int(began), ran.size())]
+    assert len(plans) > 5 and not any("ArrowEvalPython" in p for p in plans)
+    assert max(len(re.findall(r"MapInArrow", p.partition("Initial Plan")[0])) for p in plans) == 1
