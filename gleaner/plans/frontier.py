@@ -17,6 +17,7 @@ from itertools import count
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from gleaner.functions import url as U
@@ -143,10 +144,9 @@ def crawl(
     found = settle(judged(found, host), "links")
     shapes = settle(stored.select("url", shape_hash("html").alias("shape"), "template"), "shapes")
 
-    keys = [None if s is None else U.canonical(s) for s in seeds]
-    start = spark.createDataFrame([(0, "", i, s, "seed", None, k, k and U.template(k)) for i, (s, k) in enumerate(zip(seeds, keys, strict=True))], f"from_seq long, {KEYED}")
+    start = spark.createDataFrame(pa.Table.from_batches([linked([("", i, s, "seed", None) for i, s in enumerate(seeds)])])).withColumn("from_seq", F.lit(0).cast("long"))
     level = judged(start, host).select("from_seq", *LINK, "url", "reason", "template")
-    known = resume.select("url").distinct() if resume is not None else spark.createDataFrame([], "url string")
+    known = resume.select("url").distinct() if resume is not None else empty(spark, "url string")
     queues, logs, visits, counts, skips, base, taken, pending = [], [], [], [], [], 0, 0, None
     for k in count():
         queues, logs, visits, counts, skips = map(packed, (queues, logs, visits, counts, skips))
@@ -200,9 +200,14 @@ def crawl(
     return Crawl(frontier, union(logs, "seq long, key string, raw_url string, discovered_from string, source string, detail string", spark), templates, skipped, frontier.where("false") if pending is None else pending)
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows; without the Python workers that a list of rows goes through."""
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)))
+
+
 def union(parts: list[DataFrame], schema: str, spark: SparkSession | None = None) -> DataFrame:
     spark = spark or SparkSession.active()
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts) if parts else empty(spark, schema)
 
 
 def trap_states(visits: DataFrame, rules: TrapRules = TrapRules()) -> DataFrame:
